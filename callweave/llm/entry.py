@@ -7,6 +7,8 @@ from importlib import import_module
 #: name -> (module, function, name of the module's oracle SQL or None)
 _QUERIES = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
+    "op2_packing": ("packing", "op2_packing", None),
+    "op4_matroska": ("matroska", "op4_matroska", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
 }
 
