@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
     "op2_packing": ("packing", "op2_packing", None),
     "op4_matroska": ("matroska", "op4_matroska", None),
+    "op9_langid": ("langid", "op9_langid", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
 }
 
