@@ -13,10 +13,10 @@ hash and string, which moves neither list nor urls through the driver.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import struct
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -147,8 +147,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, url:
         rules = [(r.verdict, r.rule) for r in rules.select("verdict", "rule").collect()]
     spark = pages.sparkSession
     folder = tempfile.mkdtemp(prefix="spark-url-")
-    tag = hashlib.sha256(repr(sorted(rules)).encode()).hexdigest()[:16]
-    path = os.path.join(folder, f"urls-{tag}.idx")
+    path = os.path.join(folder, f"urls-{uuid.uuid4().hex}.idx")  # Spark takes each file name once
     write_index(rules, path)
     spark.sparkContext.addFile(path)
     file = os.path.basename(path)
