@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
     "op2_packing": ("packing", "op2_packing", None),
+    "op3_neardup": ("neardup", "op3_neardup", None),
     "op4_matroska": ("matroska", "op4_matroska", None),
     "op9_langid": ("langid", "op9_langid", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
