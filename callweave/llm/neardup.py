@@ -204,12 +204,12 @@ def _small_links(groups: DataFrame, from_text: bool) -> DataFrame:
 
 def _divide(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round over large groups(grp, doc, n, delta, score): links with the leaders, and the next groups."""
-    leaders = groups.groupBy("grp").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("leader"))
-    lead = groups.join(leaders, (groups.grp == leaders.grp) & (groups.doc == leaders.leader)).select(
-        groups.grp.alias("l_grp"), "leader", F.col("n").alias("l_n"), F.col("delta").alias("l_delta")
+    leaders = groups.groupBy("grp").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("leader")).withColumnRenamed("grp", "x_grp")
+    lead = groups.join(leaders, (F.col("grp") == F.col("x_grp")) & (F.col("doc") == F.col("leader"))).select(
+        F.col("grp").alias("l_grp"), "leader", F.col("n").alias("l_n"), F.col("delta").alias("l_delta")
     )
     lead = lead.dropDuplicates(["l_grp"])
-    rows = groups.join(lead, groups.grp == F.col("l_grp")).where("doc <> leader")
+    rows = groups.join(lead, F.col("grp") == F.col("l_grp")).where("doc <> leader")
     rows = rows.withColumn("delta", F.concat(F.array_except("delta", "l_delta"), F.array_except("l_delta", "delta")))
     rows = rows.withColumn("d", F.size("delta").cast("long"))
     low, high = 100 - THRESHOLD, 100 + THRESHOLD
@@ -227,7 +227,7 @@ def _divide(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     most = low * (F.col("n") + F.col("n") * 100 / THRESHOLD) / high
     need = F.when(F.col("inside"), (F.col("d") + low * (F.col("l_n") - F.col("n")) / high) / 2).otherwise(F.col("d") - most)
     need = F.greatest(F.lit(1), F.ceil(need - 1e-6)).cast("int")
-    rows = rows.join(ordered, (rows.grp == F.col("o_grp")) & (rows.doc == F.col("o_doc"))).withColumn("need", need)
+    rows = rows.join(ordered, (F.col("grp") == F.col("o_grp")) & (F.col("doc") == F.col("o_doc"))).withColumn("need", need)
     rows = rows.where("need <= size(own)").withColumn("e", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")))
     following = rows.select(F.xxhash64("grp", "e.e").alias("grp"), "doc", "n", "delta", (-F.col("d")).alias("score"), "inside")
     live = following.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.max(~F.col("inside")).alias("open")).where("m > 1 and open").select("grp")
