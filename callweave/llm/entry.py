@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_neardup": ("neardup", "op3_neardup", None),
     "op4_matroska": ("matroska", "op4_matroska", None),
     "op9_langid": ("langid", "op9_langid", None),
+    "op10_substrings": ("substrings", "op10_substrings", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
 }
 
