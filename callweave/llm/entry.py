@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_matroska": ("matroska", "op4_matroska", None),
     "op9_langid": ("langid", "op9_langid", None),
     "op10_substrings": ("substrings", "op10_substrings", None),
+    "op7_pii": ("pii", "op7_pii", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
 }
 
