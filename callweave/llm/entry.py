@@ -12,6 +12,8 @@ _QUERIES = {
     "op4_matroska": ("matroska", "op4_matroska", None),
     "op9_langid": ("langid", "op9_langid", None),
     "op10_substrings": ("substrings", "op10_substrings", None),
+    "op5_simhash": ("simhash", "op5_simhash", None),
+    "op6_secrets": ("secrets", "op6_secrets", None),
     "op7_pii": ("pii", "op7_pii", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
 }
