@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = cut(sketch(docs))
     known = rows.where("doc_id is not null and n > 0")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))  # written, so that a hot class may be split in the join
     members = cut(known.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "rep").distinct())
     same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
