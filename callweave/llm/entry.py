@@ -20,7 +20,8 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"callweave.llm.{m}"), f) for name, (m, f, _) in _QUERIES.items()}
+    found = {name: getattr(import_module(f"callweave.llm.{m}"), f) for name, (m, f, _) in _QUERIES.items()}
+    return {"pipeline": import_module("corpus_pipeline").run, **found}
 
 
 def oracle_sql() -> dict:

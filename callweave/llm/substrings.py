@@ -335,6 +335,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.withColumn("cleaned", strip(text, "s_")).drop("s_", "s_id", "s_v", "v_")
 
 
+@F.pandas_udf("string")
+def decoded(kept: pd.Series) -> pd.Series:
+    """Text of kept bytes; bytes of a character that was cut are left out."""
+    return kept.map(lambda raw: bytes(raw).decode("utf-8", "ignore"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = remove_repeats(docs)
