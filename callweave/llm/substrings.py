@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.common import cut, table, text_or_empty
@@ -335,10 +335,14 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.withColumn("cleaned", strip(text, "s_")).drop("s_", "s_id", "s_v", "v_")
 
 
-@F.pandas_udf("string")
-def decoded(kept: pd.Series) -> pd.Series:
+def decoded(column: str) -> Column:
     """Text of kept bytes; bytes of a character that was cut are left out."""
-    return kept.map(lambda raw: bytes(raw).decode("utf-8", "ignore"))
+
+    @F.pandas_udf("string")
+    def run(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda raw: bytes(raw).decode("utf-8", "ignore"))
+
+    return run(column)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
