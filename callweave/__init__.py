@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Call-graph analytics on Spark: definitions, call sites, bindings, levelled graphs and search over source text."""

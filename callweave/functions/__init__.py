@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Column functions and small per-file helpers."""

@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Relational and graph operators on DataFrames."""

@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Whole analyses made of operators, and the registered queries with their oracles."""

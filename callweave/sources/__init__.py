@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Reading source trees and adapting tables to them."""

@@ -1 +1 @@
-"""Call-graph analytics on Spark."""
+"""Incremental analysis with Structured Streaming."""
