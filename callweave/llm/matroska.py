@@ -37,6 +37,9 @@ LACE = 8
 BLOCKS_IN_CLUSTER = 8
 ALIGN = 64
 
+#: Bytes of payload after which a task hands its rows on.
+FLUSH_BYTES = 4 << 20
+
 PACKET = "array<struct<cluster:int,track:int,timestamp:long,key:boolean,offset:long,size:long>>"
 
 
@@ -229,14 +232,28 @@ def feature_of(payload: bytes, found: dict) -> str:
     return f"clusters={found['clusters']};packets={len(found['packets'])};cues={len(found['cues'])};mean={mean};ms={square};cross={crossings}"
 
 
+def _parts(values: list) -> Iterator[list]:
+    """Runs of values of about ``FLUSH_BYTES``."""
+    held, part = 0, []
+    for v in values:
+        part.append(v)
+        held += len(v) if v is not None else 0
+        if held > FLUSH_BYTES:
+            yield part
+            held, part = 0, []
+    if part:
+        yield part
+
+
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``media``: n_bytes and the Matroska file ``data``."""
 
     @F.pandas_udf("n_bytes long, data binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [(n, mux(p)) for n, p in (payload_of(t if isinstance(t, str) else "") for t in texts)]
-            yield pd.DataFrame(rows, columns=["n_bytes", "data"])
+            for part in _parts(texts.tolist()):
+                rows = [(n, mux(p)) for n, p in (payload_of(t if isinstance(t, str) else "") for t in part)]
+                yield pd.DataFrame(rows, columns=["n_bytes", "data"])
 
     return docs.withColumn(free_name(docs, "media"), run(text_or_empty(text)))
 
@@ -249,7 +266,7 @@ def read_media(files: DataFrame, data: str) -> DataFrame:
 
     @F.pandas_udf(f"packets {PACKET}, payload binary, tail_crc32 long, feature string, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for raws in batches:
+        for raws in (part for batch in batches for part in _parts(batch.tolist())):
             rows = []
             for raw in raws:
                 found = demux(raw)
