@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from callweave.llm.common import free_name, table, text_or_empty
 
 #: Slices kept in a worker's cache; it is emptied when full.
-CACHE_SLICES = 300_000
+CACHE_SLICES = 200_000
 #: Bytes of text encoded at a time; a longer text is taken alone.
 CHUNK_BYTES = 2 << 20
 
@@ -387,8 +387,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         coder = from_ranks(path)
         for texts in batches:
             texts = [t if isinstance(t, str) else "" for t in texts]
-            rows = []
             for a, b in chunks(texts):
+                rows = []
                 ids, bounds, slice_ids, slice_bytes = coder.encode(texts[a:b])
                 ids = ids.astype("<u4")
                 sizes = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts[a:b]])])
@@ -398,7 +398,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     m = slice(marks[k], marks[k + 1])
                     pairs = np.stack([slice_ids[m] - bounds[k], slice_bytes[m] - sizes[k]], axis=1).astype("<u4")
                     rows.append((len(own), own.tobytes(), pairs.tobytes(), coder.decode(own.tolist())))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "slices", "decoded"])
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids", "slices", "decoded"])  # a chunk at a time bounds memory
 
     return docs.withColumn(free_name(docs, "bpe"), run(text_or_empty(text)))
 
