@@ -29,6 +29,8 @@ from callweave.llm.common import cut, table, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
+#: Ids after which a task hands its rows on.
+FLUSH_IDS = 1 << 20
 #: Fillings looked at around one largest piece, and fillings in the whole search; past them the incumbent stands.
 FILLINGS = 400
 NODES = 4000
@@ -213,12 +215,17 @@ def tokenize_pieces(docs: DataFrame, path: str, text: str = "text", capacity: in
         coder = _coder(path)
         end = np.array([END_ID], np.uint32)
         for texts in batches:
-            rows = []
+            rows, held = [], 0
             for ids in _ids(coder, [t if isinstance(t, str) else "" for t in texts]):
+                if held > FLUSH_IDS:
+                    yield pd.Series(rows)
+                    rows, held = [], 0
+                held += len(ids)
                 ids = np.concatenate([ids, end]).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows.append([{"piece": k, "start": a, "length": b - a, "ids": ids[a:b].tobytes()} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-            yield pd.Series(rows)
+            if rows:
+                yield pd.Series(rows)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return docs.select(*keep, F.explode(run(text_or_empty(text))).alias("piece_"))
