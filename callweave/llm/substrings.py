@@ -230,12 +230,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span = f"doc_id {id_type}, v int, start int, stop int"
     anchors = cut(anchor_table(docs))
-    again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    # Counts are written before they join back, so that a hot anchor's rows can be split in the join.
+    again = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
     rows = cut(anchors.join(again, "h"))
     kinds = cut(rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "v", "pos")).alias("one")))
     whole = rows.join(kinds.where("m > 1").select("h", "g"), ["h", "g"], "left_semi")
     spans = [whole.select("doc_id", "v", (F.col("pos") - SIDE).alias("start"), (F.col("pos") + LENGTH).alias("stop"))]
-    open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("h", "k")
+    open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1")
+    open_ = cut(open_.select("h", "k"))
     edges = kinds.join(open_, "h").select("h", "k", (F.col("m") == 1).alias("single"), "one.*")
     per_doc = edges.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "k", "pos", "single")).alias("at"))
 
