@@ -61,7 +61,8 @@ def list_files(spark: SparkSession, root: str, mode: str = "name", options: Scan
     """Files below a root with language, size and content, in path order; filters act before content is read.
 
     "name" mode keeps files of a known language within the limits (the first ``max_files`` paths);
-    "qualified" mode keeps the collected extensions without limits.
+    "qualified" mode keeps the collected extensions without limits. Spark's file sources never list
+    names that begin with ``.`` or ``_``, so such files are missing in either mode.
     """
     options = options or ScanOptions()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
