@@ -55,8 +55,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     words, bounds = word_hashes(texts)
     n = len(words)
     rolled = np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        rolled[: n - k] += words[k:] * _MIX[k] if k else words * _MIX[0]
+    for k in range(min(WORDS, n)):
+        rolled[: n - k] += words[k:] * _MIX[k]
     rolled = mix(rolled)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
