@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Let what is executed inside hand at most ``rows`` rows at a time to Python; the setting returns afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -59,10 +72,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     while True:
         both = pairs.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
+        # Minima are written before they join back, so that a hot node's edges can be split in the join.
+        least = cut(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least")))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
         large = cut(large)
-        smallest = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        smallest = cut(large.groupBy("hi").agg(F.min("lo").alias("least")))
         small = (
             large.join(smallest, "hi")
             .select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")), F.struct("hi", F.col("least").alias("lo")))).alias("e"))

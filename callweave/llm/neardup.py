@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import connected_components, cut, table, text_or_empty
+from callweave.llm.common import connected_components, cut, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 30, 6
@@ -38,7 +38,7 @@ THRESHOLD = 85
 GROUP_ROWS, GROUP_ELEMENTS = 1024, 2_000_000
 #: A pair is excluded where the threshold's likelihood is below the best one's by this many nats.
 NATS = 20.0
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _BURST = 16
@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and are kept.
     """
     docs = docs.select("doc_id", "text")
-    rows = cut(sketch(docs))
+    with small_batches(docs.sparkSession):
+        rows = cut(sketch(docs))
     known = rows.where("doc_id is not null and n > 0")
     classes = cut(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))  # written, so that a hot class may be split in the join
     members = cut(known.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "rep").distinct())

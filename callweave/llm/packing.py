@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe
-from callweave.llm.common import cut, table, text_or_empty
+from callweave.llm.common import cut, free_name, small_batches, table, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -228,16 +228,20 @@ def tokenize_pieces(docs: DataFrame, path: str, text: str = "text", capacity: in
                 yield pd.Series(rows)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(*keep, F.explode(run(text_or_empty(text))).alias("piece_"))
+    return docs.select(*keep, F.explode(run(text_or_empty(text))).alias(free_name(docs, "piece_")))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Place every piece of ``pieces(doc_id, piece, length, ...)``: adds sequence_id and offset.
 
     Lengths must be 1 to ``capacity``. Repeated rows are pieces of their own. An empty table stays empty.
+    Other columns pass through under any name but those of the two new ones.
     """
     spark = pieces.sparkSession
-    pieces = cut(pieces)
+    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
+    order = pieces.columns
+    with small_batches(spark):
+        pieces = cut(pieces.select("doc_id", "piece", "length", F.struct(F.lit(0).alias("none_"), *[F.col(f"`{c}`") for c in others]).alias("extra_")))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, used, sequence = [], dict.fromkeys(counts, 0), 0
     for pattern, times in bin_completion(counts, capacity):
@@ -256,14 +260,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select("b_length", "b_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_"))
     )
-    within = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
+    within = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", F.xxhash64("extra_"))
     ranked = salted.withColumn("rank_", F.row_number().over(within) - 1)
     ranked = ranked.join(bases, (F.col("length") == F.col("b_length")) & (F.col("salt_") == F.col("b_salt")))
     ranked = ranked.withColumn("rank_", F.col("rank_") + F.col("before_"))
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank_") >= F.col("low")) & (F.col("rank_") < F.col("high")))
     turn = F.col("rank_") - F.col("low")
     return placed.select(
-        *pieces.columns,
+        *[F.col(f"extra_.`{c}`").alias(c) if c in others else F.col(c) for c in order],
         (F.col("first") + F.floor(turn / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("base") + turn % F.col("per") * F.col("length")).alias("offset"),
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut, table, text_or_empty
+from callweave.llm.common import cut, free_name, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix
 
 LENGTH = 400
@@ -32,7 +32,7 @@ SIDE = LENGTH - CORE
 #: Kinds of surroundings in one block, and of one anchor before it is divided.
 BLOCK_ROWS, ANCHOR_KINDS = 20_000, 5_000
 #: Bytes hashed at a time; a longer text is taken in parts.
-PART = 1 << 20
+PART = 1 << 18
 
 _MASK = (1 << 64) - 1
 
@@ -99,21 +99,16 @@ def _parts(size: int) -> Iterator[tuple[int, int, int, int]]:
         yield max(0, a - 2 * SIDE), min(size, a + PART + LENGTH + SIDE), a, min(size, a + PART)
 
 
-def _text_anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Anchors of whole texts: index of the text, position, core hash, hash of the surroundings."""
-    out: list[tuple] = []
-    batch: list[int] = []
+def _text_anchors(raws: Iterator[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of whole texts, in runs: index of the text, position, core hash, hash of the surroundings."""
+    batch: list[tuple[int, bytes]] = []
     held = 0
 
-    def flush() -> None:
-        nonlocal held
-        if batch:
-            ends = np.cumsum([len(raws[i]) for i in batch])
-            pos, h, g = anchors_of(np.frombuffer(b"".join(raws[i] for i in batch), np.uint8), ends)
-            which = np.searchsorted(ends, pos, side="right")
-            out.append((np.array(batch)[which], pos - (ends - np.diff(ends, prepend=0))[which], h, g))
-        batch.clear()
-        held = 0
+    def run() -> tuple[np.ndarray, ...]:
+        ends = np.cumsum([len(raw) for _, raw in batch])
+        pos, h, g = anchors_of(np.frombuffer(b"".join(raw for _, raw in batch), np.uint8), ends)
+        which = np.searchsorted(ends, pos, side="right")
+        return np.array([i for i, _ in batch])[which], pos - (ends - np.diff(ends, prepend=0))[which], h, g
 
     for i, raw in enumerate(raws):
         if len(raw) < LENGTH:
@@ -122,16 +117,15 @@ def _text_anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
             for low, high, a, b in _parts(len(raw)):
                 pos, h, g = anchors_of(np.frombuffer(raw[low:high], np.uint8), np.array([high - low]))
                 keep = (pos + low >= a) & (pos + low < b)
-                out.append((np.full(int(keep.sum()), i), pos[keep] + low, h[keep], g[keep]))
+                yield np.full(int(keep.sum()), i), pos[keep] + low, h[keep], g[keep]
             continue
-        batch.append(i)
+        batch.append((i, raw))
         held += len(raw)
         if held >= PART:
-            flush()
-    flush()
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            yield run()
+            batch, held = [], 0
+    if batch:
+        yield run()
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
@@ -140,13 +134,13 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").cast(pa.large_binary())]
-            which, pos, h, g = _text_anchors(raws)
-            rows = pa.array(which)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("v").take(rows), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                names=["doc_id", "v", "pos", "h", "g"],
-            )
+            raws = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
+            for which, pos, h, g in _text_anchors(raws):
+                rows = pa.array(which)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("v").take(rows), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
+                    names=["doc_id", "v", "pos", "h", "g"],
+                )
 
     return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, v int, pos int, h long, g long")
 
@@ -229,7 +223,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (doc_id, v, start, stop) of ``docs(doc_id, v, text)`` whose union is what occurs again."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span = f"doc_id {id_type}, v int, start int, stop int"
-    anchors = cut(anchor_table(docs))
+    with small_batches(docs.sparkSession):
+        anchors = cut(anchor_table(docs))
     # Counts are written before they join back, so that a hot anchor's rows can be split in the join.
     again = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
     rows = cut(anchors.join(again, "h"))
@@ -254,7 +249,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = other.join(texts, F.col("e_id").eqNullSafe(F.col("doc_id")) & (F.col("e_v") == F.col("v")))
     found = found.select("doc_id", "v", F.inline(F.arrays_zip("at", sides("text", "at").alias("sides"))))
     found = found.select("doc_id", "v", "at.*", "sides.*").withColumns({"low": F.lit(0), "high": F.lit(SIDE)})
-    pending = cut(found)
+    with small_batches(docs.sparkSession):
+        pending = cut(found)
     columns = ["h", "doc_id", "v", "pos", "single", "low", "high", "before", "after"]
     while True:
         fit = pending.where(F.col("k") <= ANCHOR_KINDS).select(*columns)
@@ -311,30 +307,39 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     A text shorter than ``LENGTH``, null or empty loses nothing. Repeated rows count as copies, so that
     both lose what they share. ``docs`` must have doc_id; a null doc_id is a document like others.
     """
-    keyed = docs.withColumn(text, text_or_empty(text)).withColumn("v_", F.hash(text))
-    spans = repeated_spans(keyed.select("doc_id", F.col("v_").alias("v"), F.col(text).alias("text")))
-    per_doc = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "stop")).alias("s_"))
-    per_doc = per_doc.select(F.col("doc_id").alias("s_id"), F.col("v").alias("s_v"), "s_")
+    v, s_id, s_v, s_at = (free_name(docs, x) for x in ("v_", "s_id_", "s_v_", "s_at_"))
+    keyed = docs.withColumn(text, text_or_empty(text)).withColumn(v, F.hash(text))
+    spans = repeated_spans(keyed.select("doc_id", F.col(v).alias("v"), F.col(text).alias("text")))
+    per_doc = spans.groupBy(F.col("doc_id").alias(s_id), F.col("v").alias(s_v)).agg(F.collect_list(F.struct("start", "stop")).alias(s_at))
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def strip(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, own in zip(texts, spans, strict=True):
-            raw = t.encode()
-            if own is None or not len(own):
-                rows.append((len(raw), 0, 0, raw))
-                continue
-            ranges = np.array([(s["start"], s["stop"]) for s in own], np.int64).clip(0, len(raw))
-            ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(ranges[:, 1])
-            first = np.concatenate([[True], ranges[1:, 0] > reach[:-1]])
-            starts, stops = ranges[first, 0], reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(reach) - 1]])]
-            kept = b"".join(raw[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True))
-            rows.append((len(raw), len(raw) - len(kept), len(starts), kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("v_") == F.col("s_v")), "left")
-    return joined.withColumn("cleaned", strip(text, "s_")).drop("s_", "s_id", "s_v", "v_")
+    def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans in batches:
+            rows, held = [], 0
+            for t, own in zip(texts, spans, strict=True):
+                rows.append(stripped(t.encode(), own))
+                held += len(t)
+                if held > 8 * PART:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    def stripped(raw: bytes, own) -> tuple[int, int, int, bytes]:
+        if own is None or not len(own):
+            return len(raw), 0, 0, raw
+        ranges = np.array([(s["start"], s["stop"]) for s in own], np.int64).clip(0, len(raw))
+        ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(ranges[:, 1])
+        first = np.concatenate([[True], ranges[1:, 0] > reach[:-1]])
+        starts, stops = ranges[first, 0], reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(reach) - 1]])]
+        kept = b"".join(raw[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True))
+        return len(raw), len(raw) - len(kept), len(starts), kept
+
+    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col(s_id)) & (F.col(v) == F.col(s_v)), "left")
+    return joined.withColumn(free_name(docs, "cleaned"), strip(text, s_at)).drop(s_at, s_id, s_v, v)
 
 
 def decoded(column: str) -> Column:
