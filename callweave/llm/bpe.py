@@ -25,12 +25,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import free_name, table, text_or_empty
+from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 #: Slices kept in a worker's cache; it is emptied when full.
-CACHE_SLICES = 200_000
+CACHE_SLICES = 150_000
 #: Bytes of text encoded at a time; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 L, N, O, WS_RUN, WS_SPACE, WS_LAST, AP1, AP2 = range(8)
 CLOSED, LETTERS, NUMBERS, OTHER, SPACE, RUN, TAIL1, TAIL2 = range(8)
@@ -162,13 +162,16 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.of_byte = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
         pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pair_keys = pd.Index(np.array([p for p, _ in pairs], np.int64))
         self.pair_ranks = np.array([r for _, r in pairs] + [_NONE], np.int64)
 
+    @functools.cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {i: t for t, i in self.ranks.items()}
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge the lowest-ranked pair, the leftmost of equals, until none is left."""
         whole = self.ranks.get(piece)
@@ -383,6 +386,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     @F.pandas_udf("n_tokens long, ids binary, slices binary, decoded binary")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = from_ranks(path)
         for texts in batches:

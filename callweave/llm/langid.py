@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import free_name, table, text_or_empty
+from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -198,6 +198,7 @@ def predict(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``language``: lang_pred and score."""
 
     @F.pandas_udf("lang_pred string, score double")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             langs, scores = model.predict(texts.tolist())

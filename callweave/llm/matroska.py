@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import free_name, table, text_or_empty
+from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 # Element ids of the public Matroska specification (fixed values).
 EBML, EBML_DOCTYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -249,6 +249,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``media``: n_bytes and the Matroska file ``data``."""
 
     @F.pandas_udf("n_bytes long, data binary")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for part in _parts(texts.tolist()):
@@ -265,6 +266,7 @@ def read_media(files: DataFrame, data: str) -> DataFrame:
     """
 
     @F.pandas_udf(f"packets {PACKET}, payload binary, tail_crc32 long, feature string, error string")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raws in (part for batch in batches for part in _parts(batch.tolist())):
             rows = []

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import connected_components, cut, small_batches, table, text_or_empty
+from callweave.llm.common import connected_components, cut, frugal, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 30, 6
@@ -170,6 +170,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """``doc_id`` of ``docs(doc_id, text)`` with n_shingles, a 128-bit signature of the set and the band keys."""
 
     @F.pandas_udf("n long, s1 long, s2 long, bands array<long>")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
@@ -269,6 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = [_small_links(small.select("grp", "doc", "n", "text"), True), same_id]
 
     @F.pandas_udf("array<long>")
+    @frugal
     def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             yield pd.Series([s.view(np.int64) for s in shingle_sets([t.encode() for t in part])])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe
-from callweave.llm.common import cut, free_name, small_batches, table, text_or_empty
+from callweave.llm.common import cut, free_name, frugal, small_batches, table, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -211,6 +211,7 @@ def tokenize_pieces(docs: DataFrame, path: str, text: str = "text", capacity: in
     """
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids:binary>>")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(path)
         end = np.array([END_ID], np.uint32)

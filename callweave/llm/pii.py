@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import free_name, table, text_or_empty
+from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents, and candidates taken of each.
@@ -290,6 +290,7 @@ def find_pii(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     span = "array<struct<kind:string,start:int,end:int>>"
 
     @F.pandas_udf(f"base {span}, added {span}")
+    @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut, free_name, small_batches, table, text_or_empty
+from callweave.llm.common import cut, free_name, frugal, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix
 
 LENGTH = 400
@@ -132,6 +132,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, v, text)`` to anchors(doc_id, v, pos, h, g)."""
     kind = docs.schema["doc_id"].dataType
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
@@ -315,6 +316,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @frugal
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
             rows, held = [], 0
@@ -343,13 +345,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def decoded(column: str) -> Column:
-    """Text of kept bytes; bytes of a character that was cut are left out."""
-
-    @F.pandas_udf("string")
-    def run(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda raw: bytes(raw).decode("utf-8", "ignore"))
-
-    return run(column)
+    """Text of kept bytes; bytes of a character that was cut are left out (and replacement characters with them)."""
+    return F.regexp_replace(F.make_valid_utf8(F.col(column).cast("string")), "\ufffd", "")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

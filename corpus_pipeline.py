@@ -17,8 +17,17 @@ from callweave.llm.common import cut, table
 LEAST_SCORE = 0.3
 
 
+#: Rows handed to Python at a time; every stage sets it for the session, as workers live through all stages.
+ARROW_ROWS = 500
+
+
+def _frugal(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was recognised; null texts and texts without letters go."""
+    _frugal(spark)
     found = langid.predict(docs, langid.train(docs))
     keep = (F.col("language.lang_pred") != langid.UNDETERMINED) & (F.col("language.score") >= LEAST_SCORE)
     return found.where(keep).select(*docs.columns)
@@ -26,6 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of every group of near duplicates, and all rows without a doc_id."""
+    _frugal(spark)
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
@@ -33,6 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated byte strings out of the texts; a character cut in two goes. Emptied documents go."""
+    _frugal(spark)
     found = substrings.remove_repeats(docs)
     changed = F.col("cleaned.n_removed") > 0
     out = found.withColumn("text", F.when(changed, substrings.decoded("cleaned.kept")).otherwise(F.col("text")))
@@ -47,6 +58,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' pieces into sequences of at most 1024 tokens."""
+    _frugal(spark)
     pieces = packing.tokenize_pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(pieces.select("doc_id", "piece_.piece", "piece_.start", "piece_.length", F.crc32("piece_.ids").alias("ids_crc32")))
 
