@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from callweave.llm.common import connected_components, cut, frugal, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
-BANDS, ROWS = 30, 6
+BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.001
-#: Similarity at which documents are linked, in hundredths.
-THRESHOLD = 85
+#: Similarity at which documents are linked, in hundredths, unless a caller names another.
+THRESHOLD = 80
+#: The registered query's own threshold.
+OP3_THRESHOLD = 85
 #: Largest cluster verified in one task: members, and elements of all their sets.
 GROUP_ROWS, GROUP_ELEMENTS = 1024, 2_000_000
 #: A pair is excluded where the threshold's likelihood is below the best one's by this many nats.
@@ -91,10 +93,10 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def possible(regs: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+def possible(regs: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Which of ``others`` may reach the threshold with ``one``, by the joint likelihood of the registers."""
     a, b = float(sizes[one]), sizes[others].astype(float)
-    fits = 100 * np.minimum(a, b) >= THRESHOLD * np.maximum(a, b)
+    fits = 100 * np.minimum(a, b) >= threshold * np.maximum(a, b)
     others, b = others[fits], b[fits]
     if not len(others):
         return others
@@ -108,17 +110,17 @@ def possible(regs: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray)
     ok = (only_a >= 0) & (only_b >= 0)
     log = lambda x: np.log(np.maximum(x / union, 1e-9))
     score = np.where(ok, same * log(shared) + more * log(only_a) + less * log(only_b), -np.inf)
-    top = np.where(grid * 100 >= THRESHOLD - 0.5, score, -np.inf).max(axis=1)
+    top = np.where(grid * 100 >= threshold - 0.5, score, -np.inf).max(axis=1)
     near_equal = np.isinf(top)  # the grid may step over a feasible range of near-equal sizes
     return others[near_equal | (top >= score.max(axis=1) - NATS)]
 
 
-def linked(sizes_a, sizes_b, difference):
-    """100 * intersection >= THRESHOLD * union, from set sizes and the size of the symmetric difference."""
-    return (100 - THRESHOLD) * (sizes_a + sizes_b) >= (100 + THRESHOLD) * difference
+def linked(sizes_a, sizes_b, difference, threshold: int = THRESHOLD):
+    """100 * intersection >= threshold * union, from set sizes and the size of the symmetric difference."""
+    return (100 - threshold) * (sizes_a + sizes_b) >= (100 + threshold) * difference
 
 
-def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: np.ndarray | None) -> list[tuple]:
+def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: np.ndarray | None, threshold: int = THRESHOLD) -> list[tuple]:
     """Links that span the connected members of one bounded group; ``sets`` may be differences to a leader."""
     k = len(ids)
     lengths = np.fromiter(map(len, sets), np.int64, k)
@@ -140,14 +142,14 @@ def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: n
     for i in range(k - 1):
         others = np.arange(i + 1, k)
         if regs is not None:
-            others = possible(regs, sizes, i, others)
+            others = possible(regs, sizes, i, others, threshold)
         if not len(others):
             continue
         own = inverse[bounds[i] : bounds[i + 1]]
         n = counts[own]
         at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         shared = np.bincount(by_element[at], minlength=k)[others]
-        for j in others[linked(sizes[i], sizes[others], lengths[i] + lengths[others] - 2 * shared)].tolist():
+        for j in others[linked(sizes[i], sizes[others], lengths[i] + lengths[others] - 2 * shared, threshold)].tolist():
             x, y = find(i), find(j)
             if x != y:
                 parent[y] = x
@@ -187,23 +189,23 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", run(text_or_empty("text")).alias("k")).select("doc_id", "k.*")
 
 
-def _small_links(groups: DataFrame, from_text: bool) -> DataFrame:
+def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFrame:
     """Links inside groups of bounded size, each verified in one task."""
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc")
         if from_text:
             sets = shingle_sets([t.encode() if isinstance(t, str) else b"" for t in pdf["text"]])
-            found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, registers(sets))
+            found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, registers(sets), threshold)
         else:
             sets = [np.sort(np.asarray(d, np.int64).view(np.uint64)) for d in pdf["delta"]]
-            found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, None)
+            found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, None, threshold)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return groups.groupBy("grp").applyInPandas(verify, "a long, b long")
 
 
-def _divide(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _divide(groups: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """One round over large groups(grp, doc, n, delta, score): links with the leaders, and the next groups."""
     leaders = groups.groupBy("grp").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("leader")).withColumnRenamed("grp", "x_grp")
     lead = groups.join(leaders, (F.col("grp") == F.col("x_grp")) & (F.col("doc") == F.col("leader"))).select(
@@ -213,7 +215,7 @@ def _divide(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = groups.join(lead, F.col("grp") == F.col("l_grp")).where("doc <> leader")
     rows = rows.withColumn("delta", F.concat(F.array_except("delta", "l_delta"), F.array_except("l_delta", "delta")))
     rows = rows.withColumn("d", F.size("delta").cast("long"))
-    low, high = 100 - THRESHOLD, 100 + THRESHOLD
+    low, high = 100 - threshold, 100 + threshold
     rows = cut(rows.select("grp", "doc", "n", "delta", "d", "leader", "l_n", (low * (F.col("n") + F.col("l_n")) >= high * F.col("d")).alias("inside")))
     links = rows.where("inside").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     elements = rows.select("grp", "doc", F.explode("delta").alias("e"))
@@ -225,7 +227,7 @@ def _divide(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(F.col("grp").alias("o_grp"), F.col("doc").alias("o_doc"), "own")
     )
     # The least overlap of differences that a partner not connected by the leader needs.
-    most = low * (F.col("n") + F.col("n") * 100 / THRESHOLD) / high
+    most = low * (F.col("n") + F.col("n") * 100 / threshold) / high
     need = F.when(F.col("inside"), (F.col("d") + low * (F.col("l_n") - F.col("n")) / high) / 2).otherwise(F.col("d") - most)
     need = F.greatest(F.lit(1), F.ceil(need - 1e-6)).cast("int")
     rows = rows.join(ordered, (F.col("grp") == F.col("o_grp")) & (F.col("doc") == F.col("o_doc"))).withColumn("need", need)
@@ -243,9 +245,10 @@ def _sized(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.join(large, "grp", "left_anti"), groups.join(large, "grp", "left_semi")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
+    Documents are linked from ``threshold`` hundredths of similarity on; below 80 the bands would miss pairs.
     Null and empty texts and texts without words have no shingles, link with nothing and are kept.
     Rows of equal doc_id are one node; rows of null doc_id link with nothing, have a null component
     and are kept.
@@ -267,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = cut(scored.join(clusters, F.col("doc_id") == F.col("id")).select(F.col("component").alias("grp"), F.col("doc_id").alias("doc"), "n", "score"))
     texts = cut(placed.join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "n", "score", "text"))
     small, large = _sized(texts)
-    links = [_small_links(small.select("grp", "doc", "n", "text"), True), same_id]
+    links = [_small_links(small.select("grp", "doc", "n", "text"), True, threshold), same_id]
 
     @F.pandas_udf("array<long>")
     @frugal
@@ -281,8 +284,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if groups.isEmpty():
             break
         small, large = _sized(groups)
-        links.append(cut(_small_links(small.select("grp", "doc", "n", "delta"), False)))
-        star, groups = _divide(large)
+        links.append(cut(_small_links(small.select("grp", "doc", "n", "delta"), False, threshold)))
+        star, groups = _divide(large, threshold)
         links.append(cut(star))
     edges = links[0]
     for more in links[1:]:
@@ -294,4 +297,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), OP3_THRESHOLD)

@@ -78,7 +78,7 @@ def plain_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def plain_components(rows):
+def plain_components(rows, threshold=80):
     sets = {}
     for i, t in rows:
         if i is not None:
@@ -93,7 +93,7 @@ def plain_components(rows):
     flat = [(i, s) for i, own in sets.items() for s in own if s]
     for (i, a), (j, b) in combinations(flat, 2):
         both = len(a & b)
-        if 100 * both >= 85 * (len(a) + len(b) - both):
+        if 100 * both >= threshold * (len(a) + len(b) - both):
             x, y = find(i), find(j)
             parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
@@ -110,16 +110,16 @@ def family(rng, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("limit", [1024, 12])
-def test_near_duplicates(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "threshold"), [(1024, 85), (12, 85), (12, 80)])
+def test_near_duplicates(spark, monkeypatch, limit, threshold):
     monkeypatch.setattr(neardup, "GROUP_ROWS", limit)
     rng = random.Random(limit)
     texts = family(rng, 60, 120, 5) + family(rng, 40, 40, 3) + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60))) for _ in range(40)]
     texts += ["One two", "one TWO", "one two three", "", None, " \n"] + texts[:3]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = plain_components(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    want = plain_components(rows, threshold)
     assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got} == {i: (want[i], len(plain_set(t)), want[i] == i) for i, t in rows}
 
 
