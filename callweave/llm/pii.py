@@ -42,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
 _NUMBER = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}(?![A-Za-z0-9])")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63})+")
+_SPELT_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63})+")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CUES = re.compile(r"(?i)(phone|tel|call|fax|mobile|mail|contact|card|visa|iban|account|ssn|passport|\bip\b|address)")
 _AT = re.compile(r"@|\(at\)|\[at\]| at ")
@@ -79,17 +79,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """The address around every ``at`` mark; one that runs into the next address ends before it, if it can."""
+    found = []
+    for m in _AT.finditer(text):
+        domain = _SPELT_DOMAIN.match(text, m.end())
+        if not domain:
+            continue
+        start = stop = m.start() - text.endswith(" ", 0, m.start())
+        while start > max(0, stop - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < stop:
+            found.append((start, m.end(), domain.end()))
+    out = []
+    for k, (start, at, end) in enumerate(found):
+        following = found[k + 1][0] if k + 1 < len(found) else end
+        short = _SPELT_DOMAIN.match(text, at, following) if at < following < end else None
+        out.append((start, short.end() if short else end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping proposals of the generators; text without digits and ``at`` has none."""
     out = []
     if _DIGITS.search(text):
         out += [("number", *m.span()) for m in _NUMBER.finditer(text)]
         out += [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
-    if "dot" in text or "(at)" in text or "[at]" in text or "@" in text:
-        for m in _AT.finditer(text):
-            found = _SPELT.search(text, max(0, m.start() - 64), min(len(text), m.end() + 256))
-            if found and found.start() <= m.start() < found.end():
-                out.append(("mail", *found.span()))
+    out += [("mail", s, e) for s, e in _addresses(text)]
     return sorted(set(out), key=lambda c: (c[1], c[2], c[0]))
 
 

@@ -276,3 +276,18 @@ def test_window_entropy_is_exact(spark):
                 high.append(i)
         plain = not (re.search("[A-Za-z]", r.t) and re.search("[0-9]", r.t))
         assert (r.w is None) if plain else (r.w.first, r.w.last) == ((high[0], high[-1]) if high else (None, None))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("john(at)site.com, mary(at)site.com, or zoe(at)site.org", ["john(at)site.com", "mary(at)site.com", "zoe(at)site.org"]),
+        ("write a@b.com or mary [at] site [dot] org", ["a@b.com", "mary [at] site [dot] org"]),
+        ("ask john at site.com", ["john at site.com"]),
+        ("ask john at site.com. Mary at site.org. bob@b.com", ["john at site.com", "Mary at site.org", "bob@b.com"]),
+        ("john at site.com at noon", ["john at site.com"]),
+        ("john at home, at site.com", []),
+    ],
+)
+def test_pii_every_mark_proposes_its_address(text, want):
+    assert [text[s:e] for kind, s, e in pii.candidates(text) if kind == "mail"] == want
