@@ -5,7 +5,8 @@ expression, so their lengths in code points add up to positions. Candidate strin
 key-like characters) pass a window of ``WINDOW`` characters; an aggregate carries the counts of the
 characters inside it, updates them and the sum of c * log2(c) by the character that enters and the
 one that leaves, and keeps the first and last window above the threshold of the string's character
-class. An allow-list suppresses what is known to be no secret.
+class. An allow-list suppresses what is known to be no secret: base spans and allowed strings inside a
+candidate cut it, and every part that is left is judged by itself.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ _HEX = r"[0-9a-f]{16,}+"
 _CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 
 WINDOW = 20
-#: Least entropy in bits a character, by class; strings of letters alone or digits alone are words or numbers.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
-#: Strings that look like keys and are none: alphabets, repeats, paths and dashed words, ids with dashes.
+#: Least entropy in bits a character, by class; letters alone and digits alone, with any punctuation, are mostly words and numbers.
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.7, "digits": 3.0}
+#: Parts of candidates that are no secret: alphabets, repeats, words of examples. What surrounds them may be one.
+ALLOW_INSIDE = r"(?i:abcdefghijklm|qwertyuiop|0123456789|1234567890|example|sample|placeholder|dummy|changeme)|(.)\1{7,}+"
+#: Whole strings that look like keys and are none: paths and dashed words, ids with dashes.
 ALLOW = [
-    r"(?i)abcdefghijklm|qwertyuiop|0123456789|1234567890",
-    r"(.)\1{7}",
     r"^[-=_+/]+$",
     r"^[A-Za-z]+([-_/+][A-Za-z]+)+=*$",
-    r"(?i)example|sample|placeholder|dummy|changeme",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
 ]
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
@@ -63,7 +63,7 @@ def window_entropy(string: Column) -> Column:
     code = lambda at: F.instr(F.lit(_ALPHABET), F.substr(string, at, F.lit(1))) - 1
     hexed = string.rlike("^[0-9a-fA-F]+$")
     letters, digits = string.rlike("[A-Za-z]"), string.rlike("[0-9]")
-    limit = F.when(~(letters & digits), 99.0).when(hexed, THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
+    limit = F.when(~letters & ~digits, 99.0).when(~digits, THRESHOLDS["letters"]).when(~letters, THRESHOLDS["digits"]).when(hexed, THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
     start = F.struct(
         F.array_repeat(F.lit(0), len(_ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
     )
@@ -89,11 +89,31 @@ def window_entropy(string: Column) -> Column:
     return F.when(limit < 99, walk)
 
 
+def _parts(x: Column, base: Column) -> Column:
+    """Array of (start, value): parts of candidate ``x`` of a window or more that no base span and no allowed string touches."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    allowed = F.regexp_extract_all(x["value"], F.lit(ALLOW_INSIDE), F.lit(0))
+    inside = F.transform(_placed(x["value"], ALLOW_INSIDE, allowed, allowed), lambda m: F.struct((x["start"] + m["start"]).alias("start"), (x["start"] + m["end"]).alias("end")))
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    held = F.concat(
+        F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))),
+        F.when(x["value"].rlike(ALLOW_INSIDE), inside).otherwise(none),
+    )
+    left = F.aggregate(
+        F.array_sort(held),
+        F.struct(x["start"].alias("at"), none.alias("out")),
+        lambda acc, h: F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), h["start"].alias("end")))).alias("out")),
+        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["end"].alias("end")))),
+    )
+    wide = F.filter(left, lambda p: p["end"] - p["start"] >= WINDOW)
+    return F.transform(wide, lambda p: F.struct(p["start"].alias("start"), F.substr(x["value"], p["start"] - x["start"] + 1, p["end"] - p["start"]).alias("value")))
+
+
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``secrets``: ``base`` and ``added``, arrays of (start, rank, kind, end).
 
     Both are sorted by start, then kind as listed; positions are code points, ends exclusive. Base
-    spans follow the rules; added ones (kind ``entropy``) touch no base span. Null and empty texts have none.
+    spans follow the rules; added ones (kind ``entropy``) overlap no base span. Null and empty texts have none.
     """
     t, found, placed, name = (free_name(docs, x) for x in ("t_", "f_", "p_", "secrets"))
     out = docs.withColumn(t, text_or_empty(text))
@@ -118,11 +138,9 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumn(placed, F.struct(F.array_sort(base).alias("base"), _placed(c, _CANDIDATE, f["c"], f["c"]).alias("c")))
     p = F.col(placed)
-    open_ = F.filter(
-        p["c"],
-        lambda x: ~F.exists(p["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~_any([x["value"].rlike(a) for a in ALLOW]),
-    )
-    scored = F.transform(open_, lambda x: F.struct(x["start"].alias("at"), window_entropy(x["value"]).alias("w")))
+    known = lambda x: _any([x["value"].rlike(a) for a in ALLOW])
+    open_ = F.flatten(F.transform(F.filter(p["c"], lambda x: ~known(x)), lambda x: _parts(x, p["base"])))
+    scored = F.transform(F.filter(open_, lambda x: ~known(x)), lambda x: F.struct(x["start"].alias("at"), window_entropy(x["value"]).alias("w")))
     high = F.filter(scored, lambda x: x["w"]["first"].isNotNull())
     added = F.transform(
         high,

@@ -291,3 +291,25 @@ def test_window_entropy_is_exact(spark):
 )
 def test_pii_every_mark_proposes_its_address(text, want):
     assert [text[s:e] for kind, s, e in pii.candidates(text) if kind == "mail"] == want
+
+
+def test_secrets_beside_allowed_strings_and_base_spans(spark):
+    key, letters = "q7Zp2Xw9Lk4Vb8Nt3Rs6Yd1Hc5Gf0JmQaTzEuWoB", "qZpXwLkVbNtRsYdHcGfJmQaTzEuW"
+    hexed, allowed = "0f1e2d3c4b5a6978" * 2, "0123456789example========"
+    texts = [
+        f"/example/keys/{key}", f"========{key}", f"AAAAAAAAAA{key}", f"{hexed}/{key}", f"{key}/{hexed}/{key[::-1]}", f"{key}-1234567812345678", f"é {key}sample{key[::-1]}",
+        letters, "7192-8305_4617/2980+5364", "aaaaaaaaaa1111111111bbbbbbbbbb", f"{allowed}/some-plain-words-in-a-row", "sample-words-in-a-row/0123456789",
+        "Einungtzheitgeungverlich",
+    ]
+    secret = [[key], [key], [key], [key], [key, key[::-1]], [key], [key, key[::-1]], [letters], ["7192-8305_4617/2980+5364"], [], [], [], []]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(rows)
+    for r in found.select("doc_id", "text", "secrets").collect():
+        base = [(s.start, s.end) for s in r.secrets.base]
+        added = [(s.start, s.end) for s in r.secrets.added]
+        assert [tuple(s) for s in r.secrets.base] == plain_secrets(r.text)
+        assert len(added) == len(secret[r.doc_id]) and not any(a < d and c < b for a, b in added for c, d in base)
+        for (a, b), want in zip(added, secret[r.doc_id], strict=True):
+            at = r.text.index(want)
+            assert a < at + 4 and b > at + len(want) - 4
+    assert not any(want in r.text for r in secrets.redact(found).collect() for want in secret[r.doc_id])
