@@ -50,7 +50,7 @@ def _owned_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     return stored(sites), defs, owners
 
 
-def _part_graph(spark: SparkSession, d: str, quantity: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _part_graph(spark: SparkSession, d: str, quantity: int | None = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     sites = stored(adapters.part_sites(spark, d, quantity))
     edges = stored(graph.edge_groups(sites))
     return sites, edges, stored(graph.hub(edges))
@@ -333,8 +333,9 @@ def graph_caps_qualified(spark, d):
 
 
 def full_chain(spark, d):
-    _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges.where("src < dst"), anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0])
+    """Everything that reaches or is reached from the hub, over the edges of all consecutive lines, cycles included."""
+    _, edges, anchor = _part_graph(spark, d, None)
+    return _nodes(graph.walk(edges, anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0])
 
 
 def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

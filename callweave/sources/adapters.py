@@ -39,12 +39,15 @@ def call_sites(lines: DataFrame) -> DataFrame:
     return rows.select("rel_path", "language", "line_no", (F.col("p") + 1).alias("turn"), F.lower("n").alias("callee"), "line")
 
 
-def part_sites(spark: SparkSession, folder: str, quantity: int = 40) -> DataFrame:
+def part_sites(spark: SparkSession, folder: str, quantity: int | None = 40) -> DataFrame:
     """Call sites between parts: a returned line of an order "calls" the part of the order's next line.
 
+    Without a ``quantity`` every line does, returned or not.
+
     Columns src, dst, order and line; repeated (order, line) pairs give one site for each pair of parts.
     """
     items = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
-    a = items.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity)).select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"))
+    calling = items if quantity is None else items.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity))
+    a = calling.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"))
     b = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"))
     return a.join(b, ["l_orderkey", "line"]).select("src", "dst", F.col("l_orderkey").alias("site_file"), F.col("line").alias("site_line")).distinct()

@@ -134,3 +134,30 @@ def test_layouts(spark):
     assert graph.hit_test(boxes, 3.0, 0.0).first().id == 2 and graph.hit_test(boxes, 90.0, 0.0).isEmpty()
     path = graph.edge_paths(graph.layout_columns(nodes, edges), edges).where("src = 1 and dst = 3").first().d
     assert path.startswith("M 112.0 34.0 C ")
+
+
+def test_full_chain_walks_every_edge_and_cycles(spark, tmp_path):
+    from callweave.plans.queries import QUERIES
+
+    orders = [[5, 3, 9], [3, 5], [9, 2, 5], [2, 7, 7, 1], [1, 4], [8, 6, 3], [6, 8], [30, 31], [5, 3]]
+    rows = [(o, k, part, "RN"[(o + k) % 2], float(5 * k)) for o, parts in enumerate(orders) for k, part in enumerate(parts, 1)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double")
+    table.union(table.limit(3)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(a, b) for parts in orders for a, b in zip(parts, parts[1:])}
+    degree = {n: sum(a == n for a, _ in edges) * sum(b == n for _, b in edges) for e in edges for n in e}
+    anchor = min(degree, key=lambda n: (-degree[n], n))
+    want = {anchor: (0, -1, (anchor,))}
+    fronts = {1: [anchor], -1: [anchor]}
+    while fronts[1] or fronts[-1]:
+        for side in (1, -1):
+            new = {}
+            for n in fronts[side]:
+                for a, b in edges:
+                    here, there = (a, b) if side > 0 else (b, a)
+                    if here == n and there not in want:
+                        new[there] = min(new.get(there, ((float("inf"),), None)), ((*want[n][2], there), n))
+            for n, (path, parent) in new.items():
+                want[n] = (want[parent][0] + side, parent, path)
+            fronts[side] = list(new)
+    got = {r.id: (r.level, r.parent, tuple(map(int, r.path.split(">")))) for r in QUERIES["full_chain"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 9
