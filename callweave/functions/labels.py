@@ -36,7 +36,8 @@ def slice_units(text: Column | str, units: Column | int, from_end: bool = False)
     text = _col(text)
     whole = F.reverse(text) if from_end else text
     units = F.lit(units) if isinstance(units, int) else units
-    chars = F.when(F.length(whole) > 0, F.split(whole, "")).otherwise(F.array().cast("array<string>"))
+    near = F.substr(whole, F.lit(1), units)  # a character is one unit wide at least
+    chars = F.when(F.length(near) > 0, F.split(near, "")).otherwise(F.array().cast("array<string>"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
     def step(acc: Column, c: Column) -> Column:

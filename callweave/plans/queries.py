@@ -265,8 +265,8 @@ def label_texts(spark, d):
 
 
 def label_layout(spark, d):
-    rows = adapters.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"), F.concat_ws("/", "source", "lang", "text").alias("p"))
-    return rows.select("doc_id", F.array_join(labels.wrap_name("t"), "\n").alias("wrapped"), labels.compact_location(F.substring("p", 1, 90), "doc_id").alias("location"))
+    rows = adapters.read(spark, d, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", "text").alias("p"))
+    return rows.select("doc_id", F.array_join(labels.wrap_name("text"), "\n").alias("wrapped"), labels.compact_location("p", "doc_id").alias("location"))
 
 
 def name_tokens(spark, d):

@@ -87,3 +87,24 @@ def test_scans(spark, tmp_path):
     assert name(max_bytes=50) == ["src/a.kt", "src/b.py"]
     assert name(max_files=1) == ["big.go"] and name(extra_excludes=["src"]) == ["big.go"]
     assert sorted((r.rel_path, r.language) for r in files.list_files(spark, str(tmp_path), "qualified").collect()) == [("e.css", "typescript"), ("src/a.kt", "kotlin"), ("src/b.py", "python")]
+
+
+def test_label_layout_shows_the_end_of_long_texts(spark, tmp_path):
+    from callweave.plans.queries import QUERIES
+
+    texts = ["short", "a/b", "x" * 200 + "/folder/lastFile.py", "intro " * 30 + "/" + "漢字" * 40 + "/the end", "no slash " * 40, "d/" * 80 + "tail_of_a_very_long_file_name_here.ts", "é🙂" * 60]
+    spark.createDataFrame([(k, "web", "en", t) for k, t in enumerate(texts)], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def width(t):
+        return sum(1 + (c > "ÿ") for c in t)
+
+    def head(t, units):
+        while width(t) > units:
+            t = t[:-1]
+        return t
+
+    for r in QUERIES["label_layout"](spark, str(tmp_path)).collect():
+        text = texts[r.doc_id]
+        label = "/".join([x for x in f"web/en/{text}".split("/") if x][-2:]) + f":{r.doc_id}"
+        assert r.location == (label if width(label) <= 32 else head(label, 18) + "…" + head(label[::-1], 13)[::-1])
+        assert r.wrapped == text if width(text) <= 19 else r.wrapped.replace("\n", "").rstrip("…") in text
