@@ -3,8 +3,8 @@
 Bytes are embedded, filters of widths 2 to 5 run over windows of fixed length, their maxima over a
 window pass a dense layer and a softmax. A text is cut into windows that cover all of it; its
 prediction is the mean of its windows' probabilities, weighted by their letters. Training takes a
-bounded, documented sample of labelled rows (at most ``ROWS_PER_LANG`` a language and ``WINDOWS_PER_ROW``
-windows of each, spread over the whole text) and learns only from text and label. The weights are a
+bounded, documented sample of labelled rows (at most ``ROWS_PER_LANG`` a language, evenly fewer beyond
+``MAX_LANGS`` languages, and ``WINDOWS_PER_ROW`` windows of each, spread over the whole text) and learns only from text and label. The weights are a
 few kilobytes and travel with the task.
 """
 
@@ -167,15 +167,22 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame) -> ByteCNN:
     """Learn from a bounded sample of ``docs(doc_id, text, lang)``, chosen by a hash of doc_id.
 
-    Only text and label are learnt from. Without labelled rows the network knows no language and
+    No language is left out. Of rows of one doc_id and language the text of the least hash is taken. Only text and label are learnt from. Without labelled rows the network knows no language and
     predicts ``und``.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    keys = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG).select("doc_id", "lang")
-    keys = keys.orderBy("lang", "doc_id").limit(ROWS_PER_LANG * MAX_LANGS).distinct().collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    ranked = rows.select("doc_id", "lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG)
+    bound = ROWS_PER_LANG * MAX_LANGS
+    keys = ranked.orderBy("n", "lang").limit(bound).collect()  # the first of every language, then the second ones
     if not keys:
         return ByteCNN([])
+    if len(keys) == bound and keys[-1].n == 1:  # more languages than rows: one row of each
+        keys = ranked.where("n = 1").collect()
+    least: dict[tuple, int] = {}
+    for r in keys:
+        least[r.doc_id, r.lang] = min(r.h, least.get((r.doc_id, r.lang), r.h))
 
     @F.pandas_udf("array<binary>")
     def spread(texts: pd.Series) -> pd.Series:
@@ -185,8 +192,8 @@ def train(docs: DataFrame) -> ByteCNN:
             out.append([x[i].tobytes() for i in sorted({int(k) for k in np.linspace(0, len(x) - 1, WINDOWS_PER_ROW)})])
         return pd.Series(out)
 
-    chosen = docs.sparkSession.createDataFrame(keys, rows.select("doc_id", "lang").schema)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).limit(2 * len(keys)).select("doc_id", "lang", spread("text").alias("windows")).collect()
+    chosen = docs.sparkSession.createDataFrame([(*k, h) for k, h in least.items()], rows.select("doc_id", "lang", "h").schema)
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", spread("text").alias("windows")).collect()
     sample = sorted((r.doc_id, r.lang, w) for r in sample for w in map(bytes, r.windows))
     langs = sorted({lang for _, lang, _ in sample})
     x = np.stack([np.frombuffer(w, np.uint8) for _, _, w in sample])

@@ -313,3 +313,15 @@ def test_secrets_beside_allowed_strings_and_base_spans(spark):
             at = r.text.index(want)
             assert a < at + 4 and b > at + len(want) - 4
     assert not any(want in r.text for r in secrets.redact(found).collect() for want in secret[r.doc_id])
+
+
+def test_language_sample_keeps_every_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "ROWS_PER_LANG", 4)
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    monkeypatch.setattr(langid.ByteCNN, "fit", lambda self, x, y: seen.append((self.langs, x.tobytes(), y.tolist())) or self)
+    rows = [(k, f"text {k} {v}", f"l{k % n:02d}") for n in (8, 20) for k in range(100, 180) for v in range(3)]
+    for docs in (rows[:240], rows[240:]):
+        for parts in (1, 3):
+            langid.train(spark.createDataFrame(docs[::-1] if parts == 3 else docs, "doc_id long, text string, lang string").repartition(parts))
+    assert [len(langs) for langs, _, _ in seen] == [8, 8, 20, 20] and seen[0] == seen[1] and seen[2] == seen[3]
