@@ -7,6 +7,7 @@ import functools
 import gc
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -19,10 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster session raises, as
+    its executors couldn't read one another's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -37,7 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        path = _WRITTEN.pop(t, None)
+        if path:
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager
@@ -107,6 +129,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         small = cut(small)
         same = _digest(small) == _digest(pairs)
+        discard(pairs, least, large, smallest)
         pairs = small
         if same:
             return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(

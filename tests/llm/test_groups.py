@@ -179,25 +179,42 @@ def test_simhash_votes_are_those_of_the_words(spark):
     assert fp[1] & (2**64 - 1) == want and fp[2] == fp[3] == 0
 
 
-def plain_removal(texts):
+def plain_removal(texts, length):
+    """(n_bytes, n_removed, n_spans, kept) of every text, by counting all strings of the length."""
     raws = [(t or "").encode() for t in texts]
-    counts = Counter(r[i : i + substrings.LENGTH] for r in raws for i in range(len(r) - substrings.LENGTH + 1))
+    counts = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     out = []
     for r in raws:
         hit = np.zeros(len(r) + 1, int)
-        for i in range(len(r) - substrings.LENGTH + 1):
-            if counts[r[i : i + substrings.LENGTH]] > 1:
+        for i in range(len(r) - length + 1):
+            if counts[r[i : i + length]] > 1:
                 hit[i] += 1
-                hit[i + substrings.LENGTH] -= 1
+                hit[i + length] -= 1
         covered = np.cumsum(hit)[:-1] > 0
         kept = np.frombuffer(r, np.uint8)[~covered].tobytes()
         out.append((len(r), int(covered.sum()), int((covered & ~np.concatenate([[False], covered[:-1]])).sum()), kept))
     return out
 
 
-@pytest.mark.parametrize(("kinds", "part"), [(5000, 1 << 20), (8, 1500)])
-def test_repeated_substrings(spark, monkeypatch, kinds, part):
-    monkeypatch.setattr(substrings, "ANCHOR_KINDS", kinds)
+def test_common_prefixes_by_increasing_value():
+    rng = np.random.default_rng(5)
+    for n, letters, bound in [(1, 2, 3), (40, 2, 4), (300, 2, 9), (300, 4, 50)]:
+        text = np.concatenate([rng.integers(1, letters + 1, n - 1), [0]])
+        text[n // 2 : n // 2 + n // 4] = text[: n // 4]
+        text[-1] = 0
+        order = substrings.sorted_suffixes(text, bound)
+        rows = [text[i : i + bound].tolist() for i in order]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        found = substrings.common_prefixes(text, order, bound)
+        for i in range(1, n):
+            a, b = text[order[i - 1] :], text[order[i] :]
+            k = next((j for j in range(min(len(a), len(b), bound)) if a[j] != b[j]), min(len(a), len(b), bound))
+            assert found[i] == k
+
+
+@pytest.mark.parametrize(("kinds", "part", "length", "passage"), [(5000, 1 << 20, 400, 250), (8, 1500, 400, None), (8, 1500, 250, None), (5000, 1500, 90, 41)])
+def test_repeated_substrings(spark, monkeypatch, kinds, part, length, passage):
+    monkeypatch.setattr(substrings, "CORE_KINDS", kinds)
     monkeypatch.setattr(substrings, "BLOCK_ROWS", 40)
     monkeypatch.setattr(substrings, "PART", part)
     rng = random.Random(kinds)
@@ -209,10 +226,11 @@ def test_repeated_substrings(spark, monkeypatch, kinds, part):
         p = rng.choice(passages)
         texts.append(f"{make(rng.randrange(60))} {p[rng.randrange(80) : len(p) - rng.randrange(200)]} {make(rng.randrange(60))}")
     texts += [None, "", "ab" * 1200, "ab" * 150, "x" * 399, "x" * 400, "y" * 401, make(700), texts[0], texts[0]]
-    rows = [(k if k % 20 else None, t) for k, t in enumerate(texts)]
-    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = sorted((str(i), *w) for (i, _), w in zip(rows, plain_removal(texts), strict=True))
-    assert sorted((str(r.doc_id), r.cleaned.n_bytes, r.cleaned.n_removed, r.cleaned.n_spans, bytes(r.cleaned.kept)) for r in got) == want
+    rows = [(k if k % 20 else None, t) for k, t in enumerate(texts)] + [(7, texts[7]), (9, texts[20])]
+    texts += [texts[7], texts[20]]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length, passage=passage).collect()
+    want = sorted((str(i), *w, s[1]) for (i, _), w, s in zip(rows, plain_removal(texts, length), plain_removal(texts, passage or length), strict=True))
+    assert sorted((str(r.doc_id), r.cleaned.n_bytes, r.cleaned.n_removed, r.cleaned.n_spans, bytes(r.cleaned.kept), r.cleaned.n_shared) for r in got) == want
 
 
 def test_repeated_substrings_of_awkward_rows(spark, awkward, nothing):
@@ -225,7 +243,8 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, kept = docs.columns, docs
     for name, stage in pipeline.STAGES[:-1]:
-        before = {r.doc_id for r in kept.select("doc_id").collect()}
+        rows = kept.select("doc_id", "text").collect()
+        before = {r.doc_id for r in rows}
         kept = stage(spark, kept, SMALL).persist()
         assert kept.columns == columns
         after = [r.doc_id for r in kept.select("doc_id").collect()]
@@ -233,7 +252,10 @@ def test_pipeline(spark):
         if name == "near_dedup":
             assert set(plain_components([(r.doc_id, r.text) for r in kept.collect()]).values()) == set(after)
         if name == "substring_dedup":
-            assert sum(n for _, n, _, _ in plain_removal([r.text for r in kept.collect()])) == 0
+            left = plain_removal([r.text for r in rows], substrings.PASSAGE)
+            want = {r.doc_id: k.decode(errors="ignore") if n else r.text for r, (_, n, _, k) in zip(rows, left, strict=True)}
+            assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t in want.items() if t.strip(" ")}
+            assert any(n for _, n, _, _ in left)
     assert not kept.where("text rlike 'AKIA[A-Z0-9]{16}'").count() and kept.where("n_chars <> length(text)").isEmpty()
     assert len(after) > 0.7 * docs.count()
     rows = pipeline.run(spark, SMALL).collect()
