@@ -34,17 +34,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every group of near duplicates, and all rows without a doc_id."""
+    """Keep the smallest doc_id of every group of near duplicates, and all rows without a doc_id.
+
+    Of rows that repeat a doc_id with one text a single row stays; rows of one doc_id with different texts all stay.
+    """
     _frugal(spark)
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated byte strings out of the texts; a character cut in two goes. Emptied documents go."""
+    """Take strings of ``substrings.PASSAGE`` bytes that repeat out of the texts; a character cut in two goes. Emptied documents go."""
     _frugal(spark)
-    found = substrings.remove_repeats(docs)
+    found = substrings.remove_repeats(docs, length=substrings.PASSAGE)
     changed = F.col("cleaned.n_removed") > 0
     out = found.withColumn("text", F.when(changed, substrings.decoded("cleaned.kept")).otherwise(F.col("text")))
     return out.where(~changed | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
