@@ -1,8 +1,8 @@
 """Removal of byte strings of a given length that occur twice or more in the corpus, exactly.
 
-Routing. Every window of ``length`` bytes holds cores of half its size; those with the least hash are
-anchors, chosen by content alone, so that equal windows have equal anchors at equal places. Anchors
-whose whole surroundings (all windows around the anchor, by 128-bit digest) occur again are settled by
+Routing. Every window of ``length`` bytes holds cores of half its size; the one with the least hash is
+its anchor, chosen by content alone, so that equal windows have equal anchors at equal places. Anchors
+whose surroundings (all windows that are theirs, by 128-bit digest) occur again are settled by
 counting. Others of the same core meet in blocks of bounded size, one row for each kind of surroundings.
 
 Deciding. A block is one text: the bytes before and behind every anchor, the common core as one symbol
@@ -35,8 +35,8 @@ from callweave.llm.shingles import mix
 LENGTH = 400
 #: A length that a passage of fifty words reaches; the pipeline removes strings of it.
 PASSAGE = 250
-#: Kinds of surroundings in one block, and of one core before it is divided.
-BLOCK_ROWS, CORE_KINDS = 6_000, 2_000
+#: Symbols meant for one block, and kinds of surroundings of one core before it is divided.
+BLOCK_SYMBOLS, CORE_KINDS = 700_000, 1_000
 #: Bytes hashed at a time; a longer text is taken in parts.
 PART = 1 << 18
 #: Bytes by which surroundings are compared before they enter a transform.
@@ -85,11 +85,18 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x if size == width else pick(x[: len(x) - (width - size)], x[width - size :])
 
 
-def anchors_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Anchors of texts joined in ``data``, each ending at ``ends``: position, bytes of the surroundings from there on, core hash, digest of the surroundings."""
+def anchors_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of texts joined in ``data``, each ending at ``ends``, with the windows that are theirs.
+
+    A window's anchor is the first of its least cores, so that every window has one anchor, and the
+    windows of an anchor are neighbours. Gives positions, bytes from the first window to the anchor
+    and from the anchor to the last window's end, core hashes, and digests of all these bytes and of
+    the anchor's place in them (two columns).
+    """
     n, side = len(data), side_of(length)
+    none = np.zeros(0, np.int64)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+        return none, none, none, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     begins = np.concatenate([[0], ends[:-1]])
     prefix = _CORES.prefix(data)
     at = np.arange(n - (length - side) + 1)
@@ -99,11 +106,19 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     least[np.arange(len(least)) + length > end_of] = 0
     padded = np.concatenate([np.zeros(side, np.uint64), least, np.zeros(side, np.uint64)])
     chosen = np.flatnonzero(_slide(padded, side + 1, np.maximum)[: len(core)] == core)
-    text = np.searchsorted(ends, chosen, side="right")
-    low, high = np.maximum(begins[text], chosen - side), np.minimum(ends[text], chosen + length)
-    raw = memoryview(data.tobytes())
-    around = [hashlib.blake2b(raw[a:b], digest_size=16, salt=c.to_bytes(4, "little")).digest() for a, b, c in zip(low.tolist(), high.tolist(), (chosen - low).tolist(), strict=True)]
-    return chosen, high - chosen, core[chosen], around
+    window = np.flatnonzero(least)
+    pick = np.searchsorted(chosen, window)
+    wrong = np.arange(len(window))
+    while len(wrong := wrong[core[chosen[pick[wrong]]] != least[window[wrong]]]):
+        pick[wrong] += 1
+    new = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (window[1:] != window[:-1] + 1)])[: len(window)])
+    pos, low = chosen[pick[new]], window[new]
+    high = window[np.concatenate([new[1:] - 1, [len(window) - 1]])[: len(new)]] + length
+    raw, digest = data.tobytes(), hashlib.blake2b
+    around = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    around = np.frombuffer(around, "<i8").reshape(-1, 2).copy()
+    around[:, 0] += pos - low
+    return pos, pos - low, high - pos, core[pos], around
 
 
 def _parts(size: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -119,18 +134,18 @@ def _text_anchors(raws: Iterator[bytes], length: int) -> Iterator[tuple]:
 
     def run() -> tuple:
         ends = np.cumsum([len(raw) for _, raw in batch])
-        pos, room, h, g = anchors_of(np.frombuffer(b"".join(raw for _, raw in batch), np.uint8), ends, length)
+        pos, back, room, h, g = anchors_of(np.frombuffer(b"".join(raw for _, raw in batch), np.uint8), ends, length)
         which = np.searchsorted(ends, pos, side="right")
-        return np.array([i for i, _ in batch])[which], pos - (ends - np.diff(ends, prepend=0))[which], room, h, g
+        return np.array([i for i, _ in batch])[which], pos - (ends - np.diff(ends, prepend=0))[which], back, room, h, g
 
     for i, raw in enumerate(raws):
         if len(raw) < length:
             continue
         if len(raw) > 2 * PART:
             for low, high, a, b in _parts(len(raw), length):
-                pos, room, h, g = anchors_of(np.frombuffer(raw[low:high], np.uint8), np.array([high - low]), length)
+                pos, back, room, h, g = anchors_of(np.frombuffer(raw[low:high], np.uint8), np.array([high - low]), length)
                 keep = np.flatnonzero((pos + low >= a) & (pos + low < b))
-                yield np.full(len(keep), i), pos[keep] + low, room[keep], h[keep], [g[k] for k in keep.tolist()]
+                yield np.full(len(keep), i), pos[keep] + low, back[keep], room[keep], h[keep], g[keep]
             continue
         batch.append((i, raw))
         held += len(raw)
@@ -142,38 +157,50 @@ def _text_anchors(raws: Iterator[bytes], length: int) -> Iterator[tuple]:
 
 
 def anchor_table(pieces: DataFrame, length: int) -> DataFrame:
-    """``pieces(doc_id, v, at, raw)`` to anchors(doc_id, v, at, pos, room, h, g); ``pos`` counts from the piece's begin."""
+    """``pieces(doc_id, v, at, raw)`` to anchors(doc_id, v, at, pos, back, room, h, g1, g2); ``pos`` counts from the piece's begin."""
     kind = pieces.schema["doc_id"].dataType
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("raw"))
-            for which, pos, room, h, g in _text_anchors(raws, length):
+            for which, pos, back, room, h, g in _text_anchors(raws, length):
                 rows = pa.array(which)
                 columns = [batch.column(c).take(rows) for c in ("doc_id", "v", "at")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(pos.astype(np.int32)), pa.array(room.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g, pa.binary())],
-                    names=["doc_id", "v", "at", "pos", "room", "h", "g"],
+                    [*columns, *(pa.array(x.astype(np.int32)) for x in (pos, back, room)), pa.array(h.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1])],
+                    names=["doc_id", "v", "at", "pos", "back", "room", "h", "g1", "g2"],
                 )
 
-    return pieces.mapInArrow(run, f"doc_id {kind.simpleString()}, v long, at int, pos int, room int, h long, g binary")
+    return pieces.mapInArrow(run, f"doc_id {kind.simpleString()}, v long, at int, pos int, back int, room int, h long, g1 long, g2 long")
+
+
+def _ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys of so many bits; a key and its place are sorted as one number where they fit."""
+    place = len(key).bit_length()
+    if bits + place > 63:
+        return np.argsort(key, kind="stable")
+    key = (key << place) | np.arange(len(key))
+    key.sort()
+    return key & ((1 << place) - 1)
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` in the order of their first ``depth`` symbols or more, by doubling prefixes."""
     n, k = len(text), 1
-    _, rank = np.unique(text, return_inverse=True)
+    rank, most = text.astype(np.int64), int(text.max())
     while True:
+        width = (most + 1).bit_length()
         following = np.zeros(n, np.int64)
         following[: n - k] = rank[k:] + 1
-        key = rank.astype(np.int64) * (n + 1) + following
-        order = np.argsort(key, kind="stable")
+        key = (rank << width) | following
+        order = _ordered(key, 2 * width)
         key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))[:n]
+        most = int(rank[order[-1]])
         k *= 2
-        if k >= min(depth, n) or rank[order[-1]] == n - 1:
+        if k >= min(depth, n) or most == n - 1:
             return order
 
 
@@ -186,19 +213,21 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarr
     """
     n = len(text)
     before = text[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by_symbol] = np.arange(n)
+    by_symbol = _ordered(before, int(before.max()).bit_length()).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    rank[by_symbol] = np.arange(n, dtype=np.int32)
     same = before[by_symbol[1:]] == before[by_symbol[:-1]]
-    previous, following = np.full(n, -1), np.full(n, n)
+    previous, following = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     previous[by_symbol[1:][same]] = by_symbol[:-1][same]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
-    out = np.full(n + 1, bound)
+    out = np.full(n + 1, bound, np.int32)
     out[[0, n]] = -1
-    starts, stops = np.array([0]), np.array([n])
+    starts, stops = np.array([0], np.int32), np.array([n], np.int32)
+    count = np.arange(n, dtype=np.int32)
     for size in range(bound):
         many = stops - starts
-        at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        reached = np.cumsum(many, dtype=np.int32)
+        at = np.repeat(starts - (reached - many), many) + count[: reached[-1]]
         first = previous[at] < np.repeat(starts, many)
         last = following[at] >= np.repeat(stops, many)
         # Extended intervals don't overlap, so that their begins and their ends have one order.
@@ -303,17 +332,20 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
     side = side_of(length)
     id_type = pieces.schema["doc_id"].dataType.simpleString()
     span = f"doc_id {id_type}, v long, start int, stop int"
-    own_id = ["doc_id", "v", "at", "pos"]
+    own_id = ["doc_id", "v", "at", "pos", "back", "room"]
     with small_batches(pieces.sparkSession):
         anchors = cut(anchor_table(pieces, length))
     # What is counted is written before it joins back, so that rows of a hot anchor can be split in the join.
-    again = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    kinds = cut(anchors.join(again, "h", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("h").alias("h"), F.min(F.struct(*own_id)).alias("one")))
-    whole = anchors.join(kinds.where("m > 1").select("g"), "g", "left_semi")
-    settled = cut(whole.select("doc_id", "v", (F.col("at") + F.greatest(F.col("pos") - side, F.lit(0))).alias("start"), (F.col("at") + F.col("pos") + F.col("room")).alias("stop")))
-    open_ = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("h")
-    edges = kinds.join(open_, "h", "left_semi").select((F.col("m") == 1).alias("single"), "one.*")
-    per_doc = edges.groupBy("doc_id", "v", "at").agg(F.collect_list(F.struct("pos", "single")).alias("own"))
+    again = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
+    rows = cut(anchors.join(again, "h", "left_semi"))
+    discard(anchors, again)
+    # Any row may stand for its kind; all columns come of the same one.
+    kinds = cut(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("h", *own_id)]))
+    whole = rows.join(kinds.where("m > 1").select("g1", "g2"), ["g1", "g2"], "left_semi")
+    settled = cut(whole.select("doc_id", "v", (F.col("at") + F.col("pos") - F.col("back")).alias("start"), (F.col("at") + F.col("pos") + F.col("room")).alias("stop")))
+    open_ = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("h"))
+    edges = kinds.join(open_, "h", "left_semi").select((F.col("m") == 1).alias("single"), *own_id)
+    per_doc = edges.groupBy("doc_id", "v", "at").agg(F.collect_list(F.struct("pos", "back", "room", "single")).alias("own"))
 
     @F.pandas_udf("array<struct<key:binary,before:binary,after:binary>>")
     def sides(raws: pd.Series, own: pd.Series) -> pd.Series:
@@ -322,7 +354,7 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
             rows = []
             for e in places:
                 a, b = e["pos"], e["pos"] + length - side
-                rows.append({"key": hashlib.blake2b(raw[a:b], digest_size=16).digest(), "before": raw[max(0, a - side) : a][::-1], "after": raw[b : b + side]})
+                rows.append({"key": hashlib.blake2b(raw[a:b], digest_size=16).digest(), "before": raw[a - e["back"] : a][::-1], "after": raw[b : a + e["room"]]})
             out.append(rows)
         return pd.Series(out)
 
@@ -333,13 +365,13 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
     found = found.select("doc_id", "v", (F.col("at") + F.col("own.pos")).alias("pos"), "own.single", "sides.*")
     with small_batches(pieces.sparkSession):
         pending = cut(found.withColumns({"low": F.lit(0), "high": F.lit(side)}))
-    discard(anchors, kinds)
+    discard(rows, kinds, open_)
     spans = [settled]
     while True:
         counts = cut(pending.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
         total = counts.agg(F.coalesce(F.sum(F.when(F.col("k") <= CORE_KINDS, F.col("k"))), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
         live = pending.join(counts, "key")
-        block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total[0] // BLOCK_ROWS))))
+        block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total[0] * (2 * side + 2) // BLOCK_SYMBOLS))))
         spans.append(cut(_resolve(live.where(F.col("k") <= CORE_KINDS).drop("k").withColumn("block", block), span, length)))
         if total[1] <= CORE_KINDS:
             discard(pending, counts)

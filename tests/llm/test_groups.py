@@ -215,7 +215,7 @@ def test_common_prefixes_by_increasing_value():
 @pytest.mark.parametrize(("kinds", "part", "length", "passage"), [(5000, 1 << 20, 400, 250), (8, 1500, 400, None), (8, 1500, 250, None), (5000, 1500, 90, 41)])
 def test_repeated_substrings(spark, monkeypatch, kinds, part, length, passage):
     monkeypatch.setattr(substrings, "CORE_KINDS", kinds)
-    monkeypatch.setattr(substrings, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(substrings, "BLOCK_SYMBOLS", 16_000)
     monkeypatch.setattr(substrings, "PART", part)
     rng = random.Random(kinds)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
