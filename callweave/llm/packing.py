@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import functools
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Ids after which a task hands its rows on.
 FLUSH_IDS = 1 << 20
-#: Fillings looked at around one largest piece, and fillings in the whole search; past them the incumbent stands.
-FILLINGS = 400
-NODES = 4000
+#: Ways to order fillings, tried in turn.
+EASE = (0, 4, 8, 2, 16)
+#: Steps after which the sums of what is left are computed anew, and pieces of fillings tested for dominance.
+RENEW, TESTED = 64, 6
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -93,83 +96,176 @@ def _dominates(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int) -> list[tuple[int, Pattern]]:
-    """Undominated maximal fillings of ``room`` with pieces at hand: (waste, pattern), least waste first."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    looked = 0
-
-    def extend(k: int, left: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal looked
-        maximal = True
-        while k < len(sizes):
-            s = sizes[k]
-            if s <= left and chosen.count(s) < counts[s]:
-                maximal = False
-                if extend(k, left - s, (*chosen, s)):
-                    return True
-            k += 1
-        if maximal:
-            looked += 1
-            if left <= most_waste:
-                found.append((left, chosen))
-        return looked >= FILLINGS or len(found) >= 16 and sum(w == 0 for w, _ in found) >= 8
-
-    extend(0, room, ())
-    found = sorted(set(found), key=lambda f: (f[0], len(f[1])))[:16]
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste, items in found:
-        if len(items) > 6 or not any(len(b) <= 6 and _dominates(b, items) for _, b in kept):
-            kept.append((waste, items))
-    return [(w, tuple((s, items.count(s)) for s in sorted(set(items), reverse=True))) for w, items in kept]
+class _Stock:
+    """Pieces that are left, and the sums that they can make; sums may be stale, but only on the large side."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left, self.capacity, self.age = dict(counts), capacity, RENEW
+        self.sizes: list[int] = []
+        self.sums: list[int] = []
+
+    def take(self, pattern: Pattern, many: int) -> None:
+        for s, k in pattern:
+            self.left[s] -= k * many
+        self.age = RENEW if many < 0 else self.age + 1  # what comes back makes the sums too small
+
+    def renew(self) -> None:
+        if self.age < RENEW:
+            return
+        self.age = 0
+        self.sizes = sorted((s for s, n in self.left.items() if n), reverse=True)
+        made, full, sums = 1, (1 << self.capacity + 1) - 1, [1]
+        for s in reversed(self.sizes):
+            n, step = min(self.left[s], self.capacity // s), 1
+            while n > 0:
+                step = min(step, n)
+                made |= made << step * s
+                n -= step
+                step *= 2
+            made &= full
+            sums.append(made)
+        self.sums = sums[::-1]  # sums[k]: what pieces of sizes[k:] can make
+
+    def fill(self, room: int) -> Iterator[Pattern]:
+        """Selections that fill ``room`` exactly, those with the largest pieces first."""
+        sizes, sums = self.sizes, self.sums  # of now: when the iteration goes on, what is left is what was left
+
+        def rest(k: int, room: int) -> Iterator[Pattern]:
+            if room == 0:
+                yield ()
+                return
+            k = max(k, bisect_left(sizes, -room, key=lambda s: -s))
+            while k < len(sizes) and sums[k] >> room & 1:
+                s = sizes[k]
+                for n in range(min(self.left[s], room // s), 0, -1):
+                    if sums[k + 1] >> room - n * s & 1:
+                        for more in rest(k + 1, room - n * s):
+                            yield ((s, n), *more)
+                k += 1
+
+        return rest(0, room)
+
+    def fill_by_few(self, room: int, easy: int) -> Iterator[tuple[int, Pattern]]:
+        """(waste, selection) of at most two pieces that leave no more than ``easy``: one piece first, then pieces of like size."""
+        if room <= easy:
+            yield room, ()
+        for waste in range(min(easy, room - 1) + 1):
+            if self.left.get(room - waste):
+                yield waste, ((room - waste, 1),)
+        sizes = self.sizes
+        for waste in range(min(easy, room - 1) + 1):
+            for k in range(bisect_right(sizes, -(room - waste) / 2, key=lambda s: -s) - 1, -1, -1):
+                a, b = sizes[k], room - waste - sizes[k]
+                if b <= 0:
+                    break
+                if self.left[a] and self.left.get(b, 0) > (a == b):
+                    yield waste, (((a, 1), (b, 1)) if a != b else ((a, 2),))
+
+
+def fillings(stock: _Stock, room: int, most_waste: int, easy: int = 0) -> Iterator[tuple[int, Pattern]]:
+    """Undominated maximal fillings of ``room`` with pieces at hand: (waste, pattern).
+
+    First come those of at most two pieces that waste no more than ``easy``: they keep small pieces for
+    rooms that nothing else fills. Then all others follow, lazily, by growing waste. Dominance is tested
+    against earlier fillings of few pieces; a filling that isn't tested stays, which loses nothing.
+    """
+    few: list[tuple[int, ...]] = []
+    least = stock.sizes[-1] if stock.sizes else room + 1
+
+    def new(waste: int, pattern: Pattern) -> bool:
+        if waste >= least:
+            used = dict(pattern)
+            if any(s <= waste and n > used.get(s, 0) for s, n in stock.left.items()):
+                return False
+        items = tuple(s for s, n in pattern for _ in range(n))
+        if len(items) <= TESTED:
+            if any(_dominates(b, items) for b in few):
+                return False
+            few.append(items)
+        return True
+
+    most_waste = min(most_waste, room)
+    every = ((waste, pattern) for waste in range(most_waste + 1) for pattern in stock.fill(room - waste))
+    for waste, pattern in chain(stock.fill_by_few(room, min(easy, most_waste)) if easy else (), every):
+        if new(waste, pattern):
+            yield waste, pattern
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; every piece is in exactly one."""
+    """Patterns and how often each is used; every piece is in exactly one.
+
+    The incumbent is best-fit decreasing's, until a search finds better. The search ends with the lower
+    bound met (which proves the optimum) or with all branches looked at; otherwise, when the search has
+    ended in all orders of ``EASE``, the best incumbent stands.
+    """
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     total = sum(s * n for s, n in counts.items())
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    left, taken, waste, nodes = dict(counts), [], 0, 0
+    for ease in EASE:
+        for target in (bound, bins - 1):
+            if bound <= target < bins and (better := _improve(counts, capacity, target, ease)):
+                best, bins = better, sum(n for _, n in better)
+    return best
+
+
+def _improve(counts: dict[int, int], capacity: int, bins: int, ease: int) -> list[tuple[Pattern, int]] | None:
+    """A packing into ``bins`` at most, by depth-first search; None where none is found.
+
+    A filling may waste ``ease`` times its share of what can be wasted before fillings that waste less are
+    tried. The search ends when it has turned back once for each length.
+    """
+    stock = _Stock(counts, capacity)
+    slack = bins * capacity - sum(s * n for s, n in counts.items())
+    taken: list[tuple[int, Pattern, int]] = []
     frames: list[Iterator] = []
+    waste, used, open_ = 0, 0, set(counts)
 
     def options() -> Iterator:
-        size = max(s for s, n in left.items() if n)
-        left[size] -= 1
-        own = fillings(left, capacity - size, (bins - 1) * capacity - total - waste)
-        left[size] += 1
-        for w, pattern in own:
+        while stock.left[size := max(open_)] == 0:
+            open_.discard(size)
+        stock.renew()
+        stock.left[size] -= 1
+        own = fillings(stock, capacity - size, slack - waste, ease * (slack - waste) // max(1, bins - used))
+        while True:
+            found = next(own, None)
+            stock.left[size] += 1
+            if found is None:
+                return
+            w, pattern = found
             merged = dict(pattern)
             merged[size] = merged.get(size, 0) + 1
-            times = min(left[s] // k for s, k in merged.items())
-            allowed = (bins - 1) * capacity - total - waste
-            for many in dict.fromkeys((min(times, allowed // w) if w else times, 1)):
+            times = min(stock.left[s] // k for s, k in merged.items())
+            for many in dict.fromkeys((min(times, (slack - waste) // w) if w else times, 1)):
                 if many > 0:
                     yield w * many, tuple(sorted(merged.items(), reverse=True)), many
+            stock.left[size] -= 1
 
-    while bins > bound and nodes < NODES:
+    pieces = sum(counts.values())
+    turns = len(counts)
+    while turns:
+        if not pieces:
+            return [(p, n) for _, p, n in taken]
         if len(frames) == len(taken):
-            if any(left.values()):
-                frames.append(options())
-            else:
-                best, bins = [(p, n) for _, p, n in taken], sum(n for _, _, n in taken)
-        step = next(frames[-1], None) if len(frames) > len(taken) else None
+            frames.append(options())
+        step = next(frames[-1], None)
         if step is None:
-            del frames[len(taken) :]
+            frames.pop()
+            turns -= 1
             if not taken:
-                break
+                return None
             w, pattern, many = taken.pop()
-            waste -= w
-            for s, k in pattern:
-                left[s] += k * many
-        elif waste + step[0] <= (bins - 1) * capacity - total:
-            nodes += 1
-            w, pattern, many = step
-            waste += w
-            for s, k in pattern:
-                left[s] -= k * many
-            taken.append(step)
-    return best
+            waste, used = waste - w, used - many
+            stock.take(pattern, -many)
+            open_.update(s for s, _ in pattern)
+            pieces += many * sum(k for _, k in pattern)
+            continue
+        w, pattern, many = step
+        waste, used = waste + w, used + many
+        stock.take(pattern, many)
+        pieces -= many * sum(k for _, k in pattern)
+        taken.append(step)
+    return [(p, n) for _, p, n in taken] if not pieces else None
 
 
 @functools.cache

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import duckdb
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -145,6 +146,32 @@ def test_packing_is_optimal_on_small_cases(items):
     assert used == counts and sum(n for _, n in found) == brute_bins(items, 20)
 
 
+def test_packing_meets_the_bound_where_best_fit_does_not():
+    import tiktoken  # noqa: F401  (the coder needs it)
+
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    counts: dict[int, int] = {}
+    for ids in packing._ids(packing._coder(P.path("byte_bpe_50k.json")), texts):
+        size = len(ids) + 1
+        for s, n in ((1024, size // 1024), (size % 1024, 1)):
+            if s and n:
+                counts[s] = counts.get(s, 0) + n
+    bound, fit = packing.lower_bound(counts, 1024), sum(n for _, n in packing.best_fit_decreasing(counts, 1024))
+    found = packing.bin_completion(counts, 1024)
+    used: dict[int, int] = {}
+    for pattern, n in found:
+        assert sum(s * k for s, k in pattern) <= 1024
+        for s, k in pattern:
+            used[s] = used.get(s, 0) + k * n
+    assert used == counts and bound == sum(n for _, n in found) < fit
+
+
+def test_packing_of_many_equal_pieces_takes_few_steps():
+    counts = {s: 10**9 + 7 * s for s in range(1, 1025, 3)}
+    found = packing.bin_completion(counts, 1024)
+    assert packing.lower_bound(counts, 1024) <= sum(n for _, n in found) <= sum(n for _, n in packing.best_fit_decreasing(counts, 1024))
+
+
 def test_packing_on_spark(spark, awkward, nothing):
     from tokenizers import Tokenizer
 
