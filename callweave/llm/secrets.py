@@ -25,6 +25,8 @@ _HEX = r"[0-9a-f]{16,}+"
 _CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 
 WINDOW = 20
+#: Elements that are summed up in one block of an array.
+BLOCK = 128
 #: Least entropy in bits a character, by class; letters alone and digits alone, with any punctuation, are mostly words and numbers.
 THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.7, "digits": 3.0}
 #: Parts of candidates that are no secret: alphabets, repeats, words of examples. What surrounds them may be one.
@@ -38,22 +40,26 @@ ALLOW = [
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
+def _offsets(sizes: Column) -> Column:
+    """Array of the sums of ``sizes`` before each element, in blocks, so that many elements aren't copied once for each."""
+    walk = lambda xs, value: F.aggregate(
+        xs,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: walk(F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)), lambda x: x))
+    bases = F.transform(F.arrays_zip(blocks.alias("b"), walk(blocks, lambda x: x["at"])["out"].alias("at")), lambda x: F.transform(x["b"]["out"], lambda at: at + x["at"]))
+    return F.when(F.size(sizes) > 0, F.flatten(bases)).otherwise(F.array().cast("array<int>"))
+
+
 def _placed(text: Column, pattern: str, matches: Column, value: Column) -> Column:
     """Array of (start, end, value): ``matches`` of the pattern in ``text`` with their positions."""
     gaps = F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")), lambda x: F.struct(F.length(x.getField("g")).alias("g"), F.length(x.getField("m")).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    walk = F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    both = F.arrays_zip(walk.alias("s"), value.alias("v"))
-    out = F.transform(both, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["v"].alias("value")))
+    both = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
+    before = _offsets(F.transform(both, lambda x: F.length(x["g"]) + F.length(x["m"])))
+    rows = F.arrays_zip(before.alias("at"), matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"), value.alias("v"))
+    start = lambda x: x["at"] + F.length(x["g"])
+    out = F.transform(rows, lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["m"])).alias("end"), x["v"].alias("value")))
     return F.when(F.size(matches) > 0, out).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
@@ -64,19 +70,20 @@ def window_entropy(string: Column) -> Column:
     hexed = string.rlike("^[0-9a-fA-F]+$")
     letters, digits = string.rlike("[A-Za-z]"), string.rlike("[0-9]")
     limit = F.when(~letters & ~digits, 99.0).when(~digits, THRESHOLDS["letters"]).when(~letters, THRESHOLDS["digits"]).when(hexed, THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(_ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
+    # Counts of the alphabet's characters, at most WINDOW each: twelve of five bits in a long.
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(_ALPHABET) // 12)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    count = lambda n, c: F.call_function("shiftright", F.element_at(n, F.floor(c / 12).cast("int") + 1), c % 12 * 5).bitwiseAND(31)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % 12 * 5)
 
     def step(acc: Column, i: Column) -> Column:
         enters = code(i)
         leaves = F.when(i > WINDOW, code(i - WINDOW)).otherwise(-1)
-        up = F.element_at(acc["n"], enters + 1)
+        up = count(acc["n"], enters)
         s1 = acc["s"] + bits(up + 1) - bits(up)
-        n1 = F.transform(acc["n"], lambda v, k: v + F.when(k == enters, 1).otherwise(0))
-        down = F.element_at(n1, F.when(leaves >= 0, leaves + 1).otherwise(1))
+        n1 = F.transform(acc["n"], lambda v, k: v + F.when(k == F.floor(enters / 12), one(enters)).otherwise(0))
+        down = count(n1, F.greatest(leaves, F.lit(0)))
         s2 = s1 - F.when(leaves >= 0, bits(down) - bits(down - 1)).otherwise(0.0)
-        n2 = F.transform(n1, lambda v, k: v - F.when(k == leaves, 1).otherwise(0))
+        n2 = F.transform(n1, lambda v, k: v - F.when((leaves >= 0) & (k == F.floor(leaves / 12)), one(leaves)).otherwise(0))
         high = (i >= WINDOW) & (math.log2(WINDOW) - s2 / WINDOW >= limit)
         return F.struct(
             n2.alias("n"),
@@ -112,7 +119,7 @@ def _parts(x: Column, base: Column) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``secrets``: ``base`` and ``added``, arrays of (start, rank, kind, end).
 
-    Both are sorted by start, then kind as listed; positions are code points, ends exclusive. Base
+    Both are sorted by start, then kind as listed, so that ties have one order; positions are code points, ends exclusive. Base
     spans follow the rules; added ones (kind ``entropy``) overlap no base span. Null and empty texts have none.
     """
     t, found, placed, name = (free_name(docs, x) for x in ("t_", "f_", "p_", "secrets"))
@@ -160,17 +167,19 @@ def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Data
     """Replace the spans of ``find_secrets`` in the text; overlapping spans become one mask."""
     t = text_or_empty(text)
     spans = F.array_sort(F.concat("secrets.base", "secrets.added"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # Overlapping spans become one; what is kept before each lies between two of them.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
     walk = F.aggregate(
         spans,
         start,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"))))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))),
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, walk).otherwise(F.col(text))).drop("secrets")
+    kept = F.transform(walk["out"], lambda p: F.concat(F.substr(t, p["from"] + 1, p["to"] - p["from"]), F.lit(mask)))
+    masked = F.concat(F.array_join(kept, ""), F.substr(t, walk["at"] + 1, F.length(t)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("secrets")
 
 
 def joined(spans: Column) -> Column:
