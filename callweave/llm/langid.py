@@ -10,15 +10,15 @@ few kilobytes and travel with the task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import free_name, frugal, table, text_or_empty
+from callweave.llm.common import cut, free_name, frugal, table, text_or_empty
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -29,7 +29,8 @@ ROWS_PER_LANG, MAX_LANGS, WINDOWS_PER_ROW = 400, 64, 6
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode gives a category of L*; numbers such as a half or a circled one are none.
+_LETTER = regex.compile(r"\p{L}")
 _LETTER_BYTE = np.zeros(256, np.float32)
 _LETTER_BYTE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _TALL = max(WIDTHS)
@@ -165,24 +166,28 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame) -> ByteCNN:
-    """Learn from a bounded sample of ``docs(doc_id, text, lang)``, chosen by a hash of doc_id.
+    """Learn from a bounded sample of ``docs(doc_id, text, lang)``, chosen by a hash of doc_id and text.
 
-    No language is left out. Of rows of one doc_id and language the text of the least hash is taken. Only text and label are learnt from. Without labelled rows the network knows no language and
-    predicts ``und``.
+    Rows are thinned by the hash to about twice what a language needs before they are ranked, so that
+    no task sees more than that of a language. No language is left out. Repeated rows and rows of equal
+    hash count once. Only text and label are learnt from. Without labelled rows the network knows no
+    language and predicts ``und``.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    ranked = rows.select("doc_id", "lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG)
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    share = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thin = rows.select("lang", "h").join(F.broadcast(counts) if counts.count() <= MAX_LANGS else counts, "lang").where(share * F.col("rows") < 2 * ROWS_PER_LANG).select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(7)), "h")
+    ranked = thin.withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG)
     bound = ROWS_PER_LANG * MAX_LANGS
     keys = ranked.orderBy("n", "lang").limit(bound).collect()  # the first of every language, then the second ones
+    if not keys:
+        keys = rows.groupBy("lang").agg(F.min("h").alias("h"), F.lit(1).alias("n")).collect()
     if not keys:
         return ByteCNN([])
     if len(keys) == bound and keys[-1].n == 1:  # more languages than rows: one row of each
         keys = ranked.where("n = 1").collect()
-    least: dict[tuple, int] = {}
-    for r in keys:
-        least[r.doc_id, r.lang] = min(r.h, least.get((r.doc_id, r.lang), r.h))
 
     @F.pandas_udf("array<binary>")
     def spread(texts: pd.Series) -> pd.Series:
@@ -192,9 +197,9 @@ def train(docs: DataFrame) -> ByteCNN:
             out.append([x[i].tobytes() for i in sorted({int(k) for k in np.linspace(0, len(x) - 1, WINDOWS_PER_ROW)})])
         return pd.Series(out)
 
-    chosen = docs.sparkSession.createDataFrame([(*k, h) for k, h in least.items()], rows.select("doc_id", "lang", "h").schema)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", spread("text").alias("windows")).collect()
-    sample = sorted((r.doc_id, r.lang, w) for r in sample for w in map(bytes, r.windows))
+    chosen = docs.sparkSession.createDataFrame([(r.lang, r.h) for r in keys], rows.select("lang", "h").schema)
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("h", "lang", spread("text").alias("windows")).dropDuplicates(["h", "lang"]).collect()
+    sample = sorted((r.h, r.lang, w) for r in sample for w in map(bytes, r.windows))
     langs = sorted({lang for _, lang, _ in sample})
     x = np.stack([np.frombuffer(w, np.uint8) for _, _, w in sample])
     y = np.array([langs.index(lang) for _, lang, _ in sample])
@@ -202,7 +207,12 @@ def train(docs: DataFrame) -> ByteCNN:
 
 
 def predict(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language``: lang_pred and score."""
+    """``docs`` with a struct column ``language``: lang_pred and score.
+
+    Null and empty texts and texts without a letter get ``und`` and 0; so does every text where no
+    language was learnt. Of equally likely languages the first by name is taken. Texts are taken whole,
+    in windows, so that a very long text takes no more memory than a few of them.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     @frugal
