@@ -7,10 +7,10 @@ scaling and a threshold for a wanted precision, both fitted on a held-out fold,
 add, best first, none overlapping another or a base span.
 
 The trees learn from a bounded sample of documents (``SAMPLE_DOCS``): positive are base spans and
-degraded copies of them in their own context (no plus sign, other separators, spelt ``at``),
-negative are candidates that touch no base span and number runs made of the sample's own digits.
-Positives of a degraded form carry no trace of the rule that found them, so that the trees rank
-format and context and not the rule.
+degraded copies of them in their own context (no plus sign, other separators, spelt ``at``, dots in
+brackets), negative are candidates that touch no base span and everyday numbers (dates, times, counts,
+versions, article numbers), put between words of the same text. Positives of a degraded form carry no
+trace of the rule that found them, so that the trees rank format and context and not the rule.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents, and candidates taken of each.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 4000, 40
+SAMPLE_DOCS, SAMPLE_CANDIDATES = 4000, 48
+#: Degraded and everyday forms made of one base span.
+FORMS = 6
 #: Least precision, on the held-out fold, that the threshold must reach.
 PRECISION = 0.98
 ROUNDS, DEPTH, SHRINK, BINS = 40, 3, 0.3, 16
@@ -41,8 +43,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
-_NUMBER = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}(?![A-Za-z0-9])")
-_SPELT_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63})+")
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[\x20().\-/\[\]]{0,3}[0-9]){6,}(?![A-Za-z0-9])")
+_SPELT_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| \. | ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{2,63})+")  # a dot and a space end a sentence
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CUES = re.compile(r"(?i)(phone|tel|call|fax|mobile|mail|contact|card|visa|iban|account|ssn|passport|\bip\b|address)")
 _AT = re.compile(r"@|\(at\)|\[at\]| at ")
@@ -137,23 +139,64 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(after[:1].isalnum()),
         sum(c in "0123456789" for c in before) / (len(before) + 1),
         sum(c in "0123456789" for c in after) / (len(after) + 1),
+        len(re.findall(r"[.] ", span)),
+        len(re.split(r"[^A-Za-z]", span)[-1]),
+        len(re.match(r"[^ (\[@]*", span)[0]),
+        sum(c.isupper() for c in span),
+        span.count("["),
+        span.count(" dot ") + span.count("(dot)"),
+        len(groups[-1:]) and groups[-1],
+        len(groups[:1]) and groups[0],
+        float(len(digits) in (8, 14) and 19 <= int((re.findall("[0-9]{4}", span) or ["0"])[0][:2]) <= 20),
     ]
 
 
-def degraded(text: str, kind: str, start: int, end: int) -> tuple[str, int, int] | None:
-    """A base span in a form that its rule would miss, in its own context."""
-    span, turn = text[start:end], zlib.crc32(text[start:end].encode())
+def everyday(text: str, start: int, end: int, turn: int) -> tuple[str, int, int]:
+    """A number that is nobody's, between two words of the text, away from the given span; what it is follows from span and turn."""
+    seed = zlib.crc32(f"{text[start:end]}{start}-{turn}".encode())
+    digit = lambda k, n: str((seed >> k) % 10**n).rjust(n, "0")
+    year, month, day = 1970 + seed % 70, 1 + (seed >> 3) % 12, 1 + (seed >> 5) % 28
+    clock = f"{(seed >> 7) % 24:02d}:{(seed >> 9) % 60:02d}:{(seed >> 11) % 60:02d}"
+    span = (
+        f"{year}-{month:02d}-{day:02d}",
+        f"{day:02d}.{month:02d}.{year}",
+        f"{month}/{day}/{year}-{month}/{day + 1}/{year}",
+        f"{year}-{month:02d}-{day:02d} {clock[:2]}",
+        f"{digit(3, 3)} {digit(5, 3)} {digit(7, 3)}",
+        f"{digit(2, 7)}",
+        f"{digit(1, 1)}.{digit(4, 2)}.{digit(6, 3)}.{digit(8, 4)}",
+        f"{digit(2, 4)}-{digit(9, 6)}",
+        f"{digit(1, 10)}{digit(6, 4)}",
+        f"{digit(3, 6)} / {digit(5, 6)}",
+    )[seed % 10]
+    gap = text.find(" ", (start + len(text) // 2 + seed % 97) % max(1, len(text)))
+    before, after = (text[max(0, gap - 59) : gap + 1], text[gap : gap + 30]) if gap >= 0 else ("", " ")
+    return before + span + after, len(before), len(before) + len(span)
+
+
+def degraded(text: str, kind: str, start: int, end: int, turn: int) -> tuple[str, int, int]:
+    """A base span in a form that its rule would miss, in its own context; ``turn`` chooses the form."""
+    span = text[start:end]
+    turn += zlib.crc32(span.encode()) % 97
     if kind == "phone":
-        span = span[1:]
-        span = span.partition(" ")[2] if turn % 2 and " " in span else span
-        span = span.replace(" ", "-.  "[turn % 3]) if turn % 4 else span
+        digits = "".join(c for c in span if c in "0123456789")
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        plain = span[1:]
+        forms = (plain, plain.replace(" ", "-"), plain.partition(" ")[2] or plain, f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}")
+        span = forms[turn % len(forms)] if a else plain
     elif kind == "email":
-        span = span.replace("@", (" at ", "(at)", " [at] ")[turn % 3])
-        span = span.replace(".", " dot ") if turn % 2 else span
+        local, _, domain = span.partition("@")
+        if turn % 2:
+            local = re.match("[A-Za-z]*", local)[0] or local  # a name without numbers
+        if turn // 2 % 2 and domain.count(".") > 1:
+            domain = domain.partition(".")[2]
+        span = local + (" at ", "(at)", " [at] ")[turn % 3] + domain
+        span = span.replace(".", (".", " dot ", "(dot)")[turn // 3 % 3])
     elif kind == "card":
-        span = re.sub(r"[\x20-]", (".", "/")[turn % 2], span) if re.search(r"[\x20-]", span) else ".".join(span[i : i + 4] for i in range(0, len(span), 4))
+        digits = "".join(c for c in span if c in "0123456789")
+        span = (".", "/", "  ")[turn % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     else:
-        return None
+        span = span.replace(".", ("[.]", " . ")[turn % 2])
     around = text[max(0, start - 60) : start] + span + text[end : end + 30]
     return around, min(60, start), min(60, start) + len(span)
 
@@ -239,56 +282,66 @@ class Trees:
 
 
 def _training_rows(text: str) -> list[tuple[list[float], int]]:
+    """Labelled rows of one text; of more than ``SAMPLE_CANDIDATES`` those at even distances, of every origin alike."""
     base = base_spans(text)
-    rows = [(features(text, s, e), 1) for _, s, e in base]
-    for kind, s, e in base:
-        worse = degraded(text, kind, s, e)
-        if worse:
-            rows.append((features(*worse), 1))
-        around, run = text[max(0, s - 60) : s], f"{zlib.crc32(text[s:e].encode()) * 7919:019d}"[: 7 + e % 12]
-        rows.append((features(around + run + text[e : e + 30], len(around), len(around) + len(run)), 0))
+    held = sorted((s, e) for _, s, e in base)
+    reach = np.maximum.accumulate([e for _, e in held]).tolist() if held else []
+    origins = [[(text, s, e, 1) for _, s, e in base], [(*degraded(text, *b, turn), 1) for b in base for turn in range(FORMS)], [(*everyday(text, s, e, turn), 0) for _, s, e in base for turn in range(FORMS)], []]
     for _, s, e in candidates(text):
-        if not any(a < e and s < b for _, a, b in base):
-            rows.append((features(text, s, e), 0))
-    return rows[:SAMPLE_CANDIDATES]
+        k = bisect_left(held, (e,))
+        if not k or reach[k - 1] <= s:
+            origins[3].append((text, s, e, 0))
+    share = SAMPLE_CANDIDATES // 4
+    picked = [r for rows in origins for r in (rows if len(rows) <= share else [rows[k * len(rows) // share] for k in range(share)])]
+    return [(features(t, s, e), y) for t, s, e, y in picked]
 
 
 def train(docs: DataFrame) -> Trees:
-    """Fit on at most ``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, that hold a digit or ``@``."""
+    """Fit on at most ``SAMPLE_DOCS`` texts that hold a digit or ``@``, chosen by a hash of the text; repeated texts count once.
+
+    Without such texts, or without both labels in both folds, the trees are empty and add nothing.
+    """
     spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").where(F.col("text").rlike("[0-9@]")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    texts = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    ids = texts.select("h").distinct().orderBy(F.xxhash64("h", F.lit(7)), "h").limit(SAMPLE_DOCS).collect()
     if not ids:
         return Trees()
-    chosen = spark.createDataFrame(ids, docs.select("doc_id").schema).distinct()
+    chosen = spark.createDataFrame(ids, "h long")
 
     @F.pandas_udf("array<struct<x:array<double>,y:int>>")
     def rows(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"x": x, "y": y} for x, y in _training_rows(t)] for t in texts])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    found = sample.limit(2 * SAMPLE_DOCS).select("doc_id", F.inline(rows("text"))).collect()
-    found = sorted((r.doc_id, tuple(r.x), r.y) for r in found)
+    found = texts.join(F.broadcast(chosen), "h").select("h", rows("text").alias("rows")).dropDuplicates(["h"]).select("h", F.inline("rows")).collect()
+    found = sorted((r.h, tuple(r.x), r.y) for r in found)
     if not found:
         return Trees()
-    fold = np.array([zlib.crc32(str(d).encode()) % 3 == 0 for d, _, _ in found]).astype(int)
+    fold = np.array([h % 3 == 0 for h, _, _ in found]).astype(int)
     return Trees().fit(np.array([x for _, x, _ in found]), np.array([y for _, _, y in found]), fold)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], trees: Trees) -> list[tuple[str, int, int]]:
-    """Candidates whose calibrated score passes the threshold, best first, none overlapping another span."""
-    free = [c for c in candidates(text)]
+    """Candidates whose calibrated score passes the threshold, best first, none overlapping another span.
+
+    Of equal scores the first by place wins, then the shorter one.
+    """
+    free = candidates(text)
     if base:
         held = sorted((s, e) for _, s, e in base)
-        free = [c for c in free if not any(a < c[2] and c[1] < b for a, b in held[: bisect_left(held, (c[2],))])]
+        reach = np.maximum.accumulate([e for _, e in held]).tolist()
+        free = [c for c in free if not (k := bisect_left(held, (c[2],))) or reach[k - 1] <= c[1]]
     if not free:
         return []
     scores = trees.score(np.array([features(text, s, e) for _, s, e in free]))
     out: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int]] = []
     for k in np.argsort(-scores, kind="stable"):
         kind, s, e = free[k]
         if scores[k] < trees.threshold:
             break
-        if not any(a < e and s < b for _, a, b in out):
+        at = bisect_left(taken, (s, e))
+        if (not at or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+            taken.insert(at, (s, e))
             out.append((f"x_{kind}", s, e))
     return sorted(out)
 
