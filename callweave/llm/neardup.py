@@ -6,7 +6,8 @@ integer scale. Only arrivals before a bound that fills all registers are made, s
 one hash an element. Registers merge by maximum, and equal registers of two sets are as likely as
 their Jaccard similarity. Bands of registers give buckets, buckets give candidate clusters. In a
 cluster the joint likelihood of the registers (given both set sizes) excludes pairs that cannot
-reach the threshold; the others are verified on their full sets.
+reach the threshold; the others are verified on their full sets. Clusters too large for a task fall apart
+into their buckets, so that chance meetings of weakly similar sets don't chain into one large comparison.
 
 Exact copies of a set are one class, represented by the smallest id. Clusters of bounded size are
 verified in one task each. Larger ones are never brought together: a leader is chosen, all members
@@ -196,7 +197,8 @@ def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFram
         pdf = pdf.sort_values("doc")
         if from_text:
             sets = shingle_sets([t.encode() if isinstance(t, str) else b"" for t in pdf["text"]])
-            found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, registers(sets), threshold)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            found = links_in_group(pdf["doc"].tolist(), sizes, sets, registers(sets), threshold)
         else:
             sets = [np.sort(np.asarray(d, np.int64).view(np.uint64)) for d in pdf["delta"]]
             found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, None, threshold)
@@ -245,6 +247,36 @@ def _sized(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.join(large, "grp", "left_anti"), groups.join(large, "grp", "left_semi")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _split_by_buckets(large: DataFrame, banded: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members(grp, doc, n, score) of large clusters as groups of bounded size, and what must be divided further.
+
+    Weakly similar sets meet in a bucket now and then, and such chance meetings may chain very many sets
+    into one cluster. Any two sets that are compared share a bucket, so that the buckets themselves can
+    be the groups. Only buckets too large for a task are still joined into clusters; a bucket whose
+    members all lie in one such cluster is covered by it, and of buckets with equal members one is kept.
+    """
+    members = cut(banded.join(large.select(F.col("doc").alias("doc_id"), "score"), "doc_id").join(buckets, "key").select(F.col("key").alias("grp"), F.col("doc_id").alias("doc"), "n", "score", "least"))
+    small, giant = _sized(members)
+    giant = cut(giant)
+    whole = connected_components(giant.select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("id").alias("w_doc"), F.col("component").alias("whole"))
+    small = cut(small.join(whole, F.col("doc") == F.col("w_doc"), "left").select("grp", "doc", "n", "score", "whole"))
+    h = F.xxhash64("doc")
+    kept = small.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("m"), F.count("whole").alias("inside"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("y")
+    )
+    kept = kept.where("not (m = inside and a = b)").groupBy("m", "x", "y").agg(F.min("grp").alias("grp"))
+    parts = small.join(kept.select("grp"), "grp", "left_semi").select("grp", "doc", "n", "score")
+    clusters = large.drop("grp").join(whole, F.col("doc") == F.col("w_doc")).select(F.col("whole").alias("grp"), "doc", "n", "score")
+    return parts, clusters
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -263,14 +295,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
     banded = known.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
     banded = cut(banded)
-    buckets = banded.groupBy("key").agg(F.count_distinct("doc_id").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
+    buckets = cut(banded.groupBy("key").agg(F.count_distinct("doc_id").alias("m"), F.min("doc_id").alias("least")).where("m > 1"))
     hits = cut(banded.join(buckets, "key").groupBy("doc_id", "least").agg(F.max("n").alias("n"), F.sum("m").alias("score")))
     clusters = connected_components(hits.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     scored = hits.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("score").alias("score"))
     placed = cut(scored.join(clusters, F.col("doc_id") == F.col("id")).select(F.col("component").alias("grp"), F.col("doc_id").alias("doc"), "n", "score"))
-    texts = cut(placed.join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "n", "score", "text"))
-    small, large = _sized(texts)
-    links = [_small_links(small.select("grp", "doc", "n", "text"), True, threshold), same_id]
+    small, large = _sized(placed)
+    large = cut(large)
+    found = [small]
+    if not large.isEmpty():
+        parts, large = _split_by_buckets(large, banded, buckets)
+        found.append(parts)
+    texts = cut(_union(found).join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "text"))
+    links = [_small_links(texts, True, threshold), same_id]
 
     @F.pandas_udf("array<long>")
     @frugal
@@ -278,7 +315,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for part in batches:
             yield pd.Series([s.view(np.int64) for s in shingle_sets([t.encode() for t in part])])
 
-    groups = large.select("grp", "doc", "n", full_set(text_or_empty("text")).alias("delta"), "score")
+    groups = large.join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", full_set(text_or_empty("text")).alias("delta"), "score")
+    groups = groups.select("grp", "doc", F.size("delta").cast("long").alias("n"), "delta", "score")
     while True:
         groups = cut(groups)
         if groups.isEmpty():

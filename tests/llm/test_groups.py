@@ -123,6 +123,28 @@ def test_near_duplicates(spark, monkeypatch, limit, threshold):
     assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got} == {i: (want[i], len(plain_set(t)), want[i] == i) for i, t in rows}
 
 
+def test_weakly_similar_texts_stay_in_small_groups(spark, monkeypatch):
+    """Texts of a template, 0.3 alike, meet by chance in buckets; no comparison takes in what these chain together."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 40)
+    rng = random.Random(1)
+    shared = " ".join(f"t{k}" for k in range(50))
+    texts = [f"{shared} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(300)]
+    texts += [texts[5] + " more", texts[9] + " words", texts[9] + " here"]
+    rows = list(enumerate(texts))
+    seen = []
+    real = neardup._sized
+
+    def watched(groups):
+        small, large = real(groups)
+        if "delta" in groups.columns:
+            seen.append(groups.groupBy("grp").count().agg({"count": "max"}).first()[0])
+        return small, large
+
+    monkeypatch.setattr(neardup, "_sized", watched)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows) and max(seen, default=0) <= 120
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
@@ -170,6 +192,24 @@ def test_simhash_rows_and_search(spark, awkward, nothing):
     assert one.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and one.next_fp == one.fp
 
 
+def test_successors_across_buckets(spark, monkeypatch):
+    """Clustered ids, one id with a third of the rows, nulls: every row has the next row's text, and buckets stay small."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(simhash, "SEGMENTS", 8)
+    rng = random.Random(2)
+    ids = [*range(100), *[10**12 + k for k in range(60)], *[77] * 100, *[None] * 40]
+    rows = [(i, f"text {k} {rng.random()}") for k, i in enumerate(ids)]
+    for few in (200_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", few)
+        found = simhash.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+        tie = {r.text: r.tie for r in found.select("text", simhash.F.xxhash64("text").alias("tie")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie[r[1]]))
+        want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+        got = found.collect()
+        assert {r.text: r.next for r in got if not r.halo} == want
+        assert max(Counter(r.bucket for r in got).values()) <= 30
+
+
 def test_simhash_votes_are_those_of_the_words(spark):
     words = ["a", "b", "a", "c", "a"]
     r = simhash.votes(spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, " \n ")], "k long, text string"), ["k"]).collect()
