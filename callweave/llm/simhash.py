@@ -19,8 +19,8 @@ BITS = 64
 RADIUS = 3
 #: Blocks of a fingerprint; ``RADIUS`` differing bits leave at least ``BLOCKS - RADIUS`` of them equal.
 BLOCKS = 5
-#: Documents meant for one bucket of neighbouring ids, and bounds of the number of buckets.
-BUCKET_ROWS, SEGMENTS, PARTS = 512, 64, 256
+#: Documents meant for one bucket of neighbouring ids, segments of buckets, and buckets whose table is broadcast.
+BUCKET_ROWS, SEGMENTS, BROADCAST_BUCKETS = 512, 64, 200_000
 _LANES = 0x0000000100000001
 
 
@@ -69,34 +69,51 @@ def within_radius(queries: DataFrame, known: DataFrame, radius: int = RADIUS, bl
     return pairs.select("q", "fp", "rows").distinct().groupBy("q").agg(F.sum("rows").alias("near")).withColumnRenamed("q", "fp")
 
 
+def _deal(edges: Column, value: Column, share: Column) -> tuple[Column, Column]:
+    """Which of the ranges between sorted ``edges`` a value lies in, and where in it.
+
+    A value that is an edge itself, and often, fills several ranges; ``share`` (0 to 1) deals its rows
+    over these. What is left of the share places a row inside its range.
+    """
+    same = F.size(F.filter(edges, lambda e: e == value))
+    spread = share * (same + 1)
+    part = F.least(F.floor(spread), same)
+    return (F.size(F.filter(edges, lambda e: e <= value)) - same + part).cast("int"), spread - part
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with ``next``, the text of the next row by descending doc_id, after the last the first.
 
-    Rows are dealt into buckets of neighbouring ids (64 quantiles, cut evenly), and the first row of
-    each bucket is also put last in the bucket before it (``halo``), so that one shuffle brings every
-    row and its successor together. The table of buckets has at most ``SEGMENTS * PARTS`` rows and is
-    broadcast. Equal ids are ordered by a hash of their text; null ids come last. Columns: bucket,
-    turn (the order inside it), halo, doc_id, text, next.
+    Rows are dealt into buckets of about ``BUCKET_ROWS`` neighbouring rows by quantiles in two levels
+    (``SEGMENTS``, then as many in each as the rows need), and the first row of each bucket is also put
+    last in the bucket before it (``halo``), so that one shuffle brings every row and its successor
+    together. The table of buckets is broadcast while it is small and joined otherwise. Equal ids are
+    ordered by a hash of their text, and many of them fill several buckets; null ids come last. Columns:
+    bucket, turn (the order inside it), halo, doc_id, text, next.
     """
-    spark = docs.sparkSession
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    steps = [k / SEGMENTS for k in range(1, SEGMENTS)]
-    rows, low, high, cuts = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", steps, 10000)).first()
-    if low is None:
-        low, high, cuts = 0, 0, []
-    cuts = sorted(set(cuts))
-    parts = max(1, min(PARTS, -(-rows // (BUCKET_ROWS * SEGMENTS))))
-    edges = [low, *[c for c in cuts if low < c <= high], high + 1]
-    bounds = F.array(*[F.lit(e).cast("long") for e in edges])
-    segment = F.size(F.filter(bounds, lambda e: e <= F.col("doc_id")))
-    a, b = F.element_at(bounds, segment), F.element_at(bounds, segment + 1)
-    part = F.floor((F.col("doc_id") - a).cast("double") / (b - a).cast("double") * parts)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(segment * parts + F.least(part, F.lit(parts - 1))).cast("long")
-    dealt = docs.withColumn("bucket", bucket)
-    heads = dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head")).orderBy(F.desc("bucket")).collect()
-    places = [(h.bucket, heads[k - 1].bucket, h["head"].doc_id, h["head"].tie) for k, h in enumerate(heads)]
-    plan = spark.createDataFrame(places, "b_ long, target long, head_id long, head_tie long")
-    joined = dealt.join(F.broadcast(plan), F.col("bucket") == F.col("b_"), "left")
+    rows, nulls, cuts = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / SEGMENTS for k in range(1, SEGMENTS)], 10000)).first()
+    parts = max(1, -(-rows // (BUCKET_ROWS * SEGMENTS)))
+    few = rows + nulls <= BUCKET_ROWS * BROADCAST_BUCKETS
+    share = F.col("tie").cast("double") / 2.0**64 + 0.5
+    segment, rest = _deal(F.array(*[F.lit(c) for c in cuts or []]).cast("array<long>"), F.col("doc_id"), share)
+    last = -1 - F.floor((1 - share) * max(1, -(-nulls // BUCKET_ROWS)))  # null ids, behind all others
+    dealt = docs.withColumn("segment", F.when(F.col("doc_id").isNull(), last.cast("int")).otherwise(segment)).withColumn("rest", F.when(F.col("doc_id").isNotNull(), rest))
+    if parts > 1:
+        inner = dealt.where("doc_id is not null").groupBy(F.col("segment").alias("e_segment")).agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10000).alias("edges"))
+        dealt = dealt.join(F.broadcast(inner) if few else inner, F.col("segment") == F.col("e_segment"), "left")
+        part = F.coalesce(_deal(F.col("edges"), F.col("doc_id"), F.col("rest"))[0], F.lit(0))
+    else:
+        part = F.lit(0)
+    dealt = dealt.select("segment", (F.col("segment").cast("long") * parts + part).alias("bucket"), "doc_id", "tie", "text")
+    heads = cut(dealt.groupBy("segment", "bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head")))
+    # The bucket before each: in its segment, or the lowest one of the segment before; of segments there are few.
+    lowest = heads.groupBy("segment").agg(F.min("bucket").alias("low"), F.max("bucket").alias("top")).orderBy(F.desc("segment")).collect()
+    above = docs.sparkSession.createDataFrame([(s.top, lowest[k - 1].low) for k, s in enumerate(lowest)], "top_ long, above long")
+    inside = F.lag("bucket").over(Window.partitionBy("segment").orderBy(F.desc("bucket")))
+    plan = heads.withColumn("inside", inside).join(F.broadcast(above), F.col("bucket") == F.col("top_"), "left")
+    plan = plan.select(F.col("bucket").alias("b_"), F.coalesce("inside", "above").alias("target"), F.col("head.doc_id").alias("head_id"), F.col("head.tie").alias("head_tie"))
+    joined = dealt.join(F.broadcast(plan) if few else plan, F.col("bucket") == F.col("b_"), "left")
     is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
     spread = F.when(is_head, F.array(own, F.struct(F.col("target").alias("bucket"), F.lit(True).alias("halo")))).otherwise(F.array(own))
@@ -106,7 +123,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: n_chars, edited_sha256, fp, edited_fp and next_fp."""
+    """One row per row of ``docs(doc_id, text)``: n_chars, edited_sha256, fp, edited_fp and next_fp.
+
+    Null texts are empty ones; an empty text has the fingerprint 0. Rows of one doc_id and text are the
+    same place in the order; each of them has a row.
+    """
     rows = with_next(docs.select("doc_id", text_or_empty().alias("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
