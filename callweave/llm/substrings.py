@@ -1,6 +1,6 @@
 """Removal of byte strings of a given length that occur twice or more in the corpus, exactly.
 
-Routing. Every window of ``length`` bytes holds cores of half its size; the one with the least hash is
+Routing. Every window of ``length`` bytes holds cores of two fifths of its size; the one with the least hash is
 its anchor, chosen by content alone, so that equal windows have equal anchors at equal places. Anchors
 whose surroundings (all windows that are theirs, by 128-bit digest) occur again are settled by
 counting. Others of the same core meet in blocks of bounded size, one row for each kind of surroundings.
@@ -38,7 +38,7 @@ PASSAGE = 250
 #: Symbols meant for one block, and kinds of surroundings of one core before it is divided.
 BLOCK_SYMBOLS, CORE_KINDS = 700_000, 1_000
 #: Bytes hashed at a time; a longer text is taken in parts.
-PART = 1 << 18
+PART = 1 << 16
 #: Bytes by which surroundings are compared before they enter a transform.
 STEP = 16
 
@@ -47,7 +47,7 @@ _MASK = (1 << 64) - 1
 
 def side_of(length: int) -> int:
     """Bytes around a core that windows may reach, on either side; the core has the rest of the length."""
-    return length // 2
+    return length * 3 // 5
 
 
 class _Rolling:
@@ -100,19 +100,17 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     begins = np.concatenate([[0], ends[:-1]])
     prefix = _CORES.prefix(data)
     at = np.arange(n - (length - side) + 1)
-    core = _CORES.ranges(prefix, at, at + (length - side)) | np.uint64(1)
-    least = _slide(core, side + 1, np.minimum)
-    end_of = np.repeat(ends, ends - begins)[: len(least)]
-    least[np.arange(len(least)) + length > end_of] = 0
-    padded = np.concatenate([np.zeros(side, np.uint64), least, np.zeros(side, np.uint64)])
-    chosen = np.flatnonzero(_slide(padded, side + 1, np.maximum)[: len(core)] == core)
-    window = np.flatnonzero(least)
-    pick = np.searchsorted(chosen, window)
-    wrong = np.arange(len(window))
-    while len(wrong := wrong[core[chosen[pick[wrong]]] != least[window[wrong]]]):
-        pick[wrong] += 1
+    core = _CORES.ranges(prefix, at, at + (length - side))
+    # The place is the low part of what is compared, so that the minimum tells the first of the least cores.
+    bits = np.uint64(n.bit_length())
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    least = _slide((core & ~place) | at.astype(np.uint64), side + 1, np.minimum)
+    chosen = (least & place).astype(np.int64)
+    size = ends - begins
+    window = np.flatnonzero(np.arange(len(least)) + length <= np.repeat(ends, size)[: len(least)])
+    pick = chosen[window]
     new = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (window[1:] != window[:-1] + 1)])[: len(window)])
-    pos, low = chosen[pick[new]], window[new]
+    pos, low = pick[new], window[new]
     high = window[np.concatenate([new[1:] - 1, [len(window) - 1]])[: len(new)]] + length
     raw, digest = data.tobytes(), hashlib.blake2b
     around = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
@@ -337,7 +335,7 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
         anchors = cut(anchor_table(pieces, length))
     # What is counted is written before it joins back, so that rows of a hot anchor can be split in the join.
     again = cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
-    rows = cut(anchors.join(again, "h", "left_semi"))
+    rows = cut(anchors.join(again.hint("shuffle_hash"), "h", "left_semi"))
     discard(anchors, again)
     # Any row may stand for its kind; all columns come of the same one.
     kinds = cut(rows.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("h", *own_id)]))
@@ -360,7 +358,7 @@ def repeated_spans(pieces: DataFrame, length: int) -> DataFrame:
 
     other = per_doc.select(F.col("doc_id").alias("e_id"), F.col("v").alias("e_v"), F.col("at").alias("e_at"), "own")
     same = F.col("e_id").eqNullSafe(F.col("doc_id")) & (F.col("e_v") == F.col("v")) & (F.col("e_at") == F.col("at"))
-    found = pieces.where(F.octet_length("raw") >= length).join(other, same)
+    found = pieces.where(F.octet_length("raw") >= length).join(other.hint("shuffle_hash"), same)
     found = found.select("doc_id", "v", "at", F.inline(F.arrays_zip("own", sides("raw", "own").alias("sides"))))
     found = found.select("doc_id", "v", (F.col("at") + F.col("own.pos")).alias("pos"), "own.single", "sides.*")
     with small_batches(pieces.sparkSession):
@@ -457,7 +455,7 @@ def _runs(pieces: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             yield pd.Series(out)
 
     texts = pieces.where(F.octet_length("raw") >= length).drop("at")
-    joined = texts.join(_per_text(spans), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("v") == F.col("s_v")))
+    joined = texts.join(_per_text(spans).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("v") == F.col("s_v")))
     return joined.select("doc_id", "v", F.inline(take("raw", "own"))).select("doc_id", "v", "at", "raw")
 
 
@@ -492,7 +490,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, pa
             for t, a, b in zip(texts, own, near, strict=True):
                 rows.append(_strip_one(t.encode(), a, b))
                 held += len(t)
-                if held > 8 * PART:
+                if held > 32 * PART:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
             if rows:
@@ -501,7 +499,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, pa
     v, s_id, s_v, own, near = (free_name(docs, x) for x in ("v_", "s_id_", "s_v_", "own_", "near_"))
     keyed = docs.withColumn(text, text_or_empty(text)).withColumn(v, F.xxhash64(text_or_empty(text)))
     both = both.select(F.col("s_id").alias(s_id), F.col("s_v").alias(s_v), F.col("own").alias(own), F.col("near").alias(near))
-    joined = keyed.join(both, F.col("doc_id").eqNullSafe(F.col(s_id)) & (F.col(v) == F.col(s_v)), "left")
+    joined = keyed.join(both.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(s_id)) & (F.col(v) == F.col(s_v)), "left")
     return joined.withColumn(free_name(docs, "cleaned"), strip(text, own, near)).drop(own, near, s_id, s_v, v)
 
 
