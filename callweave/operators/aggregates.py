@@ -30,3 +30,10 @@ def running_totals(rows: DataFrame, key: str, order: str, bucket: Column, value:
     joined = own.join(base, F.col(key).eqNullSafe(F.col("k_")) & (F.col("bucket_") == F.col("b_")))
     columns = [c for c in rows.columns if c != "bucket_"]
     return joined.select(*columns, (F.col("n1") + F.col("n0")).alias("running_count"), (F.col("v1") + F.col("v0")).alias("running_sum"))
+
+
+def range_buckets(df: DataFrame, key: str, bounds: int = 255) -> DataFrame:
+    """``df`` with ``bucket``: ranges of a string column, cut at ``bounds`` of its values chosen by hash; nulls go to the first."""
+    picked = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(bounds).collect()
+    at = F.array(*[F.lit(r[0]) for r in sorted(picked)]).cast("array<string>")
+    return df.withColumn("bucket", F.coalesce(F.size(F.filter(at, lambda b: b <= F.col(key))), F.lit(0)))

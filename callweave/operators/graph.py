@@ -2,7 +2,8 @@
 
 A node's ``path`` holds the order keys from the anchor to it. Arrays compare element by element, so the
 least path is the first discovery of a breadth-first queue whose siblings are taken in key order; no
-global numbering is needed. Each round is one join of the frontier with the edges, one aggregation and
+global numbering is needed. Callees are siblings in the order of their first call site, callers in the
+order of their definitions. Each round is one join of the frontier with the edges, one aggregation and
 one anti join; the driver sees only whether a frontier is empty.
 """
 
@@ -10,9 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions import labels
 from callweave.plans.stored import stored
 
 
@@ -30,11 +32,35 @@ QUALIFIED_CAPS = Caps(nodes=300, edges=500)
 UNBOUNDED = 2**31 - 1
 
 
-def edge_groups(sites: DataFrame) -> DataFrame:
-    """Edges (src, dst, n_sites, first_file, first_line) of sites (src, dst, site_file, site_line); equal sites count once."""
-    first = F.min(F.struct("site_file", "site_line"))
-    grouped = sites.distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_sites"), first.alias("f"))
-    return grouped.select("src", "dst", "n_sites", F.col("f.site_file").alias("first_file"), F.col("f.site_line").alias("first_line"))
+#: Rounds after which the tables of visited nodes are written as one.
+COMPACT = 4
+
+
+def edge_groups(sites: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst, n_sites, first_file, first_line, sites, down, up) of sites (src, dst, site_file, site_line, ...).
+
+    ``sites`` is the edge's list of distinct sites in the order of file, line and further columns. ``down``
+    orders the callees of a node (first site, then id), ``up`` its callers (place of the caller's
+    definition by ``places(id, file, line)``, first site, id).
+    """
+    site = F.struct(*[c for c in sites.columns if c not in ("src", "dst")])
+    grouped = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
+    first = F.col("sites")[0]
+    if places is not None:
+        grouped = grouped.join(places.select(F.col("id").alias("src"), F.col("file").alias("d_file"), F.col("line").cast("long").alias("d_line")), "src", "left")
+    file, line = (F.col("d_file"), F.col("d_line")) if places is not None else (F.lit(""), F.lit(0).cast("long"))
+    key = lambda file, line, end: F.struct(F.coalesce(file, F.lit("")).alias("file"), F.coalesce(line, F.lit(0).cast("long")).alias("line"), first.alias("site"), F.col(end).alias("id"))
+    return grouped.select(
+        "src", "dst", F.size("sites").cast("long").alias("n_sites"), first["site_file"].alias("first_file"), first["site_line"].alias("first_line"), "sites",
+        key(F.lit(""), F.lit(0).cast("long"), "dst").alias("down"), key(file, line, "src").alias("up"),
+    )
+
+
+def _keyed(edges: DataFrame) -> DataFrame:
+    """Edges with order keys; where there are none siblings are taken by id."""
+    if "down" in edges.columns:
+        return edges
+    return edges.withColumns({"down": F.struct(F.col("dst").alias("id")), "up": F.struct(F.col("src").alias("id"))})
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
@@ -53,9 +79,9 @@ def hub(edges: DataFrame) -> DataFrame:
 
 def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, side: int, room: int | None) -> tuple[DataFrame, bool]:
     """The next level on one side, and whether ``room`` cut it."""
-    here, there = ("src", "dst") if side > 0 else ("dst", "src")
-    reached = frontier.join(edges.select(F.col(here).alias("id"), F.col(there).alias("next")), "id")
-    reached = reached.select(F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"), F.col("level"), F.col("id").alias("parent"))
+    here, there, key = ("src", "dst", "down") if side > 0 else ("dst", "src", "up")
+    reached = frontier.join(edges.select(F.col(here).alias("id"), F.col(there).alias("next"), F.col(key).alias("key")), "id")
+    reached = reached.select(F.col("next").alias("id"), F.concat("path", F.array("key")).alias("path"), F.col("level"), F.col("id").alias("parent"))
     new = reached.groupBy("id").agg(F.min_by(F.struct("path", "parent", "level"), "path").alias("b")).join(visited.select("id"), "id", "left_anti")
     new = new.select("id", (F.col("b.level") + side).alias("level"), F.col("b.parent").alias("parent"), F.col("b.path").alias("path"))
     if room is None:
@@ -71,11 +97,13 @@ def walk(edges: DataFrame, anchor: DataFrame, callee_depth: int, caller_depth: i
     Levels are positive towards callees, negative towards callers. In mode "qualified" the sides take
     turns at each distance, callees first; in mode "name" all callees come before any caller. Either
     way a node that is taken blocks the other side there. An anchor without edges is a graph of one node.
+    The anchor's path is empty.
     """
     caps = caps or Caps()
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    start = stored(anchor.select("id", F.lit(0).alias("level"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.array("id").alias("path")))
-    visited, total, cut = start, 1, False
+    edges = _keyed(edges.where("src is not null and dst is not null")).select("src", "dst", "down", "up").groupBy("src", "dst").agg(F.min("down").alias("down"), F.min("up").alias("up"))
+    edges, no_path = stored(edges), F.array().cast(f"array<{edges.schema['down'].dataType.simpleString()}>")
+    start = stored(anchor.select("id", F.lit(0).alias("level"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), no_path.alias("path")))
+    visited, total, cut, rounds = start, 1, False, 0
     fronts = {1: start, -1: start}
     depth = {1: callee_depth, -1: caller_depth}
     done = {side for side in depth if depth[side] <= 0}
@@ -90,12 +118,25 @@ def walk(edges: DataFrame, anchor: DataFrame, callee_depth: int, caller_depth: i
         if not count:
             done.add(side)
             continue
-        total += count
+        total, rounds = total + count, rounds + 1
         fronts[side] = new
         visited = visited.unionByName(new)
+        if rounds % COMPACT == 0:
+            visited = stored(visited)
     return visited, cut
 
 
+def ids_of(path) -> Column:
+    """Ids along a node's path, the anchor not among them."""
+    return F.transform(path, lambda k: k["id"])
+
+
+def root_path(nodes: DataFrame) -> DataFrame:
+    """(id, ids): the chain of parents of every node, from the anchor to the node itself."""
+    anchor = nodes.where("level = 0").select(F.col("id").alias("anchor_id")).limit(1)
+    return nodes.join(F.broadcast(anchor)).select("id", F.concat(F.array("anchor_id"), ids_of("path")).alias("ids"))
+
+
 def _in_turn(depth: dict[int, int], done: set[int]):
     """Sides in the order of a single queue, until both are done."""
     k = 1
@@ -123,28 +164,72 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def chain_edges(edges: DataFrame, nodes: DataFrame, callee_depth: int, caller_depth: int, cap: int | None = None) -> DataFrame:
-    """Edges that the walk followed: out of expanded callee-side nodes, into expanded caller-side nodes, between nodes.
-
-    With a cap the first ones in the order of expansion.
-    """
+def _followed(edges: DataFrame, nodes: DataFrame, callee_depth: int, caller_depth: int) -> DataFrame:
+    """Edges that the walk followed, each with its ``turn``: when it was followed first."""
     down = nodes.where((F.col("level") >= 0) & (F.col("level") < callee_depth)).select(F.col("id").alias("src"), F.col("level").alias("l"), "path")
     up = nodes.where((F.col("level") <= 0) & (F.col("level") > -caller_depth)).select(F.col("id").alias("dst"), F.col("level").alias("l"), "path")
+    keyed = _keyed(edges)
     order = lambda side, key: F.struct(F.abs("l").alias("d"), F.lit(side).alias("s"), "path", F.col(key).alias("k")).alias("turn")
-    rows = edges.join(down, "src").select(*edges.columns, order(0, "dst")).unionByName(edges.join(up, "dst").select(*edges.columns, order(1, "src")))
-    rows = rows.groupBy(*edges.columns).agg(F.min("turn").alias("turn"))
+    rows = keyed.join(down, "src").select("src", "dst", order(0, "down")).unionByName(keyed.join(up, "dst").select("src", "dst", order(1, "up")))
+    return rows.groupBy("src", "dst").agg(F.min("turn").alias("turn"))
+
+
+def chain_edges(edges: DataFrame, nodes: DataFrame, callee_depth: int, caller_depth: int) -> DataFrame:
+    """Edges that the walk followed: out of expanded callee-side nodes, into expanded caller-side nodes, between nodes."""
+    return capped_edges(edges, nodes, callee_depth, caller_depth, None)[0]
+
+
+def capped_edges(edges: DataFrame, nodes: DataFrame, callee_depth: int, caller_depth: int, cap: int | None) -> tuple[DataFrame, bool]:
+    """``chain_edges``, the first ``cap`` of them in the order of expansion, and whether there were more."""
+    rows, cut = _followed(edges, nodes, callee_depth, caller_depth), False
     if cap is not None:
+        rows = stored(rows.orderBy("turn").limit(cap + 1))
+        cut = rows.count() > cap
         rows = rows.orderBy("turn").limit(cap)
-    return induced_edges(rows.select(*edges.columns), nodes)
+    kept = edges.join(rows.select("src", "dst"), ["src", "dst"], "left_semi").select(*edges.columns)
+    return induced_edges(kept, nodes), cut
 
 
 def child_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, child_ids) from all kept edges between neighbouring levels of one side; a shared child is under each parent."""
+    """(id, child_ids) from all kept edges between neighbouring levels of one side; a shared child is under each parent.
+
+    Children are in sibling order; the anchor's callees come before its callers.
+    """
     level = lambda end: nodes.select(F.col("id").alias(end), F.col("level").alias(f"l_{end}"))
-    rows = edges.select("src", "dst").join(level("src"), "src").join(level("dst"), "dst")
-    down = rows.where("l_src >= 0 and l_dst = l_src + 1").select(F.col("src").alias("id"), F.col("dst").alias("child"))
-    up = rows.where("l_dst <= 0 and l_src = l_dst - 1").select(F.col("dst").alias("id"), F.col("src").alias("child"))
-    return down.unionByName(up).distinct().groupBy("id").agg(F.sort_array(F.collect_list("child")).alias("child_ids"))
+    rows = _keyed(edges).select("src", "dst", "down", "up").join(level("src"), "src").join(level("dst"), "dst")
+    down = rows.where("l_src >= 0 and l_dst = l_src + 1").select(F.col("src").alias("id"), F.struct(F.lit(0).alias("side"), F.col("down").alias("key"), F.col("dst").alias("child")).alias("c"))
+    up = rows.where("l_dst <= 0 and l_src = l_dst - 1").select(F.col("dst").alias("id"), F.struct(F.lit(1).alias("side"), F.col("up").alias("key"), F.col("src").alias("child")).alias("c"))
+    found = down.unionByName(up).groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("c"))
+    return found.select("id", F.transform("c", lambda c: c["child"]).alias("child_ids"))
+
+
+def unresolved_sites(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Calls (src, status, ...) of the nodes that are not resolved, ambiguous ones included; equal rows once."""
+    return calls.where(F.col("status") != "resolved").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select(*calls.columns).distinct()
+
+
+def build_graph(definitions: DataFrame, calls: DataFrame, anchor: DataFrame, callee_depth: int, caller_depth: int, caps: Caps | None = None) -> dict | None:
+    """The qualified graph: nodes, edges, unresolved calls and one flag for every cap; None where the anchor is no definition.
+
+    ``definitions`` has id, file, line, name; ``calls`` has src, dst (null unless bound), status, site_file,
+    site_line and more columns of a site. Nodes have level, parent, child_ids, has_children, category
+    and the definition's columns.
+    """
+    caps = QUALIFIED_CAPS if caps is None else caps
+    anchor = stored(anchor.limit(1).join(definitions.select("id"), "id", "left_semi").select("id"))
+    if anchor.isEmpty():
+        return None
+    bound = calls.where("dst is not null").select(*[c for c in calls.columns if c != "status"])
+    edges = stored(edge_groups(bound, definitions))
+    found, cut_nodes = walk(edges, anchor, callee_depth, caller_depth, "qualified", caps)
+    found = stored(found)
+    kept, cut_edges = capped_edges(edges, found, callee_depth, caller_depth, caps.edges)
+    kept = stored(kept)
+    none = F.array().cast(f"array<{found.schema['id'].dataType.simpleString()}>")
+    nodes = found.drop("path").join(child_ids(kept, found), "id", "left").withColumn("child_ids", F.coalesce("child_ids", none))
+    nodes = nodes.withColumn("has_children", F.size("child_ids") > 0).join(definitions, "id")
+    nodes = nodes.withColumn("category", labels.classify("name", "file"))
+    return {"anchor": anchor, "nodes": nodes, "edges": kept, "unresolved": unresolved_sites(calls, found), "paths": root_path(found), "truncated": cut_nodes or cut_edges}
 
 
 def level_counts(nodes: DataFrame) -> DataFrame:
@@ -177,6 +262,12 @@ def visible_nodes(children: DataFrame, anchor: DataFrame, expanded: DataFrame) -
     return anchor.select("id").unionByName(shown).distinct()
 
 
+def visible_minus_agg(children: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, child_ids): children that no cluster has taken in, in their order; members(id) are taken in."""
+    rows = children.select("id", F.posexplode("child_ids").alias("p", "child")).join(members.select(F.col("id").alias("child")).distinct(), "child", "left_anti")
+    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "child"))), lambda c: c["child"]).alias("child_ids"))
+
+
 def collapse_subtree(children: DataFrame, expanded: DataFrame, node: DataFrame) -> DataFrame:
     """What stays expanded when a node and its expanded descendants collapse."""
     gone = stored(node.select("id"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.operators.aggregates import range_buckets
+from callweave.operators.resolve import line_owners
+
 MAX_HITS, MAX_LINES = 300, 3_000_000
 
 
@@ -13,14 +16,15 @@ def contains(column: str, query: str):
     return F.contains(F.lower(column), F.lower(F.lit(query)))
 
 
-def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFrame, query: str, current_file: str | None = None, max_hits: int | None = MAX_HITS) -> DataFrame:
+def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFrame | None, query: str, current_file: str | None = None, max_hits: int | None = MAX_HITS) -> DataFrame:
     """Hits (kind, def_id, rel_path, line_no, code, turn) in reading order, at most ``max_hits``.
 
     Within a file, definitions come in order: a name hit is of kind ``definition``, else a hit in the
     signature is ``text``; then hits in the lines of the definition's calls. Lines not claimed by these
     follow; they belong to the line's owner, else to the file's last definition; a file without
     definitions has none. ``sites`` has def_id (its owner), rel_path, line_no, start_col and line;
-    ``owners`` rel_path, line_no, def_id. Blank queries find nothing. With ``current_file`` only that
+    ``owners`` rel_path, line_no, def_id. Without ``owners`` these are found for files with matching lines
+    alone, and ``sites`` needs no def_id. Blank queries find nothing. With ``current_file`` only that
     file is searched.
     """
     query = query.strip()
@@ -31,6 +35,11 @@ def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFram
     if current_file is not None or not query:
         defs = defs.join(lines.select("rel_path").distinct(), "rel_path", "left_semi")
         sites = sites.join(lines.select("rel_path").distinct(), "rel_path", "left_semi")
+    if owners is None:
+        matching = lines.where(contains("line", query)).select("rel_path", "line_no")
+        near = defs.join(matching.select("rel_path").distinct(), "rel_path", "left_semi")
+        owners = line_owners(near).join(matching, ["rel_path", "line_no"], "left_semi")
+        sites = sites.where(contains("line", query)).drop("def_id").join(owners, ["rel_path", "line_no"])
     turn = lambda part, a, b, c, d: F.struct(F.lit(part).alias("p"), a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(c).alias("c"), d.cast("long").alias("d")).alias("turn")
     kind = F.when(contains("name", query), "definition").otherwise("text").alias("kind")
     by_def = defs.where(contains("name", query) | contains("signature", query)).select(
@@ -53,17 +62,23 @@ def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFram
     return ordered if max_hits is None else ordered.orderBy("rel_path", "turn").limit(max_hits)
 
 
+def anchor_from_hit(hits: DataFrame, defs: DataFrame) -> DataFrame:
+    """What a hit anchors: its definition (anchor_id), and for a hit in text the line that stays in focus."""
+    text = F.col("kind") == "text"
+    focus = [F.when(text, F.col(c)).alias(f"focus_{c}") for c in ("rel_path", "line_no", "code")]
+    return hits.join(defs.select("def_id"), "def_id", "left_semi").select(F.col("def_id").alias("anchor_id"), "kind", "rel_path", "line_no", *focus)
+
+
 def scan_budget(lines: DataFrame, budget: int = MAX_LINES) -> DataFrame:
     """Files with the lines before them in path order, and how many of theirs a budget leaves (``part``).
 
-    The running sum runs within each first path part and over the parts' totals, so that no task gets
-    all files.
+    The running sum runs within ranges of paths and over the ranges' totals, so that no task gets all files,
+    however they lie in folders.
     """
-    top = F.element_at(F.split("rel_path", "/"), 1)
-    sizes = lines.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n")).withColumn("top", top)
+    sizes = lines.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"))
+    dealt = range_buckets(sizes, "rel_path")
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = sizes.groupBy("top").agg(F.sum("n").alias("n"))
-    tops = tops.select("top", earlier(Window.orderBy(F.concat("top", F.lit("/")))).alias("base"))
-    inside = sizes.withColumn("own", earlier(Window.partitionBy("top").orderBy("rel_path"))).join(tops, "top")
+    bases = dealt.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", earlier(Window.orderBy("bucket")).alias("base"))
+    inside = dealt.withColumn("own", earlier(Window.partitionBy("bucket").orderBy("rel_path"))).join(F.broadcast(bases), "bucket")
     before = F.col("own") + F.col("base")
     return inside.select("rel_path", "n", before.alias("before"), F.greatest(F.lit(0), F.least(F.col("n"), budget - before)).alias("part"))

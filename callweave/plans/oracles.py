@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.functions.extract import KEYWORDS
-from callweave.functions.labels import CATEGORIES
-from callweave.functions.languages import COLLECTED, NAME_MODE, QUALIFIED_MODE, VIEWER
-from callweave.operators.explain import ACTIONS
-from callweave.plans.queries import DENSE, EXTENSIONS
+from callweave.plans.oracle_values import ACTIONS, CATEGORIES, COLLECTED, EXTENSIONS, KEYWORDS, NAME_MODE, QUALIFIED_MODE, VIEWER
 
 _LINES = """
 files AS (SELECT concat_ws('/', source, lang, doc_id::VARCHAR) AS rel_path, lang AS language, text FROM documents),
@@ -33,27 +29,30 @@ owned AS (SELECT s.*, d.def_id, d.class_name AS caller_class FROM sites s LEFT J
   ON d.rel_path = s.rel_path AND s.line_no BETWEEN d.start_line AND d.end_line)"""
 
 
-def _parts(quantity: int) -> str:
-    return f"""
-psites AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey AS site_file, a.l_linenumber AS site_line
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_returnflag = 'R' AND a.l_quantity >= {quantity}),
-e AS MATERIALIZED (SELECT src, dst, count(*) AS n_sites, min(struct_pack(f := site_file, l := site_line)) AS first FROM psites GROUP BY src, dst),
+#: Calls between parts, edges with their ordered sites and sibling orders (callees by first site, callers by
+#: the place of their definition), and the hub.
+_PARTS = """
+pcalls AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey AS site_file, a.l_linenumber AS site_line
+  FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+psites AS MATERIALIZED (SELECT * FROM pcalls WHERE dst IS NOT NULL),
+e0 AS (SELECT src, dst, count(*) AS n_sites, min(struct_pack(f := site_file, l := site_line)) AS first FROM psites GROUP BY src, dst),
+e AS MATERIALIZED (SELECT e0.*, struct_pack(a := '', b := 0::BIGINT, s := first, d := dst) AS down,
+  struct_pack(a := coalesce(p_brand, ''), b := coalesce(p_size, 0)::BIGINT, s := first, d := src) AS up FROM e0 LEFT JOIN part ON p_partkey = src),
 deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id),
 anchor AS MATERIALIZED (SELECT id FROM deg ORDER BY o * i DESC, id LIMIT 1)"""
 
 
-def _walk(callee: int, caller: int, mode: str = "qualified", per_level: int | None = None, nodes: int | None = None, edges: str = "e") -> str:
+def _walk(callee: int, caller: int, mode: str = "qualified", per_level: int | None = None, nodes: int | None = None) -> str:
     """CTEs of all rounds, and ``nodes``."""
     n = max(callee, caller)
     if mode == "name":
         turns = [(1, k) for k in range(1, callee + 1)] + [(-1, k) for k in range(1, caller + 1)]
     else:
         turns = [(s, k) for k in range(1, n + 1) for s in (1, -1) if k <= (callee if s > 0 else caller)]
-    out = ["r0 AS MATERIALIZED (SELECT id, 0 AS level, NULL::BIGINT AS parent, [id] AS path FROM anchor)"]
+    out = ["r0 AS MATERIALIZED (SELECT id, 0 AS level, NULL::BIGINT AS parent, (SELECT [down] FROM e LIMIT 1)[1:0] AS path FROM anchor)"]
     seen, front = ["r0"], {1: "r0", -1: "r0"}
     for i, (side, k) in enumerate(turns, 1):
-        here, there = ("src", "dst") if side > 0 else ("dst", "src")
+        here, there, key = ("src", "dst", "down") if side > 0 else ("dst", "src", "up")
         visited = " UNION ALL ".join(f"SELECT id FROM {r}" for r in seen)
         limits = [str(per_level)] if per_level is not None else []
         if nodes is not None:
@@ -61,7 +60,7 @@ def _walk(callee: int, caller: int, mode: str = "qualified", per_level: int | No
         limit = f" ORDER BY path LIMIT (SELECT least({', '.join(limits)}))" if limits else ""
         out.append(
             f"r{i} AS MATERIALIZED (SELECT id, {side * k} AS level, arg_min(parent, path) AS parent, min(path) AS path FROM "
-            f"(SELECT {edges}.{there} AS id, f.id AS parent, list_append(f.path, {edges}.{there}) AS path FROM {front[side]} f JOIN {edges} ON {edges}.{here} = f.id) "
+            f"(SELECT e.{there} AS id, f.id AS parent, list_append(f.path, e.{key}) AS path FROM {front[side]} f JOIN e ON e.{here} = f.id) "
             f"WHERE id NOT IN ({visited}) GROUP BY id{limit})"
         )
         seen.append(f"r{i}")
@@ -70,21 +69,27 @@ def _walk(callee: int, caller: int, mode: str = "qualified", per_level: int | No
     return ",\n".join(out)
 
 
-_NODE_ROWS = "SELECT id, level::BIGINT AS level, coalesce(parent, -1) AS parent, array_to_string(path, '>') AS path FROM nodes"
+_IDS = "array_to_string(list_prepend(anchor.id, list_transform(path, lambda x: x.d)), '>')"
+_NODE_ROWS = f"SELECT nodes.id, level::BIGINT AS level, coalesce(parent, -1) AS parent, {_IDS} AS path FROM nodes, anchor"
 
 
-def _chain_edges(callee: int, caller: int) -> str:
+def _chain_edges(callee: int, caller: int, cap: int | None = None) -> str:
+    """Edges in the order in which a queue would follow them; with a cap the first ones."""
+    limit = f" ORDER BY turn LIMIT {cap}" if cap is not None else ""
     return f"""
-ce AS MATERIALIZED (SELECT DISTINCT e.* FROM e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst
-  WHERE (a.level >= 0 AND a.level < {callee}) OR (b.level <= 0 AND b.level > -{caller}))"""
+followed AS (SELECT e.src, e.dst, struct_pack(d := abs(n.level), s := 0, p := n.path, k := e.down) AS turn FROM e JOIN nodes n ON n.id = e.src WHERE n.level >= 0 AND n.level < {callee}
+  UNION ALL SELECT e.src, e.dst, struct_pack(d := abs(n.level), s := 1, p := n.path, k := e.up) FROM e JOIN nodes n ON n.id = e.dst WHERE n.level <= 0 AND n.level > -{caller}),
+turns AS MATERIALIZED (SELECT src, dst, min(turn) AS turn FROM followed GROUP BY src, dst),
+capped AS MATERIALIZED (SELECT * FROM turns{limit}),
+ce AS MATERIALIZED (SELECT e.*, c.turn FROM e JOIN capped c USING (src, dst) JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst)"""
 
 
-_CHAIN = f"WITH {_parts(DENSE)}, {_walk(3, 3)}, {_chain_edges(3, 3)}"
+_CHAIN = f"WITH {_PARTS}, {_walk(3, 3)}, {_chain_edges(3, 3)}"
 _CHILDREN = """
-kids AS MATERIALIZED (SELECT DISTINCT CASE WHEN a.level >= 0 AND b.level = a.level + 1 THEN a.id ELSE b.id END AS id,
-  CASE WHEN a.level >= 0 AND b.level = a.level + 1 THEN b.id ELSE a.id END AS child
-  FROM ce JOIN nodes a ON a.id = ce.src JOIN nodes b ON b.id = ce.dst
-  WHERE (a.level >= 0 AND b.level = a.level + 1) OR (b.level <= 0 AND a.level = b.level - 1))"""
+kids AS MATERIALIZED (SELECT ce.src AS id, ce.dst AS child, struct_pack(s := 0, k := ce.down) AS turn FROM ce JOIN nodes a ON a.id = ce.src JOIN nodes b ON b.id = ce.dst
+  WHERE a.level >= 0 AND b.level = a.level + 1
+  UNION ALL SELECT ce.dst, ce.src, struct_pack(s := 1, k := ce.up) FROM ce JOIN nodes a ON a.id = ce.src JOIN nodes b ON b.id = ce.dst
+  WHERE b.level <= 0 AND a.level = b.level - 1)"""
 _CLUSTERS = """
 cat AS (SELECT p_partkey AS id, CASE WHEN p_size <= 25 THEN 'util' ELSE 'core' END AS category FROM part),
 clu AS MATERIALIZED (SELECT 'cluster:' || kids.id AS cluster_id, kids.id AS parent, count(*) AS n, list(child ORDER BY child) AS members
@@ -133,6 +138,30 @@ h3 AS (SELECT 'text' AS kind, coalesce(d.def_id, last_id) AS def_id, l.rel_path,
 hits AS (SELECT kind, def_id, rel_path, line_no, min(struct_pack(part := part, a := a, b := b, c := c)) AS turn
   FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY ALL)"""
 
+
+
+def _category(name: str, path: str) -> str:
+    return f"CASE WHEN contains({path}, 'node_modules') THEN 'thirdparty' " + " ".join(f"WHEN regexp_matches(lower({name}), '^({p})') THEN '{c}'" for c, p in CATEGORIES.items()) + " ELSE 'core' END"
+
+
+def _columns(levels: list[int]) -> str:
+    """Column layout: level 0 first, then outwards; rows of a column by the mean place of placed neighbours and of its own start."""
+    rows = "(row_number() OVER (ORDER BY {order}) - 1 - (count(*) OVER () - 1) / 2.0) * 86.0"
+    out = ["both_ends AS MATERIALIZED (SELECT src AS id, dst AS other FROM ce WHERE src <> dst UNION ALL SELECT dst, src FROM ce WHERE src <> dst)"]
+    out.append("p0 AS MATERIALIZED (SELECT id, 0 AS level, " + rows.format(order="path") + " AS y FROM nodes WHERE level = 0)")
+    done = ["p0"]
+    for k in levels:
+        name = f"p{k}" if k > 0 else f"q{-k}"
+        near = " UNION ALL ".join(f"SELECT id, y FROM {d}" for d in done)
+        out.append(f"s{name} AS MATERIALIZED (SELECT id, path, " + rows.format(order="path") + f" AS y FROM nodes WHERE level = {k})")
+        out.append(f"c{name} AS MATERIALIZED (SELECT b.id, avg(n.y) AS c FROM both_ends b JOIN ({near} UNION ALL SELECT id, y FROM s{name}) n ON n.id = b.other WHERE b.id IN (SELECT id FROM s{name}) GROUP BY b.id)")
+        out.append(f"{name} AS MATERIALIZED (SELECT s.id, {k} AS level, " + rows.format(order="coalesce(c, 0), path") + f" AS y FROM s{name} s LEFT JOIN c{name} USING (id))")
+        done.append(name)
+    out.append("placed AS MATERIALIZED (SELECT id, level, level * 316.0 - 112 AS x, y FROM (" + " UNION ALL ".join(f"SELECT * FROM {d}" for d in done) + "))")
+    return ",\n".join(s.replace("316.0 - 112 AS x", "316.0::DOUBLE - 112 AS x").replace("* 86.0", "* 86.0::DOUBLE") for s in out)
+
+
+_COLUMNS = _columns([1, 2, 3, -1, -2, -3])
 _ACTION = "CASE d.name " + " ".join(f"WHEN '{w}' THEN '{s}'" for w, s in ACTIONS.items()) + " ELSE 'handle' END"
 _PLAIN = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 
@@ -190,8 +219,8 @@ SELECT rel_path, line_no, start_col, callee, CASE WHEN target_id IS NOT NULL THE
     "explain_defs": f"""WITH {_DEFS}{_SITES}{_OWNED}, {_UNIQUE}
 SELECT d.def_id, 'Meant to ' || {_ACTION} || '.' || CASE WHEN c.calls IS NULL THEN '' ELSE ' Works with ' || array_to_string(c.calls[1:3], ', ') || '.' END AS summary,
   'inferred' AS basis, CASE WHEN d.end_line > d.start_line THEN 'Lines ' || d.start_line || '-' || d.end_line ELSE 'Line ' || d.start_line END || ' | ' ||
-  CASE WHEN c.calls IS NULL THEN 'Declared as ' || CASE WHEN length(trim(signature, ' ')) <= 120 THEN trim(signature, ' ') ELSE substr(trim(signature, ' '), 1, 119) || '…' END
-  ELSE 'Calls ' || array_to_string(c.calls[1:5], ', ') END AS facts FROM defs d LEFT JOIN calls c USING (def_id)""",
+  CASE WHEN c.calls IS NULL THEN '' ELSE 'Calls ' || array_to_string(c.calls[1:5], ', ') || ' | ' END ||
+  'Declared as ' || CASE WHEN length(trim(signature, ' ')) <= 120 THEN trim(signature, ' ') ELSE substr(trim(signature, ' '), 1, 119) || '…' END AS facts FROM defs d LEFT JOIN calls c USING (def_id)""",
     "search_text": f"WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT kind, def_id, rel_path, line_no FROM hits ORDER BY rel_path, turn LIMIT 300",
     "search_all": f"WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT kind, def_id, rel_path, line_no FROM hits",
     "symbol_at": f"""WITH {_DEFS},
@@ -215,29 +244,55 @@ AND l.line_no BETWEEN d.start_line - 10 AND d.start_line + 10 WHERE d.name = 'th
     "label_texts": r"""SELECT doc_id, (length(text) + length(regexp_replace(text, '[\x{00}-\x{ff}]', '', 'g')))::BIGINT AS units, lang || '/' || doc_id AS short_path,
   doc_id || ':' || doc_id AS short_location, substr(trim(text, ' '), 1, 150) AS code, CASE WHEN length(text) <= 120 THEN text ELSE substr(text, 1, 119) || '…' END AS short,
   CASE doc_id % 5 - 2 WHEN 0 THEN 'anchor' WHEN 1 THEN 'callee 1' WHEN 2 THEN 'callee 2' WHEN -1 THEN 'caller 1' ELSE 'caller 2' END AS level_label FROM documents""",
-    "edge_group": f"WITH {_parts(40)} SELECT src, dst, n_sites, first.f AS first_file, first.l::BIGINT AS first_line FROM e",
-    "node_degree": f"""WITH {_parts(40)} SELECT id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, sum(so)::BIGINT AS sites_out, sum(si)::BIGINT AS sites_in
+    "edge_group": f"WITH {_PARTS} SELECT src, dst, n_sites, first.f AS first_file, first.l::BIGINT AS first_line FROM e",
+    "node_degree": f"""WITH {_PARTS} SELECT id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, sum(so)::BIGINT AS sites_out, sum(si)::BIGINT AS sites_in
 FROM (SELECT src AS id, 1 AS o, 0 AS i, n_sites AS so, 0 AS si FROM e UNION ALL SELECT dst, 0, 1, 0, n_sites FROM e) GROUP BY id""",
-    "bfs_callees": f"WITH {_parts(40)}, {_walk(3, 0)} {_NODE_ROWS}",
-    "bfs_callers": f"WITH {_parts(40)}, {_walk(0, 3)} {_NODE_ROWS}",
-    "call_graph": f"""WITH {_parts(40)}, {_walk(2, 2)}, {_chain_edges(2, 2)},
+    "bfs_callees": f"WITH {_PARTS}, {_walk(3, 0)} {_NODE_ROWS}",
+    "bfs_callers": f"WITH {_PARTS}, {_walk(0, 3)} {_NODE_ROWS}",
+    "call_graph": f"""WITH {_PARTS}, {_walk(2, 2)}, {_chain_edges(2, 2)},
 x AS (SELECT src AS id, 1 AS o, 0 AS i, n_sites AS so, 0 AS si FROM ce UNION ALL SELECT dst, 0, 1, 0, n_sites FROM ce)
 SELECT n.id, n.level::BIGINT AS level, coalesce(sum(o), 0)::BIGINT AS n_out, coalesce(sum(i), 0)::BIGINT AS n_in, coalesce(sum(so), 0)::BIGINT AS sites_out,
   coalesce(sum(si), 0)::BIGINT AS sites_in FROM nodes n LEFT JOIN x ON x.id = n.id GROUP BY n.id, n.level""",
-    "build_graph_name": f"WITH {_parts(DENSE)}, {_walk(3, 3, 'name')} {_NODE_ROWS}",
-    "build_graph_name_edges": f"""WITH {_parts(DENSE)}, {_walk(3, 3, "name")}
+    "build_graph_name": f"WITH {_PARTS}, {_walk(3, 3, 'name')} {_NODE_ROWS}",
+    "build_graph_name_edges": f"""WITH {_PARTS}, {_walk(3, 3, "name")}
 SELECT src, dst, n_sites FROM e WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)""",
-    "build_graph_qualified": f"WITH {_parts(DENSE)}, {_walk(3, 3)} {_NODE_ROWS}",
+    "build_graph_qualified": f"WITH {_PARTS}, {_walk(3, 3)} {_NODE_ROWS}",
     "build_graph_qualified_edges": f"{_CHAIN} SELECT src, dst, n_sites FROM ce",
-    "graph_caps": f"WITH {_parts(DENSE)}, {_walk(4, 4, 'name', per_level=60, nodes=400)} {_NODE_ROWS}",
-    "graph_caps_qualified": f"WITH {_parts(DENSE)}, {_walk(5, 5, nodes=300)} {_NODE_ROWS}",
-    "child_ids": f"{_CHAIN}, {_CHILDREN} SELECT id, array_to_string(list(child ORDER BY child), ',') AS children FROM kids GROUP BY id",
+    "graph_caps": f"WITH {_PARTS}, {_walk(4, 4, 'name', per_level=60, nodes=400)} {_NODE_ROWS}",
+    "graph_caps_qualified": f"WITH {_PARTS}, {_walk(5, 5, nodes=300)} {_NODE_ROWS}",
+    "child_ids": f"{_CHAIN}, {_CHILDREN} SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids GROUP BY id",
+    "edge_sites": f"""WITH {_PARTS} SELECT src, dst, array_to_string(list(site_file || ':' || site_line ORDER BY site_file, site_line), ',') AS sites FROM psites GROUP BY src, dst""",
+    "root_path": f"WITH {_PARTS}, {_walk(3, 3)} SELECT nodes.id, {_IDS} AS ids FROM nodes, anchor",
+    "graph_caps_edges": f"""WITH {_PARTS}, {_walk(3, 3, nodes=300)}, {_chain_edges(3, 3, 500)}
+SELECT src, dst, n_sites, (SELECT count(*) FROM turns) > 500 AS truncated FROM ce""",
+    "build_graph_e": f"""WITH {_PARTS}, {_walk(2, 2)}, {_chain_edges(2, 2, 500)}, {_CHILDREN},
+k AS (SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids GROUP BY id)
+SELECT n.id, n.level::BIGINT AS level, coalesce(n.parent, -1) AS parent, coalesce(k.children, '') AS children, k.children IS NOT NULL AS has_children, {_category("p_name", "p_brand")} AS category,
+  p_brand AS file, p_size::BIGINT AS line, (SELECT count(*) FROM turns) > 500 AS truncated FROM nodes n JOIN part ON p_partkey = n.id LEFT JOIN k ON k.id = n.id""",
+    "unresolved_e": f"""WITH {_PARTS}, {_walk(2, 2)} SELECT src, site_file, site_line::BIGINT AS site_line, 'unresolved-notfound' AS status
+FROM pcalls WHERE dst IS NULL AND src IN (SELECT id FROM nodes)""",
+    "visible_minus_agg": f"""{_CHAIN}, {_CHILDREN}, {_CLUSTERS} SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids
+WHERE child NOT IN (SELECT unnest(members) FROM clu) GROUP BY id""",
+    "anchor_from_hit": f"""WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT def_id AS anchor_id, kind, h.rel_path, h.line_no,
+  CASE WHEN kind = 'text' THEN h.rel_path END AS focus_rel_path, CASE WHEN kind = 'text' THEN h.line_no END AS focus_line_no, CASE WHEN kind = 'text' THEN l.line END AS focus_code
+FROM hits h JOIN lines l ON l.rel_path = h.rel_path AND l.line_no = h.line_no""",
+    "full_chain": f"WITH {_PARTS}, {_walk(9, 9)} {_NODE_ROWS}",
+    "name_tokens": f"""WITH {_DEFS} SELECT def_id, name || ' ' || upper(substr(name, 1, 1)) || substr(name, 2) AS tokens FROM defs""",
+    "layout_rows": f"""{_CHAIN}, w AS (SELECT n.id, n.level, p_brand, p_size, greatest(110.0, least(330.0, length(p_name) * 7.6 + 26, length(p_brand || ':' || p_size) * 6.6 + 26))::DOUBLE AS width
+  FROM nodes n JOIN part ON p_partkey = n.id),
+x AS (SELECT *, sum(width + 20) OVER (PARTITION BY level ORDER BY p_brand, p_size, id ROWS UNBOUNDED PRECEDING) - width - 20 AS l, sum(width + 20) OVER (PARTITION BY level) - 20 AS t FROM w)
+SELECT id, level::BIGINT AS level, round(l - t / 2 + width / 2, 6) AS x, ((level - (SELECT min(level) FROM nodes) + 0.5) * 110)::DOUBLE AS y, round(width, 6) AS width FROM x""",
+    "layout_columns": f"{_CHAIN}, {_COLUMNS} SELECT id, level::BIGINT AS level, x, y FROM placed",
+    "layout_bounds": f"{_CHAIN}, {_COLUMNS} SELECT min(x) - 28 AS min_x, max(x) + 252 AS max_x, min(y) - 34 AS min_y, max(y) + 86 AS max_y FROM placed",
+    "edge_paths": f"""{_CHAIN}, {_COLUMNS}, b AS (SELECT ce.src, ce.dst, p.x + 224 AS x1, p.y + 34 AS y1, q.x AS x2, q.y + 34 AS y2 FROM ce JOIN placed p ON p.id = ce.src JOIN placed q ON q.id = ce.dst),
+c AS (SELECT *, greatest(abs(x2 - x1) / 2, 34) AS bend FROM b)
+SELECT src, dst, printf('M %.1f %.1f C %.1f %.1f, %.1f %.1f, %.1f %.1f', x1, y1, x1 + bend, y1, x2 - bend, y2, x2, y2) AS d FROM c""",
     "level_counts": f"{_CHAIN} SELECT level::BIGINT AS level, count(*) AS n FROM nodes GROUP BY level",
     "parent_edges": f"""{_CHAIN} SELECT n.id, n.parent, ce.n_sites, ce.first.f AS first_file, ce.first.l::BIGINT AS first_line FROM nodes n
 JOIN ce ON (n.level > 0 AND ce.src = n.parent AND ce.dst = n.id) OR (n.level < 0 AND ce.dst = n.parent AND ce.src = n.id)""",
-    "anchor_adjacent": f"""WITH {_parts(DENSE)} SELECT src, dst, site_file, site_line::BIGINT AS site_line FROM psites, anchor
+    "anchor_adjacent": f"""WITH {_PARTS} SELECT src, dst, site_file, site_line::BIGINT AS site_line FROM psites, anchor
 WHERE (src = anchor.id OR dst = anchor.id) AND src <> dst""",
-    "focus_edges": f"""WITH {_parts(40)}, m AS (SELECT min(struct_pack(f := site_file, l := site_line)) AS m FROM psites)
+    "focus_edges": f"""WITH {_PARTS}, m AS (SELECT min(struct_pack(f := site_file, l := site_line)) AS m FROM psites)
 SELECT DISTINCT src, dst FROM psites, m WHERE site_file = m.m.f AND site_line = m.m.l""",
     "visible_nodes": f"{_CHAIN}, {_CHILDREN} SELECT id FROM anchor UNION SELECT child FROM kids JOIN nodes USING (id) WHERE level BETWEEN -1 AND 1",
     "collapse_subtree": f"""{_CHAIN}, {_CHILDREN}, ex AS (SELECT id, level FROM nodes WHERE level BETWEEN -2 AND 2),

@@ -12,7 +12,6 @@ from callweave.sources import adapters, files
 
 #: Extensions dealt to documents so that every language rule is met.
 EXTENSIONS = ["kt", "java", "swift", "ts", "tsx", "mts", "js", "cjs", "c", "hpp", "py", "go", "m", "mm", "css", "html", "json", "md", "KTS", "rs", "txt", ""]
-DENSE = 20
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -50,14 +49,17 @@ def _owned_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     return stored(sites), defs, owners
 
 
-def _part_graph(spark: SparkSession, d: str, quantity: int | None = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sites = stored(adapters.part_sites(spark, d, quantity))
-    edges = stored(graph.edge_groups(sites))
+def _part_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sites, edges and hub of the graph of all consecutive lines of orders."""
+    sites = stored(adapters.part_sites(spark, d))
+    edges = stored(graph.edge_groups(sites, adapters.part_definitions(spark, d)))
     return sites, edges, stored(graph.hub(edges))
 
 
-def _nodes(df: DataFrame) -> DataFrame:
-    return _long(df.select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), F.array_join("path", ">").alias("path")))
+def _nodes(df: DataFrame, anchor: DataFrame) -> DataFrame:
+    ids = F.array_join(F.concat(F.array("anchor_id"), graph.ids_of("path")), ">")
+    rows = df.join(F.broadcast(anchor.limit(1).select(F.col("id").alias("anchor_id"))))
+    return _long(rows.select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), ids.alias("path")))
 
 
 def detect_language(spark, d):
@@ -208,19 +210,26 @@ def explain_defs(spark, d):
     sites, defs, _ = _owned_sites(spark, d)
     lines = adapters.document_lines(spark, d)
     found = explain.explain(defs, explain.unique_calls(sites, defs), explain.leading_comments(defs, lines))
-    return found.select("def_id", "summary", "basis", F.array_join(F.slice("facts", 1, 2), " | ").alias("facts"))
+    return found.select("def_id", "summary", "basis", F.array_join("facts", " | ").alias("facts"))
+
+
+def _hits(spark, d, max_hits: int | None) -> tuple[DataFrame, DataFrame]:
+    lines = adapters.document_lines(spark, d)
+    defs = stored(_defs(spark, d, lines))
+    return search.search(lines, defs, _sites(spark, d, lines), None, "Tion", max_hits=max_hits), defs
 
 
 def search_text(spark, d):
-    sites, defs, owners = _owned_sites(spark, d)
-    hits = search.search(adapters.document_lines(spark, d), defs, sites.where("def_id is not null"), owners, "Tion")
-    return _long(hits.select("kind", "def_id", "rel_path", "line_no"))
+    return _long(_hits(spark, d, search.MAX_HITS)[0].select("kind", "def_id", "rel_path", "line_no"))
 
 
 def search_all(spark, d):
-    sites, defs, owners = _owned_sites(spark, d)
-    hits = search.search(adapters.document_lines(spark, d), defs, sites.where("def_id is not null"), owners, "Tion", max_hits=None)
-    return _long(hits.select("kind", "def_id", "rel_path", "line_no"))
+    return _long(_hits(spark, d, None)[0].select("kind", "def_id", "rel_path", "line_no"))
+
+
+def anchor_from_hit(spark, d):
+    """Every hit's anchor, its owner, and the statement that stays in focus."""
+    return _long(search.anchor_from_hit(*_hits(spark, d, None)))
 
 
 def symbol_at(spark, d):
@@ -274,7 +283,13 @@ def name_tokens(spark, d):
 
 
 def edge_group(spark, d):
-    return _long(graph.edge_groups(adapters.part_sites(spark, d)))
+    return _long(graph.edge_groups(adapters.part_sites(spark, d)).select("src", "dst", "n_sites", "first_file", "first_line"))
+
+
+def edge_sites(spark, d):
+    """The ordered list of sites of every edge."""
+    edges = graph.edge_groups(adapters.part_sites(spark, d))
+    return edges.select("src", "dst", F.array_join(F.transform("sites", lambda s: F.concat_ws(":", s["site_file"], s["site_line"])), ",").alias("sites"))
 
 
 def node_degree(spark, d):
@@ -283,12 +298,12 @@ def node_degree(spark, d):
 
 def bfs_callees(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 3, 0)[0])
+    return _nodes(graph.walk(edges, anchor, 3, 0)[0], anchor)
 
 
 def bfs_callers(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 0, 3)[0])
+    return _nodes(graph.walk(edges, anchor, 0, 3)[0], anchor)
 
 
 def call_graph(spark, d):
@@ -301,45 +316,78 @@ def call_graph(spark, d):
 
 
 def build_graph_name(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
-    return _nodes(graph.walk(edges, anchor, 3, 3, "name")[0])
+    _, edges, anchor = _part_graph(spark, d)
+    return _nodes(graph.walk(edges, anchor, 3, 3, "name")[0], anchor)
 
 
 def build_graph_name_edges(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
+    _, edges, anchor = _part_graph(spark, d)
     nodes = stored(graph.walk(edges, anchor, 3, 3, "name")[0])
     return _long(graph.induced_edges(edges, nodes).select("src", "dst", "n_sites"))
 
 
 def build_graph_qualified(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
-    return _nodes(graph.walk(edges, anchor, 3, 3)[0])
+    _, edges, anchor = _part_graph(spark, d)
+    return _nodes(graph.walk(edges, anchor, 3, 3)[0], anchor)
 
 
 def build_graph_qualified_edges(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
+    _, edges, anchor = _part_graph(spark, d)
     nodes = stored(graph.walk(edges, anchor, 3, 3)[0])
     return _long(graph.chain_edges(edges, nodes, 3, 3).select("src", "dst", "n_sites"))
 
 
 def graph_caps(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
-    return _nodes(graph.walk(edges, anchor, 4, 4, "name", graph.NAME_CAPS)[0])
+    _, edges, anchor = _part_graph(spark, d)
+    return _nodes(graph.walk(edges, anchor, 4, 4, "name", graph.NAME_CAPS)[0], anchor)
 
 
 def graph_caps_qualified(spark, d):
-    _, edges, anchor = _part_graph(spark, d, DENSE)
-    return _nodes(graph.walk(edges, anchor, 5, 5, "qualified", graph.QUALIFIED_CAPS)[0])
+    _, edges, anchor = _part_graph(spark, d)
+    return _nodes(graph.walk(edges, anchor, 5, 5, "qualified", graph.QUALIFIED_CAPS)[0], anchor)
+
+
+def graph_caps_edges(spark, d):
+    """The first edges in the order of expansion, with the flag that there are more."""
+    _, edges, anchor = _part_graph(spark, d)
+    nodes = stored(graph.walk(edges, anchor, 3, 3, "qualified", graph.QUALIFIED_CAPS)[0])
+    kept, cut = graph.capped_edges(edges, nodes, 3, 3, graph.QUALIFIED_CAPS.edges)
+    return _long(kept.select("src", "dst", "n_sites", F.lit(cut).alias("truncated")))
+
+
+def _graph_e(spark, d) -> dict:
+    calls, anchor = stored(adapters.part_calls(spark, d)), None
+    bound = calls.where("dst is not null").select("src", "dst").distinct().withColumn("n_sites", F.lit(1))
+    anchor = graph.hub(bound)
+    return graph.build_graph(adapters.part_definitions(spark, d), calls, anchor, 2, 2, graph.Caps(edges=graph.QUALIFIED_CAPS.edges))
+
+
+def build_graph_e(spark, d):
+    """The qualified graph as one operator: node records, with its flag."""
+    g = _graph_e(spark, d)
+    flat = F.array_join("child_ids", ",").alias("children")
+    return _long(g["nodes"].select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), flat, "has_children", "category", "file", "line", F.lit(g["truncated"]).alias("truncated")))
+
+
+def unresolved_e(spark, d):
+    """Calls of the graph's nodes that are bound to nothing."""
+    return _long(_graph_e(spark, d)["unresolved"].select("src", "site_file", "site_line", "status"))
+
+
+def root_path(spark, d):
+    """The chain from the anchor to every node."""
+    _, edges, anchor = _part_graph(spark, d)
+    return graph.root_path(graph.walk(edges, anchor, 3, 3)[0]).select("id", F.array_join("ids", ">").alias("ids"))
 
 
 def full_chain(spark, d):
     """Everything that reaches or is reached from the hub, over the edges of all consecutive lines, cycles included."""
-    _, edges, anchor = _part_graph(spark, d, None)
-    return _nodes(graph.walk(edges, anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0])
+    _, edges, anchor = _part_graph(spark, d)
+    return _nodes(graph.walk(edges, anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0], anchor)
 
 
 def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    sites, edges, anchor = _part_graph(spark, d, DENSE)
+    sites, edges, anchor = _part_graph(spark, d)
     nodes = stored(graph.walk(edges, anchor, 3, 3)[0])
     return sites, stored(graph.chain_edges(edges, nodes, 3, 3)), nodes, anchor
 
@@ -360,7 +408,7 @@ def parent_edges(spark, d):
 
 
 def anchor_adjacent(spark, d):
-    sites, _, anchor = _part_graph(spark, d, DENSE)
+    sites, _, anchor = _part_graph(spark, d)
     return _long(graph.anchor_adjacent(sites, anchor))
 
 
@@ -384,6 +432,13 @@ def collapse_subtree(spark, d):
     return graph.collapse_subtree(stored(graph.child_ids(edges, nodes)), expanded, node)
 
 
+def visible_minus_agg(spark, d):
+    _, edges, nodes, _ = _chain(spark, d)
+    children = stored(graph.child_ids(edges, nodes))
+    taken = graph.clusters(children, _categories(spark, d)).select(F.explode("members").alias("id"))
+    return graph.visible_minus_agg(children, taken).select("id", F.array_join("child_ids", ",").alias("children"))
+
+
 def _categories(spark, d) -> DataFrame:
     return adapters.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 25, "util").otherwise("core").alias("category"))
 
@@ -447,7 +502,7 @@ QUERIES = {
         detect_language, lang_histogram, lang_parse_stats, split_lines, path_tree, scan_caps, scan_budget, collect_sources, read_decode, line_shape,
         call_sites_regex, extract_scripts, parse_scripts, extract_defs, qualified_id, first_definition, symbol_list, session_totals, line_owner, resolve_name,
         resolve_qualified, calls_by_caller, unique_calls, unresolved_calls, explain_defs, search_text, search_all, symbol_at, match_symbol, snippet,
-        classify, label_texts, label_layout, name_tokens, edge_group, node_degree, bfs_callees, bfs_callers, call_graph, build_graph_name,
+        classify, label_texts, label_layout, name_tokens, edge_group, node_degree, bfs_callees, bfs_callers, call_graph, edge_sites, build_graph_e, unresolved_e, root_path, graph_caps_edges, visible_minus_agg, anchor_from_hit, build_graph_name,
         build_graph_name_edges, build_graph_qualified, build_graph_qualified_edges, graph_caps, graph_caps_qualified, full_chain, child_ids,
         level_counts, parent_edges, anchor_adjacent, focus_edges, visible_nodes, collapse_subtree, clusters, redirect_edges, expand_plan,
         layout_columns, layout_bounds, edge_paths, layout_rows, progress_totals,

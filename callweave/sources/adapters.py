@@ -39,15 +39,24 @@ def call_sites(lines: DataFrame) -> DataFrame:
     return rows.select("rel_path", "language", "line_no", (F.col("p") + 1).alias("turn"), F.lower("n").alias("callee"), "line")
 
 
-def part_sites(spark: SparkSession, folder: str, quantity: int | None = 40) -> DataFrame:
-    """Call sites between parts: a returned line of an order "calls" the part of the order's next line.
+def part_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls between parts: every line of an order "calls" the part of the order's next line.
 
-    Without a ``quantity`` every line does, returned or not.
-
-    Columns src, dst, order and line; repeated (order, line) pairs give one site for each pair of parts.
+    Columns src, dst, status, site_file (order) and site_line. The last line of an order calls something
+    that isn't found. Repeated (order, line) pairs give one call for each pair of parts.
     """
-    items = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
-    calling = items if quantity is None else items.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity))
-    a = calling.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"))
+    items = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    a = items.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"))
     b = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "line"]).select("src", "dst", F.col("l_orderkey").alias("site_file"), F.col("line").alias("site_line")).distinct()
+    status = F.when(F.col("dst").isNull(), "unresolved-notfound").otherwise("resolved")
+    return a.join(b, ["l_orderkey", "line"], "left").select("src", "dst", status.alias("status"), F.col("l_orderkey").alias("site_file"), F.col("line").alias("site_line")).distinct()
+
+
+def part_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """The calls of ``part_calls`` that reach a part: src, dst, site_file, site_line."""
+    return part_calls(spark, folder).where("dst is not null").drop("status")
+
+
+def part_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as definitions: id, file (brand), line (size), name."""
+    return read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), F.col("p_size").alias("line"), F.col("p_name").alias("name"))

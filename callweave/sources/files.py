@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.languages import COLLECTED, collected_language, detect_language, extension
+from callweave.operators.aggregates import range_buckets
 
 # Directories that scans leave out.
 EXCLUDED_NAME_MODE = [
@@ -143,5 +144,11 @@ def path_tree(paths: DataFrame, path: str = "rel_path") -> DataFrame:
     parent = F.when(F.col("depth") > 1, F.array_join(F.expr("slice(parts, 1, depth - 1)"), "/")).otherwise("")
     kind = F.when(F.col("depth") == F.size("parts"), "file").otherwise("dir")
     rows = levels.select(parent.alias("parent"), F.element_at("parts", F.col("depth")).alias("name"), node.alias("path"), kind.alias("type"), "depth").distinct()
-    turn = F.row_number().over(Window.partitionBy("parent").orderBy((F.col("type") != "dir"), "name"))
-    return rows.withColumn("turn", turn)
+    # Ranks run within ranges of names, so that a directory with most entries is dealt out.
+    dealt = range_buckets(rows.withColumn("key_", F.concat(F.when(F.col("type") == "dir", "0").otherwise("1"), "name")), "key_")
+    counts = dealt.groupBy(F.col("parent").alias("p_"), F.col("bucket").alias("b_")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("p_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("p_", "b_", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("parent", "bucket").orderBy("key_")))
+    placed = own.join(bases, (F.col("parent") == F.col("p_")) & (F.col("bucket") == F.col("b_")))
+    return placed.select("parent", "name", "path", "type", "depth", (F.col("own") + F.col("base")).alias("turn"))

@@ -146,18 +146,78 @@ def test_full_chain_walks_every_edge_and_cycles(spark, tmp_path):
     edges = {(a, b) for parts in orders for a, b in zip(parts, parts[1:])}
     degree = {n: sum(a == n for a, _ in edges) * sum(b == n for _, b in edges) for e in edges for n in e}
     anchor = min(degree, key=lambda n: (-degree[n], n))
-    want = {anchor: (0, -1, (anchor,))}
-    fronts = {1: [anchor], -1: [anchor]}
-    while fronts[1] or fronts[-1]:
-        for side in (1, -1):
-            new = {}
-            for n in fronts[side]:
-                for a, b in edges:
-                    here, there = (a, b) if side > 0 else (b, a)
-                    if here == n and there not in want:
-                        new[there] = min(new.get(there, ((float("inf"),), None)), ((*want[n][2], there), n))
-            for n, (path, parent) in new.items():
-                want[n] = (want[parent][0] + side, parent, path)
-            fronts[side] = list(new)
-    got = {r.id: (r.level, r.parent, tuple(map(int, r.path.split(">")))) for r in QUERIES["full_chain"](spark, str(tmp_path)).collect()}
-    assert got == want and len(got) == 9
+    spark.createDataFrame([(n, f"brand {n % 3}", n % 4, "x") for n in range(40)], "p_partkey long, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    calls = [(a, b, "resolved", o, k) for o, parts in enumerate(orders) for k, (a, b) in enumerate(zip(parts, parts[1:]), 1)]
+    level, parent, *_ = queue_graph([(n, f"brand {n % 3}", n % 4, "x") for n in range(40)], calls, anchor, 99, 99, 999, 999)
+    got = {r.id: (r.level, r.parent) for r in QUERIES["full_chain"](spark, str(tmp_path)).collect()}
+    assert got == {n: (level[n], -1 if parent[n] is None else parent[n]) for n in level} and len(got) == 9
+
+
+def queue_graph(definitions, calls, anchor, down, up, most_nodes, most_edges):
+    """The qualified graph by a plain queue: levels, parents, children, edges with sites, unresolved calls, flag."""
+    place = {i: (f, line) for i, f, line, _ in definitions}
+    sites = {}
+    for c in sorted(set(calls), key=lambda c: (c[3], c[4])):
+        if c[1] is not None:
+            sites.setdefault((c[0], c[1]), []).append((c[3], c[4]))
+    callees = lambda x: sorted((b for a, b in sites if a == x), key=lambda b: (sites[x, b][0], b))
+    callers = lambda x: sorted((a for a, b in sites if b == x), key=lambda a: (place.get(a, ("", 0)), sites[a, x][0], a))
+    level, parent, edges, flag = {}, {}, [], False
+    queue, waiting = deque([(anchor, 0, None)]), {anchor}
+    while queue:
+        x, at, above = queue.popleft()
+        if len(level) >= most_nodes:
+            flag = True
+            break
+        level[x], parent[x] = at, above
+        steps = [(x, y, y, at + 1) for y in callees(x)] if 0 <= at < down else []
+        steps += [(y, x, y, at - 1) for y in callers(x)] if -up < at <= 0 else []
+        for a, b, y, there in steps:
+            if (a, b) not in edges:
+                if len(edges) >= most_edges:
+                    flag = True
+                else:
+                    edges.append((a, b))
+            if y not in waiting:
+                waiting.add(y)
+                queue.append((y, there, x))
+    children = {}
+    for a, b in edges:
+        if a in level and b in level:
+            if level[a] >= 0 and level[b] == level[a] + 1:
+                children.setdefault(a, []).append(b)
+            elif level[b] <= 0 and level[a] == level[b] - 1:
+                children.setdefault(b, []).append(a)
+    kept = {(a, b): sites[a, b] for a, b in edges if a in level and b in level}
+    missing = {c for c in calls if c[2] != "resolved" and c[0] in level}
+    return level, parent, children, kept, missing, flag
+
+
+@pytest.mark.parametrize(("most_nodes", "most_edges"), [(1000, 1000), (9, 1000), (1000, 11), (6, 5)])
+def test_build_graph_follows_sites_and_places(spark, most_nodes, most_edges):
+    rng = random.Random(most_nodes + most_edges)
+    ids = list(range(16))
+    rng.shuffle(ids)
+    definitions = [(i, rng.choice("cab"), rng.randrange(9), rng.choice(["load", "onTap", "formatX", "other"])) for i in ids]
+    calls = []
+    for _ in range(60):
+        b = rng.choice(ids + [None])
+        status = "resolved" if b is not None else rng.choice(["unresolved-ambiguous", "unresolved-notfound"])
+        calls.append((rng.choice(ids), b, status, rng.choice("zyx"), rng.randrange(50)))
+    calls += calls[:5]
+    d = spark.createDataFrame(definitions, "id long, file string, line long, name string")
+    c = spark.createDataFrame(calls, "src long, dst long, status string, site_file string, site_line long")
+    level, parent, children, kept, missing, flag = queue_graph(definitions, calls, 3, 3, 2, most_nodes, most_edges)
+    g = graph.build_graph(d, c, spark.createDataFrame([(3,)], "id long"), 3, 2, graph.Caps(nodes=most_nodes, edges=most_edges))
+    nodes = {r.id: r for r in g["nodes"].collect()}
+    assert {i: (r.level, r.parent) for i, r in nodes.items()} == {i: (level[i], parent[i]) for i in level}
+    assert {i: r.child_ids for i, r in nodes.items() if r.has_children} == children
+    assert {(r.src, r.dst): [tuple(s) for s in r.sites] for r in g["edges"].collect()} == kept
+    assert {tuple(r[c] for c in ("src", "dst", "status", "site_file", "site_line")) for r in g["unresolved"].collect()} == missing
+    assert g["truncated"] == flag
+    for r in g["paths"].collect():
+        chain = [r.id]
+        while parent[chain[-1]] is not None:
+            chain.append(parent[chain[-1]])
+        assert r.ids == chain[::-1]
+    assert graph.build_graph(d, c, spark.createDataFrame([(99,)], "id long"), 3, 2) is None
