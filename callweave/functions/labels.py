@@ -113,8 +113,12 @@ def shorten(text: Column | str, limit: int) -> Column:
 
 def name_tokens(name: Column | str) -> Column:
     """Words of an identifier: ``_ - $`` part words, so do camel-case steps; the name itself if it has none."""
-    plain = F.regexp_replace(name, "[_$-]", " ")
-    found = F.regexp_extract_all(plain, F.lit(r"[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
+    # A space goes before a capital behind a small letter or digit, before the last capital of a run that small
+    # letters follow, and between letters and digits.
+    steps = F.regexp_replace(name, r"[^A-Za-z0-9]+", " ")
+    for left, right in (("[a-z0-9]", "[A-Z]"), ("[A-Z]", "[A-Z][a-z]"), ("[A-Za-z]", "[0-9]"), ("[0-9]", "[A-Za-z]")):
+        steps = F.regexp_replace(steps, f"(?<={left})(?={right})", " ")
+    found = F.filter(F.split(steps, " "), lambda t: t != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(_col(name)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.functions import extract, labels, languages, syntax
+from callweave.functions import extract, labels, languages
 from callweave.operators import aggregates, explain, graph, resolve, search
 from callweave.plans.stored import stored
 from callweave.sources import adapters, files
@@ -137,22 +137,6 @@ def call_sites_regex(spark, d):
     return _long(rows.where(~F.col("callee").isin(sorted(extract.KEYWORDS))))
 
 
-def extract_scripts(spark, d):
-    pages = adapters.read(spark, d, "pages").where("html is not null")
-    sources = pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.lit("typescript").alias("language"), F.split("html", "\n", -1).alias("lines"))
-    found = extract.analyze(sources)
-    return _long(found.select("def_id", "name", "kind", "start_line", "end_line", F.size("calls").alias("n_calls")))
-
-
-def parse_scripts(spark, d):
-    """Syntax-level functions, classes and calls of the pages' scripts."""
-    pages = adapters.read(spark, d, "pages").where("html is not null")
-    scripts = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    parsed = syntax.parse_files(pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".js")).alias("rel_path"), F.lit("javascript").alias("language"), scripts.alias("text")))
-    sizes = [F.size(c).alias(f"n_{c}") for c in ("functions", "classes", "calls")]
-    return _long(parsed.select("rel_path", *sizes, F.array_join(F.transform("calls", lambda c: c["callee"]), ",").alias("callees"), F.coalesce("error", F.lit("")).alias("error")))
-
-
 def extract_defs(spark, d):
     return _long(adapters.definitions(adapters.document_lines(spark, d)).select("rel_path", "name", "start_line", "end_line"))
 
@@ -500,7 +484,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_language, lang_histogram, lang_parse_stats, split_lines, path_tree, scan_caps, scan_budget, collect_sources, read_decode, line_shape,
-        call_sites_regex, extract_scripts, parse_scripts, extract_defs, qualified_id, first_definition, symbol_list, session_totals, line_owner, resolve_name,
+        call_sites_regex, extract_defs, qualified_id, first_definition, symbol_list, session_totals, line_owner, resolve_name,
         resolve_qualified, calls_by_caller, unique_calls, unresolved_calls, explain_defs, search_text, search_all, symbol_at, match_symbol, snippet,
         classify, label_texts, label_layout, name_tokens, edge_group, node_degree, bfs_callees, bfs_callers, call_graph, edge_sites, build_graph_e, unresolved_e, root_path, graph_caps_edges, visible_minus_agg, anchor_from_hit, build_graph_name,
         build_graph_name_edges, build_graph_qualified, build_graph_qualified_edges, graph_caps, graph_caps_qualified, full_chain, child_ids,

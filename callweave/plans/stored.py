@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and read it back.
 
-    The folder is the session's own setting; a temporary one is set only where it is unset. The copy
-    survives lost executors and the stage that made it runs once.
+    The folder is the session's own setting; where it is unset, a local session (tests) gets a temporary
+    one and a cluster session raises. The copy survives lost executors and the stage that made it runs once.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
