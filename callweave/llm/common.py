@@ -74,6 +74,14 @@ def small_batches(spark: SparkSession, rows: int = 500):
         spark.conf.set(key, before)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run):
     """Wrap a generator that runs in Python workers: when it ends, freed memory goes back to the system.
 
@@ -83,10 +91,7 @@ def frugal(run):
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return wrapped
 

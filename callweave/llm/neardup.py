@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import connected_components, cut, frugal, small_batches, table, text_or_empty
+from callweave.llm.common import connected_components, cut, frugal, release, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 36, 5
@@ -196,15 +196,22 @@ def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFram
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc")
         if from_text:
-            sets = shingle_sets([t.encode() if isinstance(t, str) else b"" for t in pdf["text"]])
+            raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
+            sets, regs = [], []
+            for a, b in _chunks(raw):  # arrays of arrivals are many times a set's size
+                sets += shingle_sets(raw[a:b])
+                regs.append(registers(sets[a:b]))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            found = links_in_group(pdf["doc"].tolist(), sizes, sets, registers(sets), threshold)
+            found = links_in_group(pdf["doc"].tolist(), sizes, sets, np.concatenate(regs), threshold)
+            release()
         else:
             sets = [np.sort(np.asarray(d, np.int64).view(np.uint64)) for d in pdf["delta"]]
             found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, None, threshold)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return groups.groupBy("grp").applyInPandas(verify, "a long, b long")
+    # Few bytes may be much work: the groups are dealt over all partitions whatever their size.
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(parts, "grp").groupBy("grp").applyInPandas(verify, "a long, b long")
 
 
 def _divide(groups: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
