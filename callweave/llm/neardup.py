@@ -203,7 +203,8 @@ def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFram
                 regs.append(registers(sets[a:b]))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             found = links_in_group(pdf["doc"].tolist(), sizes, sets, np.concatenate(regs), threshold)
-            release()
+            if len(pdf) > GROUP_ROWS // 8:
+                release()
         else:
             sets = [np.sort(np.asarray(d, np.int64).view(np.uint64)) for d in pdf["delta"]]
             found = links_in_group(pdf["doc"].tolist(), pdf["n"].to_numpy(), sets, None, threshold)
