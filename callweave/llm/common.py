@@ -146,3 +146,21 @@ def _digest(pairs: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
     row = pairs.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
     return tuple(row)
+
+
+def query_blocks(rows: DataFrame, key: str, size, most_rows: int, most_bytes: int) -> list[DataFrame]:
+    """Split a query set into parts by a hash of ``key``, each of which may be broadcast.
+
+    A part has at most ``most_rows`` rows and ``most_bytes`` bytes of ``size``, unless rows of one key alone
+    are more than that. The parts' sizes are measured, and their number doubles until all of them fit.
+    """
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-n // most_rows), -(-total // most_bytes))
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(parts))
+    if parts == 1:
+        return [rows]
+    while True:
+        held = rows.groupBy(place().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.min(key).alias("x"), F.max(key).alias("y"))
+        if held.where((F.col("n") > most_rows) | (F.col("b") > most_bytes)).where("x <> y").isEmpty():
+            return [rows.where(place() == i) for i in range(parts)]
+        parts *= 2

@@ -16,6 +16,7 @@ _QUERIES = {
     "op6_secrets": ("secrets", "op6_secrets", None),
     "op7_pii": ("pii", "op7_pii", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
+    "op11_search": ("balltree", "op11_search", "ORACLE"),
 }
 
 
