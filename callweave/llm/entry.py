@@ -17,6 +17,7 @@ _QUERIES = {
     "op7_pii": ("pii", "op7_pii", None),
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
     "op11_search": ("balltree", "op11_search", "ORACLE"),
+    "op12_negatives": ("negatives", "op12_negatives", "ORACLE"),
 }
 
 
