@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_byte_bpe": ("bpe", "op8_byte_bpe", None),
     "op11_search": ("balltree", "op11_search", "ORACLE"),
     "op12_negatives": ("negatives", "op12_negatives", "ORACLE"),
+    "op13_licences": ("licences", "op13_licences", None),
 }
 
 
