@@ -5,8 +5,8 @@ expression, so their lengths in code points add up to positions. Candidate strin
 key-like characters) pass a window of ``WINDOW`` characters; an aggregate carries the counts of the
 characters inside it, updates them and the sum of c * log2(c) by the character that enters and the
 one that leaves, and keeps the first and last window above the threshold of the string's character
-class. An allow-list suppresses what is known to be no secret: base spans and allowed strings inside a
-candidate cut it, and every part that is left is judged by itself.
+class. An allow-list suppresses what is known to be no secret: candidates end where base spans begin, allowed
+strings inside a candidate cut it, and every part that is left is judged by itself.
 """
 
 from __future__ import annotations
@@ -40,16 +40,63 @@ ALLOW = [
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
-def _offsets(sizes: Column) -> Column:
-    """Array of the sums of ``sizes`` before each element, in blocks, so that many elements aren't copied once for each."""
+#: Characters in one block of a text from which pieces are taken.
+TEXT_BLOCK = 4096
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, join, zero: int = 0) -> Column:
+    """Array of what ``join`` makes of all ``values`` before each, in blocks, so that many elements aren't copied once for each."""
     walk = lambda xs, value: F.aggregate(
         xs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
     )
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: walk(F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)), lambda x: x))
-    bases = F.transform(F.arrays_zip(blocks.alias("b"), walk(blocks, lambda x: x["at"])["out"].alias("at")), lambda x: F.transform(x["b"]["out"], lambda at: at + x["at"]))
-    return F.when(F.size(sizes) > 0, F.flatten(bases)).otherwise(F.array().cast("array<int>"))
+
+    def merged(blocks: Column) -> Column:
+        bases = walk(blocks, lambda x: x["at"])["out"]
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), bases.alias("at")), lambda x: F.transform(x["b"]["out"], lambda at: join(at, x["at"]))))
+
+    blocks = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda i: walk(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)), lambda x: x))
+    some = lambda xs: _let(blocks(xs), merged)
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, some(xs)).otherwise(F.array().cast("array<int>")))
+
+
+def _offsets(sizes: Column) -> Column:
+    """Array of the sums of ``sizes`` before each element."""
+    return _before(sizes, lambda a, b: a + b)
+
+
+def _masked(text: Column, spans: Column, mask) -> Column:
+    """``text`` with ``mask(length)`` in place of each of the ``spans`` (start, end), sorted by start; overlapping ones become one.
+
+    Pieces are taken from blocks of the text, so that no span reads the text from its beginning.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / TEXT_BLOCK).cast("int")), lambda i: F.substr(text, i * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)))
+
+    def piece(held: Column, begin: Column, end: Column) -> Column:
+        inside = lambda i: F.substr(F.get(held, i), F.greatest(F.lit(1), begin - i * TEXT_BLOCK + 1), F.least(F.lit(TEXT_BLOCK), end - i * TEXT_BLOCK) - F.greatest(F.lit(0), begin - i * TEXT_BLOCK))
+        every = F.transform(F.sequence(F.floor(begin / TEXT_BLOCK).cast("int"), F.floor((end - 1) / TEXT_BLOCK).cast("int")), inside)
+        return F.when(end > begin, F.array_join(every, "")).otherwise("")
+
+    def whole(held: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        zipped = F.arrays_zip(spans.alias("s"), _before(ends, F.greatest).alias("reach"))
+        parts = F.transform(
+            zipped,
+            lambda z: F.concat(
+                piece(held, z["reach"], F.greatest(z["reach"], z["s"]["start"])),
+                # A span that begins where another still runs only masks what is left of it.
+                mask(z["s"]["start"] >= z["reach"], F.greatest(z["s"]["end"], z["reach"]) - F.greatest(z["s"]["start"], z["reach"])),
+            ),
+        )
+        return F.concat(F.array_join(parts, ""), piece(held, F.array_max(ends), F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(blocks, whole)).otherwise(text)
 
 
 def _placed(text: Column, pattern: str, matches: Column, value: Column) -> Column:
@@ -63,10 +110,22 @@ def _placed(text: Column, pattern: str, matches: Column, value: Column) -> Colum
     return F.when(F.size(matches) > 0, out).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+def _codes(string: Column) -> Column:
+    """The characters of a candidate by their places in the alphabet, from 0."""
+    return F.transform(F.slice(F.split(string, ""), F.lit(1), F.length(string)), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
+
+
+#: c * log2(c) for the counts of a window.
+_BITS = [c * math.log2(c) if c > 1 else 0.0 for c in range(WINDOW + 2)]
+
+
 def window_entropy(string: Column) -> Column:
-    """(first, last) window start, from 0, above the threshold of the string's class; nulls where none is."""
-    bits = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
-    code = lambda at: F.instr(F.lit(_ALPHABET), F.substr(string, at, F.lit(1))) - 1
+    """(first, last) window start, from 0, above the threshold of the string's class; nulls where none is.
+
+    The string is split once; every step takes one character into the window's counts and one out of them, and
+    values used several times are bound, so that the time is in proportion to the length.
+    """
+    bits = lambda c: F.element_at(F.array(*[F.lit(b) for b in _BITS]), (c + 1).cast("int"))
     hexed = string.rlike("^[0-9a-fA-F]+$")
     letters, digits = string.rlike("[A-Za-z]"), string.rlike("[0-9]")
     limit = F.when(~letters & ~digits, 99.0).when(~digits, THRESHOLDS["letters"]).when(~letters, THRESHOLDS["digits"]).when(hexed, THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])
@@ -74,46 +133,48 @@ def window_entropy(string: Column) -> Column:
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(_ALPHABET) // 12)).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
     count = lambda n, c: F.call_function("shiftright", F.element_at(n, F.floor(c / 12).cast("int") + 1), c % 12 * 5).bitwiseAND(31)
     one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % 12 * 5)
+    full, empty = math.log2(WINDOW), F.lit(0).cast("long")
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = code(i)
-        leaves = F.when(i > WINDOW, code(i - WINDOW)).otherwise(-1)
-        up = count(acc["n"], enters)
-        s1 = acc["s"] + bits(up + 1) - bits(up)
-        n1 = F.transform(acc["n"], lambda v, k: v + F.when(k == F.floor(enters / 12), one(enters)).otherwise(0))
-        down = count(n1, F.greatest(leaves, F.lit(0)))
-        s2 = s1 - F.when(leaves >= 0, bits(down) - bits(down - 1)).otherwise(0.0)
-        n2 = F.transform(n1, lambda v, k: v - F.when((leaves >= 0) & (k == F.floor(leaves / 12)), one(leaves)).otherwise(0))
-        high = (i >= WINDOW) & (math.log2(WINDOW) - s2 / WINDOW >= limit)
-        return F.struct(
-            n2.alias("n"),
-            s2.alias("s"),
-            F.coalesce(acc["first"], F.when(high, i - WINDOW)).cast("int").alias("first"),
-            F.when(high, i - WINDOW).otherwise(acc["last"]).cast("int").alias("last"),
-        )
+    def walk(codes: Column, least: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            moves = F.struct(F.get(codes, i).alias("enters"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("leaves"))
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
-    return F.when(limit < 99, walk)
+            def counted(m: Column) -> Column:
+                up = count(acc["n"], m["enters"])
+                down = F.when(m["leaves"] >= 0, count(acc["n"], m["leaves"])).otherwise(0)
+                return F.struct(m["enters"].alias("enters"), m["leaves"].alias("leaves"), up.alias("up"), down.alias("down"))
 
+            def summed(m: Column) -> Column:
+                change = bits(m["up"] + 1) - bits(m["up"]) + F.when(m["leaves"] >= 0, bits(m["down"] - 1) - bits(m["down"])).otherwise(0.0)
+                s = acc["s"] + F.when(m["enters"] == m["leaves"], 0.0).otherwise(change)
+                place = lambda c: F.floor(m[c] / 12)
+                n = F.transform(acc["n"], lambda v, k: v + F.when(k == place("enters"), one(m["enters"])).otherwise(empty) - F.when((m["leaves"] >= 0) & (k == place("leaves")), one(m["leaves"])).otherwise(empty))
+                return F.struct(n.alias("n"), s.alias("s"))
 
-def _parts(x: Column, base: Column) -> Column:
-    """Array of (start, value): parts of candidate ``x`` of a window or more that no base span and no allowed string touches."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    allowed = F.regexp_extract_all(x["value"], F.lit(ALLOW_INSIDE), F.lit(0))
-    inside = F.transform(_placed(x["value"], ALLOW_INSIDE, allowed, allowed), lambda m: F.struct((x["start"] + m["start"]).alias("start"), (x["start"] + m["end"]).alias("end")))
-    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    held = F.concat(
-        F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))),
-        F.when(x["value"].rlike(ALLOW_INSIDE), inside).otherwise(none),
-    )
-    left = F.aggregate(
-        F.array_sort(held),
-        F.struct(x["start"].alias("at"), none.alias("out")),
-        lambda acc, h: F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), h["start"].alias("end")))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["end"].alias("end")))),
-    )
-    wide = F.filter(left, lambda p: p["end"] - p["start"] >= WINDOW)
-    return F.transform(wide, lambda p: F.struct(p["start"].alias("start"), F.substr(x["value"], p["start"] - x["start"] + 1, p["end"] - p["start"]).alias("value")))
+            def judged(x: Column) -> Column:
+                high = (i >= WINDOW - 1) & (full - x["s"] / WINDOW >= least)
+                at = i - (WINDOW - 1)
+                return F.struct(x["n"].alias("n"), x["s"].alias("s"), F.coalesce(acc["first"], F.when(high, at)).cast("int").alias("first"), F.when(high, at).otherwise(acc["last"]).cast("int").alias("last"))
+
+            return _let(_let(_let(moves, counted), summed), judged)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    bound = _let(F.struct(_codes(string).alias("codes"), limit.alias("limit")), lambda b: F.when(b["limit"] < 99, walk(b["codes"], b["limit"])))
+    return F.when(F.length(string) >= WINDOW, bound)
+
+
+def _parts(x: Column) -> Column:
+    """Array of (start, value): parts of candidate ``x``, of a window or more, between the allowed strings inside it."""
+    own = F.array(F.struct(x["start"].alias("start"), x["value"].alias("value")))
+
+    def between(gaps: Column) -> Column:
+        sizes = F.transform(F.regexp_extract_all(x["value"], F.lit(ALLOW_INSIDE), F.lit(0)), lambda m: F.length(m))
+        steps = F.transform(F.arrays_zip(gaps.alias("g"), sizes.alias("m")), lambda z: F.length(z["g"]) + F.coalesce(z["m"], F.lit(0)))
+        rows = F.transform(F.arrays_zip(gaps.alias("g"), _offsets(steps).alias("at")), lambda z: F.struct((x["start"] + z["at"]).alias("start"), z["g"].alias("value")))
+        return F.filter(rows, lambda p: F.length(p["value"]) >= WINDOW)
+
+    return F.when(x["value"].rlike(ALLOW_INSIDE), _let(F.split(x["value"], ALLOW_INSIDE, -1), between)).otherwise(own)
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,7 +193,6 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             F.regexp_extract_all(c, F.lit(_ASSIGN), F.lit(2)).alias("v"),
             F.regexp_extract_all(c, F.lit(_ACCESS), F.lit(0)).alias("k"),
             F.regexp_extract_all(c, F.lit(_HEX), F.lit(0)).alias("h"),
-            F.regexp_extract_all(c, F.lit(_CANDIDATE), F.lit(0)).alias("c"),
         ),
     )
     f = F.col(found)
@@ -143,17 +203,19 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform(_placed(c, _ACCESS, f["k"], f["k"]), span(1, "access")),
         F.transform(_placed(c, _HEX, f["h"], f["h"]), span(2, "hex")),
     )
-    out = out.withColumn(placed, F.struct(F.array_sort(base).alias("base"), _placed(c, _CANDIDATE, f["c"], f["c"]).alias("c")))
-    p = F.col(placed)
+    out = out.withColumn(placed, F.array_sort(base))
+    # What base spans cover is blank for candidates, which end there.
+    out = out.withColumn(t, _masked(c, F.col(placed), lambda _, size: F.repeat(F.lit(" "), size)))
+    out = out.withColumn(found, F.regexp_extract_all(c, F.lit(_CANDIDATE), F.lit(0)))
     known = lambda x: _any([x["value"].rlike(a) for a in ALLOW])
-    open_ = F.flatten(F.transform(F.filter(p["c"], lambda x: ~known(x)), lambda x: _parts(x, p["base"])))
+    open_ = F.flatten(F.transform(F.filter(_placed(c, _CANDIDATE, f, f), lambda x: ~known(x)), _parts))
     scored = F.transform(F.filter(open_, lambda x: ~known(x)), lambda x: F.struct(x["start"].alias("at"), window_entropy(x["value"]).alias("w")))
     high = F.filter(scored, lambda x: x["w"]["first"].isNotNull())
     added = F.transform(
         high,
         lambda x: F.struct((x["at"] + x["w"]["first"]).alias("start"), F.lit(3).alias("rank"), F.lit("entropy").alias("kind"), (x["at"] + x["w"]["last"] + WINDOW).alias("end")),
     )
-    return out.withColumn(name, F.struct(p["base"].alias("base"), added.alias("added"))).drop(t, found, placed)
+    return out.withColumn(name, F.struct(F.col(placed).alias("base"), added.alias("added"))).drop(t, found, placed)
 
 
 def _any(tests: list[Column]) -> Column:
@@ -167,18 +229,7 @@ def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Data
     """Replace the spans of ``find_secrets`` in the text; overlapping spans become one mask."""
     t = text_or_empty(text)
     spans = F.array_sort(F.concat("secrets.base", "secrets.added"))
-    # Overlapping spans become one; what is kept before each lies between two of them.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
-    walk = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    kept = F.transform(walk["out"], lambda p: F.concat(F.substr(t, p["from"] + 1, p["to"] - p["from"]), F.lit(mask)))
-    masked = F.concat(F.array_join(kept, ""), F.substr(t, walk["at"] + 1, F.length(t)))
+    masked = _masked(t, spans, lambda fresh, _: F.when(fresh, mask).otherwise(""))
     return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(F.col(text))).drop("secrets")
 
 
