@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import cut, free_name, frugal, table, text_or_empty
+from callweave.llm.common import cut, discard, free_name, frugal, table, text_or_empty
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -168,26 +168,27 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame) -> ByteCNN:
     """Learn from a bounded sample of ``docs(doc_id, text, lang)``, chosen by a hash of doc_id and text.
 
-    Rows are thinned by the hash to about twice what a language needs before they are ranked, so that
-    no task sees more than that of a language. No language is left out. Repeated rows and rows of equal
-    hash count once. Only text and label are learnt from. Without labelled rows the network knows no
+    Distinct texts are thinned by the hash to about twice what a language needs before they are ranked, so that
+    no task sees more than that of a language. The least hash of a language always stays, so that none is left
+    out. Repeated rows and rows of equal hash count once. Only text and label are learnt from. Without labelled rows the network knows no
     language and predicts ``und``.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
-    share = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = rows.select("lang", "h").join(F.broadcast(counts) if counts.count() <= MAX_LANGS else counts, "lang").where(share * F.col("rows") < 2 * ROWS_PER_LANG).select("lang", "h").distinct()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(7)), "h")
-    ranked = thin.withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG)
+    order = F.xxhash64("h", F.lit(7))
+    distinct = cut(rows.select("lang", "h").distinct())
+    counts = cut(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.min(order).alias("least")))
+    share = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    known = F.broadcast(counts) if counts.count() <= MAX_LANGS else counts
+    thin = distinct.join(known, "lang").where((share * F.col("texts") < 2 * ROWS_PER_LANG) | (order == F.col("least"))).select("lang", "h")
+    ranked = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "h"))).where(F.col("n") <= ROWS_PER_LANG)
     bound = ROWS_PER_LANG * MAX_LANGS
     keys = ranked.orderBy("n", "lang").limit(bound).collect()  # the first of every language, then the second ones
-    if not keys:
-        keys = rows.groupBy("lang").agg(F.min("h").alias("h"), F.lit(1).alias("n")).collect()
     if not keys:
         return ByteCNN([])
     if len(keys) == bound and keys[-1].n == 1:  # more languages than rows: one row of each
         keys = ranked.where("n = 1").collect()
+    discard(distinct, counts)
 
     @F.pandas_udf("array<binary>")
     def spread(texts: pd.Series) -> pd.Series:
@@ -198,7 +199,8 @@ def train(docs: DataFrame) -> ByteCNN:
         return pd.Series(out)
 
     chosen = docs.sparkSession.createDataFrame([(r.lang, r.h) for r in keys], rows.select("lang", "h").schema)
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("h", "lang", spread("text").alias("windows")).dropDuplicates(["h", "lang"]).collect()
+    once = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("h", "lang").agg(F.min("text").alias("text"))
+    sample = once.select("h", "lang", spread("text").alias("windows")).collect()
     sample = sorted((r.h, r.lang, w) for r in sample for w in map(bytes, r.windows))
     langs = sorted({lang for _, lang, _ in sample})
     x = np.stack([np.frombuffer(w, np.uint8) for _, _, w in sample])

@@ -312,7 +312,8 @@ def train(docs: DataFrame) -> Trees:
     def rows(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"x": x, "y": y} for x, y in _training_rows(t)] for t in texts])
 
-    found = texts.join(F.broadcast(chosen), "h").select("h", rows("text").alias("rows")).dropDuplicates(["h"]).select("h", F.inline("rows")).collect()
+    once = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
+    found = once.select("h", rows("text").alias("rows")).select("h", F.inline("rows")).collect()
     found = sorted((r.h, tuple(r.x), r.y) for r in found)
     if not found:
         return Trees()
