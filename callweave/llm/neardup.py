@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import connected_components, cut, frugal, release, small_batches, table, text_or_empty
+from callweave.llm.common import connected_components, cut, discard, frugal, release, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 36, 5
@@ -37,7 +37,7 @@ BASE = 1.001
 THRESHOLD = 80
 #: The registered query's own threshold.
 OP3_THRESHOLD = 85
-#: Largest cluster verified in one task: members, and elements of all their sets.
+#: Largest cluster verified in one task: members, and elements of all their sets, where eight bytes of text count as one at least.
 GROUP_ROWS, GROUP_ELEMENTS = 1024, 2_000_000
 #: A pair is excluded where the threshold's likelihood is below the best one's by this many nats.
 NATS = 20.0
@@ -170,7 +170,7 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of ``docs(doc_id, text)`` with n_shingles, a 128-bit signature of the set and the band keys."""
+    """``doc_id`` of ``docs(doc_id, text)`` with its bytes, n_shingles, a 128-bit signature of the set and the band keys."""
 
     @F.pandas_udf("n long, s1 long, s2 long, bands array<long>")
     @frugal
@@ -187,7 +187,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                     rows.append((len(own), int(s[0]), int(s[1]), bands if len(own) else []))
             yield pd.DataFrame(rows, columns=["n", "s1", "s2", "bands"])
 
-    return docs.select("doc_id", run(text_or_empty("text")).alias("k")).select("doc_id", "k.*")
+    sized = docs.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("bytes"), run(text_or_empty("text")).alias("k"))
+    return sized.select("doc_id", "bytes", "k.*")
 
 
 def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFrame:
@@ -293,15 +294,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows of equal doc_id are one node; rows of null doc_id link with nothing, have a null component
     and are kept.
     """
-    docs = docs.select("doc_id", "text")
     with small_batches(docs.sparkSession):
-        rows = cut(sketch(docs))
+        return _near_duplicates(docs.select("doc_id", "text"), threshold)
+
+
+def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
+    rows = cut(sketch(docs))
     known = rows.where("doc_id is not null and n > 0")
     classes = cut(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))  # written, so that a hot class may be split in the join
     members = cut(known.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "rep").distinct())
     same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
-    banded = known.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
+    # From here on n is the work of a member: a text of few shingles may still be long, and whole texts meet in a group.
+    work = F.greatest("n", F.floor(F.col("bytes") / 8)).alias("n")
+    banded = known.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").select("doc_id", work, F.explode("bands").alias("key"))
     banded = cut(banded)
     buckets = cut(banded.groupBy("key").agg(F.count_distinct("doc_id").alias("m"), F.min("doc_id").alias("least")).where("m > 1"))
     hits = cut(banded.join(buckets, "key").groupBy("doc_id", "least").agg(F.max("n").alias("n"), F.sum("m").alias("score")))
@@ -314,6 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not large.isEmpty():
         parts, large = _split_by_buckets(large, banded, buckets)
         found.append(parts)
+    discard(hits)
     texts = cut(_union(found).join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "text"))
     links = [_small_links(texts, True, threshold), same_id]
 
@@ -325,8 +332,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     groups = large.join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", full_set(text_or_empty("text")).alias("delta"), "score")
     groups = groups.select("grp", "doc", F.size("delta").cast("long").alias("n"), "delta", "score")
+    rounds = []
     while True:
         groups = cut(groups)
+        rounds.append(groups)
         if groups.isEmpty():
             break
         small, large = _sized(groups)
@@ -337,6 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     for more in links[1:]:
         edges = edges.unionByName(more)
     components = connected_components(edges).withColumnRenamed("id", "doc_id")
+    discard(classes, members, banded, buckets, placed, texts, *links[2:], *rounds)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(components, "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
