@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from callweave.llm.common import free_name, frugal, table, text_or_empty
 
 # Element ids of the public Matroska specification (fixed values).
+EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOCTYPE_VERSION, DOCTYPE_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4287, 0x4285
+MUXING_APP, WRITING_APP, FLAG_LACING = 0x4D80, 0x5741, 0x9C
 EBML, EBML_DOCTYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
@@ -76,10 +78,13 @@ def _block(track: int, relative: int, frames: list[bytes]) -> bytes:
 
 
 def mux(payload: bytes) -> bytes:
-    """One 8-bit mono PCM track at 8000 Hz; a timestamp unit is one sample."""
-    info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000_000 // RATE) + _element(DURATION, struct.pack(">d", len(payload))))
+    """One 8-bit mono PCM track at 8000 Hz; a timestamp unit is one sample. All mandatory elements are written."""
+    kind = _element(EBML_DOCTYPE, b"matroska") + _uint(DOCTYPE_VERSION, 4) + _uint(DOCTYPE_READ_VERSION, 2)
+    head = _element(EBML, _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(EBML_MAX_ID, 4) + _uint(EBML_MAX_SIZE, 8) + kind)
+    made_by = _element(MUXING_APP, b"callweave") + _element(WRITING_APP, b"callweave")
+    info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000_000 // RATE) + _element(DURATION, struct.pack(">d", len(payload))) + made_by)
     audio = _element(AUDIO, _element(SAMPLING, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
-    entry = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _element(CODEC_ID, b"A_PCM/INT/LIT") + audio
+    entry = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(FLAG_LACING, 1) + _element(CODEC_ID, b"A_PCM/INT/LIT") + audio
     parts = [info, _element(TRACKS, _element(TRACK_ENTRY, entry))]
     at, cues = sum(map(len, parts)), []
     step = FRAME * LACE
@@ -93,7 +98,7 @@ def mux(payload: bytes) -> bytes:
         parts.append(cluster)
         at += len(cluster)
     parts.append(_element(CUES, b"".join(cues)))
-    return _element(EBML, _element(EBML_DOCTYPE, b"matroska")) + _element(SEGMENT, b"".join(parts))
+    return head + _element(SEGMENT, b"".join(parts))
 
 
 def _read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
@@ -246,7 +251,10 @@ def _parts(values: list) -> Iterator[list]:
 
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``media``: n_bytes and the Matroska file ``data``."""
+    """``docs`` with a struct column ``media``: n_bytes and the Matroska file ``data``.
+
+    Null and empty texts have 0 bytes and a file of ``ALIGN`` zero samples. Texts are stored whole, whatever their length.
+    """
 
     @F.pandas_udf("n_bytes long, data binary")
     @frugal

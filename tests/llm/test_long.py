@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import langid, neardup, secrets
+from callweave.llm import langid, matroska, neardup, secrets, url_filter
 
 _KEY = secrets._ALPHABET
 
@@ -70,3 +70,46 @@ def test_group_of_long_repetitive_texts(spark):
     assert docs.agg(F.min(F.length("text"))).first()[0] > 900_000
     got = neardup.near_duplicates(docs.withColumn("text", F.concat("text", F.lit(" end of text"))), 50)
     assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_url_rules_of_equal_length_have_one_order(spark):
+    rng = random.Random(6)
+    rules = [(rng.choice(["allow", "block"]), h + p) for h in ["com", "a.com", "b.a.com", "net", "x.net", "é.net"] for p in ["", "/", "/a", "/ab", "/é", "/abcd", "/ab/c"] if rng.random() < 0.7]
+    rules += [("allow", "com/ab"), ("block", "a.com/"), ("allow", "net/éé"), ("block", "x.net/"), ("block", "com/ab"), (None, "com/zz"), ("block", None)]
+    urls = [f"http://{h}{p}" for h in ["com", "a.com", "b.a.com", "c.b.a.com", "x.net", "é.net", "org"] for p in ["", "/", "/ab", "/abc", "/abcd/e", "/éé", "/ab/c/d?x", "#f"]]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, ""])), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    known = {r for v, r in rules if v and r}
+
+    def best(url):
+        host, path = url_filter.split_url(url)
+        fits = [r for r in known for h, p in [(r[: url_filter._host_length(r)], r[url_filter._host_length(r) :])] if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, key=lambda r: (len(r), url_filter._host_length(r), r), default=None)
+
+    want = {i: best(u) for i, u in enumerate([*urls, None, ""])}
+    rows = [url_filter.filter_urls(pages, table), url_filter._filter_by_join(pages, table, "url", "allow", "judged"), url_filter.filter_urls(pages, [r for r in rules if None not in r])]
+    got = [{r.page_id: tuple(r.judged) for r in x.collect()} for x in rows]
+    assert {k: v[2] for k, v in got[0].items()} == want and got[0] == got[1]
+    assert got[2] == got[0]
+
+
+def test_matroska_has_all_mandatory_elements():
+    data, at = matroska.mux(b"abc" * 3000), 0
+
+    def children(begin, end):
+        while begin < end:
+            code, begin, _ = matroska._read_vint(data, begin, keep=True)
+            size, begin, _ = matroska._read_vint(data, begin)
+            yield code, begin, begin + size
+            begin += size
+
+    (head, a, b), (segment, c, d) = children(at, len(data))
+    values = {code: data[x:y] for code, x, y in children(a, b)}
+    assert head == 0x1A45DFA3 and segment == 0x18538067 and d == len(data)
+    assert values == {0x4286: b"\1", 0x42F7: b"\1", 0x42F2: b"\4", 0x42F3: b"\x08", 0x4282: b"matroska", 0x4287: b"\4", 0x4285: b"\2"}
+    parts = list(children(c, d))
+    info = {code for code, *_ in children(*next(p[1:] for p in parts if p[0] == 0x1549A966))}
+    (entry,) = children(*next(p[1:] for p in parts if p[0] == 0x1654AE6B))
+    track = {code for code, *_ in children(*entry[1:])}
+    assert {0x2AD7B1, 0x4D80, 0x5741} <= info and {0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0x9C} <= track
+    assert all(0xE7 in {x for x, *_ in children(y, z)} for code, y, z in parts if code == 0x1F43B675) and parts[-1][0] == 0x1C53BB6B
