@@ -36,8 +36,6 @@ KEYWORDS = frozenset(
 )
 
 _NAME = r"[A-Za-z_$][\w$]*"
-#: A call is a name, type arguments perhaps, and an opening parenthesis.
-_CALL = re.compile(rf"\b({_NAME})(?:<[^>]*>)?\s*\(")
 
 #: Words that introduce the name of a function or of a type.
 INTRODUCERS = {
@@ -85,9 +83,18 @@ def _member(clean: str) -> Place | None:
 
 
 def _assigned(clean: str) -> Place | None:
-    """A variable that holds an arrow function."""
-    m = re.match(rf"\s*(?:export\s+)?(?:const|let|var)\s+({_NAME})\s*=(?P<value>[^=].*?)=>", clean)
-    return (m[1], m.start(1)) if m and re.fullmatch(r"\s*(?:(?:async|function)\s*)*\([^)]*\)\s*", m["value"]) else None
+    """A variable that holds an arrow function: a declared name before ``=``, parameters alone between it and ``=>``."""
+    head, sign, rest = clean.partition("=")
+    words = head.split()
+    declared = words[1:] if words[:1] == ["export"] else words
+    if not sign or rest[:1] in ("=", ">") or len(declared) != 2 or declared[0] not in ("const", "let", "var") or not re.fullmatch(_NAME, declared[1]):
+        return None
+    value, arrow, _ = rest.partition("=>")
+    value = value.strip()
+    while value.startswith(("async", "function")):
+        value = value.removeprefix("async").removeprefix("function").lstrip()
+    plain = arrow and value.startswith("(") and value.find(")") == len(value) - 1
+    return (declared[1], head.rindex(declared[1])) if plain else None
 
 
 def _message(clean: str) -> Place | None:
@@ -169,8 +176,39 @@ def declaration(clean: str, language: str) -> Found | None:
     return None
 
 
+def _type_arguments(clean: str, end: int) -> int:
+    """Where the balanced angle brackets that close before ``end`` open; ``end`` where none do."""
+    open_ = 0
+    for at in range(end - 1, -1, -1):
+        open_ += (clean[at] == ">") - (clean[at] == "<")
+        if not open_:
+            return at
+    return end
+
+
+def _name_before(clean: str, end: int) -> Place | None:
+    """The name that ends before ``end``; what precedes a name's first letter in a run of word characters is not part of it."""
+    start = end
+    while start and (clean[start - 1].isalnum() or clean[start - 1] in "_$"):
+        start -= 1
+    while start < end and clean[start] == "$":
+        start += 1
+    if start < end and not (clean[start].isascii() and (clean[start].isalpha() or clean[start] == "_")):
+        start = clean.find("$", start, end)
+    return (clean[start:end], start) if 0 <= start < end else None
+
+
 def _calls(clean: str) -> list[tuple[int, str]]:
-    return [(m.start(1), m[1]) for m in _CALL.finditer(clean) if m[1] not in KEYWORDS]
+    """Names before a parenthesis, with balanced type arguments between them or none, in the order of their columns."""
+    found = []
+    at = clean.find("(")
+    while at >= 0:
+        end = len(clean[:at].rstrip())
+        place = _name_before(clean, _type_arguments(clean, end) if clean[end - 1 : end] == ">" else end)
+        if place and place[0] not in KEYWORDS:
+            found.append((place[1], place[0]))
+        at = clean.find("(", at + 1)
+    return sorted(found)
 
 
 class _Braces:

@@ -1,10 +1,11 @@
 """Levelled graphs around an anchor.
 
-A node's ``path`` holds the order keys from the anchor to it. Arrays compare element by element, so the
-least path is the first discovery of a breadth-first queue whose siblings are taken in key order; no
-global numbering is needed. Callees are siblings in the order of their first call site, callers in the
-order of their definitions. Each round is one join of the frontier with the edges, one aggregation and
-one anti join; the driver sees only whether a frontier is empty.
+A node's ``turn`` is a number whose order within a level and side is that of a breadth-first queue: the parent's turn
+comes first, then the order key of the edge. Each round sorts its new nodes by both over ranges and numbers them in
+that order, so that a node carries one number however deep it lies. Callees are siblings in the order of
+their first call site, callers in the order of their definitions. Each round is one join of the frontier with the
+edges, one aggregation and one anti join, for one anchor or for many at once; the driver sees only whether a
+frontier is empty.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ def edge_groups(sites: DataFrame, places: DataFrame | None = None) -> DataFrame:
 
     ``sites`` is the edge's list of distinct sites in the order of file, line and further columns. ``down``
     orders the callees of a node (first site, then id), ``up`` its callers (place of the caller's
-    definition by ``places(id, file, line)``, first site, id).
+    definition by ``places(id, file, line)``, first site, id). Sites without a source or a target make no edge.
     """
+    sites = sites.where("src is not null and dst is not null")
     site = F.struct(*[c for c in sites.columns if c not in ("src", "dst")])
     grouped = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
     first = F.col("sites")[0]
@@ -77,64 +79,87 @@ def hub(edges: DataFrame) -> DataFrame:
     return degree.orderBy(F.desc(F.col("n_out") * F.col("n_in")), "id").limit(1).select("id")
 
 
-def _step(frontier: DataFrame, edges: DataFrame, visited: DataFrame, side: int, room: int | None) -> tuple[DataFrame, bool]:
-    """The next level on one side, and whether ``room`` cut it."""
+def _step(front: DataFrame, edges: DataFrame, visited: DataFrame, side: int, level: int, caps: Caps) -> tuple[DataFrame, DataFrame | None]:
+    """The next level on one side for every anchor, and with caps the anchors that had more than their room."""
     here, there, key = ("src", "dst", "down") if side > 0 else ("dst", "src", "up")
-    reached = frontier.join(edges.select(F.col(here).alias("id"), F.col(there).alias("next"), F.col(key).alias("key")), "id")
-    reached = reached.select(F.col("next").alias("id"), F.concat("path", F.array("key")).alias("path"), F.col("level"), F.col("id").alias("parent"))
-    new = reached.groupBy("id").agg(F.min_by(F.struct("path", "parent", "level"), "path").alias("b")).join(visited.select("id"), "id", "left_anti")
-    new = new.select("id", (F.col("b.level") + side).alias("level"), F.col("b.parent").alias("parent"), F.col("b.path").alias("path"))
-    if room is None:
-        return stored(new), False
-    kept = stored(new.orderBy("path").limit(room + 1))
-    cut = kept.count() > room
-    return (stored(kept.orderBy("path").limit(room)) if cut else kept), cut
-
-
-def walk(edges: DataFrame, anchor: DataFrame, callee_depth: int, caller_depth: int, mode: str = "qualified", caps: Caps | None = None) -> tuple[DataFrame, bool]:
-    """Nodes (id, level, parent, path) around the anchor, and whether a cap cut them.
-
-    Levels are positive towards callees, negative towards callers. In mode "qualified" the sides take
-    turns at each distance, callees first; in mode "name" all callees come before any caller. Either
-    way a node that is taken blocks the other side there. An anchor without edges is a graph of one node.
-    The anchor's path is empty.
+    ways = edges.select(F.col(here).alias("id"), F.col(there).alias("next"), F.col(key).alias("key"))
+    reached = front.join(ways, "id").groupBy("anchor", F.col("next").alias("id_")).agg(F.min(F.struct("turn", "key", F.col("id").alias("parent"))).alias("way"))
+    new = reached.withColumnRenamed("id_", "id").join(visited.select("anchor", "id"), ["anchor", "id"], "left_anti")
+    columns = ["anchor", "id", F.lit(level).alias("level"), F.col("way.parent").alias("parent"), "turn"]
+    most = min([c for c in (caps.per_level, None if caps.nodes is None else caps.nodes - 1) if c is not None], default=None)
+    if most is None:
+        ordered = new.repartitionByRange("way.turn", "way.key", "anchor").sortWithinPartitions("way.turn", "way.key", "anchor")
+        return stored(ordered.withColumn("turn", F.monotonically_increasing_id()).select(*columns)), None
+    place = F.row_number().over(Window.partitionBy("anchor").orderBy("way")).cast("long")
+    first = new.withColumn("turn", place).where(F.col("turn") <= most + 1)
+    taken = visited.groupBy("anchor").agg(F.count(F.lit(1)).alias("taken"))
+    room = F.least(F.lit(most if caps.per_level is None else caps.per_level), F.lit(UNBOUNDED if caps.nodes is None else caps.nodes) - F.col("taken"))
+    placed = stored(first.join(taken, "anchor").withColumn("room", room).select(*columns, "room"))
+    return placed.where("turn <= room").drop("room"), placed.where("turn > room").select("anchor").distinct()
+
+
+def walk_many(edges: DataFrame, anchors: DataFrame, callee_depth: int, caller_depth: int, mode: str = "qualified", caps: Caps | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (anchor, id, level, parent, turn) around every one of ``anchors(id)``, and the anchors that a cap cut.
+
+    All anchors take their rounds together; what is visited and every cap belong to an anchor alone, so that each has
+    the graph it would have by itself. Levels are positive towards callees, negative towards callers. In mode
+    "qualified" the sides take turns at each distance, callees first; in mode "name" all callees come before any
+    caller. Either way a node that is taken blocks the other side there. An anchor without edges is a graph of one
+    node; repeated anchors count once.
     """
     caps = caps or Caps()
-    edges = _keyed(edges.where("src is not null and dst is not null")).select("src", "dst", "down", "up").groupBy("src", "dst").agg(F.min("down").alias("down"), F.min("up").alias("up"))
-    edges, no_path = stored(edges), F.array().cast(f"array<{edges.schema['down'].dataType.simpleString()}>")
-    start = stored(anchor.select("id", F.lit(0).alias("level"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), no_path.alias("path")))
-    visited, total, cut, rounds = start, 1, False, 0
-    fronts = {1: start, -1: start}
+    if "down" not in edges.columns:
+        edges = _keyed(edges.where("src is not null and dst is not null")).groupBy("src", "dst").agg(F.min("down").alias("down"), F.min("up").alias("up"))
+        edges = stored(edges)
+    start = anchors.select(F.col("id").alias("anchor")).distinct()
+    start = stored(start.select("anchor", F.col("anchor").alias("id"), F.lit(0).alias("level"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(0).cast("long").alias("turn")))
+    visited, short, rounds = start, [], 0
+    fronts, level = {1: start, -1: start}, {1: 0, -1: 0}
     depth = {1: callee_depth, -1: caller_depth}
     done = {side for side in depth if depth[side] <= 0}
-    turns = _in_turn(depth, done) if mode == "qualified" else _by_side(depth, done)
-    for side in turns:
-        room = None if caps.nodes is None else caps.nodes - total
-        if caps.per_level is not None:
-            room = caps.per_level if room is None else min(room, caps.per_level)
-        new, short = _step(fronts[side], edges, visited, side, room)
-        cut |= short
-        count = new.count()
-        if not count:
+    for side in _in_turn(depth, done) if mode == "qualified" else _by_side(depth, done):
+        level[side] += side
+        new, cut = _step(fronts[side], edges, visited, side, level[side], caps)
+        if cut is not None:
+            short.append(cut)
+        if new.isEmpty():
             done.add(side)
             continue
-        total, rounds = total + count, rounds + 1
-        fronts[side] = new
+        fronts[side], rounds = new, rounds + 1
         visited = visited.unionByName(new)
         if rounds % COMPACT == 0:
             visited = stored(visited)
-    return visited, cut
+    flags = start.select("anchor").limit(0)
+    for f in short:
+        flags = flags.unionByName(f)
+    return visited, flags.distinct()
 
 
-def ids_of(path) -> Column:
-    """Ids along a node's path, the anchor not among them."""
-    return F.transform(path, lambda k: k["id"])
+def walk(edges: DataFrame, anchor: DataFrame, callee_depth: int, caller_depth: int, mode: str = "qualified", caps: Caps | None = None) -> tuple[DataFrame, bool]:
+    """``walk_many`` for one anchor: nodes (id, level, parent, turn), and whether a cap cut them."""
+    nodes, short = walk_many(edges, anchor.limit(1), callee_depth, caller_depth, mode, caps)
+    return nodes.drop("anchor"), caps is not None and not short.isEmpty()
 
 
 def root_path(nodes: DataFrame) -> DataFrame:
-    """(id, ids): the chain of parents of every node, from the anchor to the node itself."""
-    anchor = nodes.where("level = 0").select(F.col("id").alias("anchor_id")).limit(1)
-    return nodes.join(F.broadcast(anchor)).select("id", F.concat(F.array("anchor_id"), ids_of("path")).alias("ids"))
+    """(id, ids): the chain of parents of every node of ``nodes(id, parent)``, from its root to the node itself.
+
+    Pointers double: every round joins each chain with that of the node it begins under, so that a depth of D takes
+    log2(D) rounds. A node without a parent is a root, and so is one whose parent isn't among the nodes. Nodes of
+    several anchors have a column ``anchor`` and are kept apart. Parents that form a cycle raise.
+    """
+    keys = [c for c in ("anchor",) if c in nodes.columns]
+    chains = stored(nodes.select(*keys, "id", F.col("parent").alias("up"), F.array("id").alias("ids")))
+    most, rounds = chains.count(), 0
+    while not chains.where("up is not null").isEmpty():
+        if 1 << rounds > 2 * most:
+            raise ValueError("parents form a cycle")
+        above = chains.select(*keys, F.col("id").alias("up"), F.col("up").alias("further"), F.col("ids").alias("before"))
+        longer = chains.where("up is not null").join(above, [*keys, "up"], "left")
+        longer = longer.select(*keys, "id", F.col("further").alias("up"), F.concat(F.coalesce("before", F.slice("ids", 1, 0)), "ids").alias("ids"))
+        chains = stored(chains.where("up is null").unionByName(longer))
+        rounds += 1
+    return chains.select(*keys, "id", "ids")
 
 
 def _in_turn(depth: dict[int, int], done: set[int]):
@@ -166,10 +191,10 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _followed(edges: DataFrame, nodes: DataFrame, callee_depth: int, caller_depth: int) -> DataFrame:
     """Edges that the walk followed, each with its ``turn``: when it was followed first."""
-    down = nodes.where((F.col("level") >= 0) & (F.col("level") < callee_depth)).select(F.col("id").alias("src"), F.col("level").alias("l"), "path")
-    up = nodes.where((F.col("level") <= 0) & (F.col("level") > -caller_depth)).select(F.col("id").alias("dst"), F.col("level").alias("l"), "path")
+    down = nodes.where((F.col("level") >= 0) & (F.col("level") < callee_depth)).select(F.col("id").alias("src"), F.col("level").alias("l"), F.col("turn").alias("t"))
+    up = nodes.where((F.col("level") <= 0) & (F.col("level") > -caller_depth)).select(F.col("id").alias("dst"), F.col("level").alias("l"), F.col("turn").alias("t"))
     keyed = _keyed(edges)
-    order = lambda side, key: F.struct(F.abs("l").alias("d"), F.lit(side).alias("s"), "path", F.col(key).alias("k")).alias("turn")
+    order = lambda side, key: F.struct(F.abs("l").alias("d"), F.lit(side).alias("s"), "t", F.col(key).alias("k")).alias("turn")
     rows = keyed.join(down, "src").select("src", "dst", order(0, "down")).unionByName(keyed.join(up, "dst").select("src", "dst", order(1, "up")))
     return rows.groupBy("src", "dst").agg(F.min("turn").alias("turn"))
 
@@ -226,7 +251,7 @@ def build_graph(definitions: DataFrame, calls: DataFrame, anchor: DataFrame, cal
     kept, cut_edges = capped_edges(edges, found, callee_depth, caller_depth, caps.edges)
     kept = stored(kept)
     none = F.array().cast(f"array<{found.schema['id'].dataType.simpleString()}>")
-    nodes = found.drop("path").join(child_ids(kept, found), "id", "left").withColumn("child_ids", F.coalesce("child_ids", none))
+    nodes = found.drop("turn").join(child_ids(kept, found), "id", "left").withColumn("child_ids", F.coalesce("child_ids", none))
     nodes = nodes.withColumn("has_children", F.size("child_ids") > 0).join(definitions, "id")
     nodes = nodes.withColumn("category", labels.classify("name", "file"))
     return {"anchor": anchor, "nodes": nodes, "edges": kept, "unresolved": unresolved_sites(calls, found), "paths": root_path(found), "truncated": cut_nodes or cut_edges}
@@ -366,6 +391,40 @@ def hit_test(boxes: DataFrame, x: float, y: float, slack: float = 6.0) -> DataFr
     return boxes.where(inside).orderBy(F.desc("turn")).limit(1)
 
 
+def hit_tests(boxes: DataFrame, points: DataFrame, slack: float = 6.0) -> DataFrame:
+    """(point_id, id) of every point of ``points(point_id, px, py)`` that a box holds: the last drawn, of equal turns the largest id.
+
+    Boxes (id, x, y, width, height, turn) lie in grids whose cells double from grid to grid, each in the finest whose
+    cells are no smaller than it is, so that it meets at most four of them. A point asks one cell of every grid in
+    use, of which there are few, by equality. Nulls hit nothing.
+    """
+    reach = F.greatest("width", "height") + 2 * slack
+    sized = boxes.withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(reach, F.lit(1.0))))).cast("int"))
+    grids = sorted(r[0] for r in sized.where("grid is not null").select("grid").distinct().collect())
+    cell = lambda at, grid: F.floor(at / F.pow(F.lit(2.0), grid))
+    ends = lambda c, size: F.sequence(cell(F.col(c) - F.col(size) / 2 - slack, F.col("grid")), cell(F.col(c) + F.col(size) / 2 + slack, F.col("grid")))
+    placed = sized.select("*", F.explode(ends("x", "width")).alias("cx")).select("*", F.explode(ends("y", "height")).alias("cy"))
+    asked = points.select("point_id", "px", "py", F.explode(F.array(*[F.lit(g) for g in grids]).cast("array<int>")).alias("grid"))
+    asked = asked.select("*", cell(F.col("px"), F.col("grid")).alias("cx"), cell(F.col("py"), F.col("grid")).alias("cy"))
+    inside = (F.abs(F.col("x") - F.col("px")) <= F.col("width") / 2 + slack) & (F.abs(F.col("y") - F.col("py")) <= F.col("height") / 2 + slack)
+    hits = asked.join(placed, ["grid", "cx", "cy"]).where(inside)
+    return hits.groupBy("point_id").agg(F.max_by("id", F.struct("turn", "id")).alias("id"))
+
+
+def node_edges(edges: DataFrame, node: DataFrame) -> DataFrame:
+    """The edges of each of ``node(id)`` as rows: id, side (out or in), other, n_sites, first_file, first_line; a loop is on both sides."""
+    ids = node.select("id")
+    rows = lambda here, there, side: edges.select(F.col(here).alias("id"), F.lit(side).alias("side"), F.col(there).alias("other"), "n_sites", "first_file", "first_line")
+    return rows("src", "dst", "out").unionByName(rows("dst", "src", "in")).join(ids, "id", "left_semi")
+
+
+def graph_totals(nodes: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row: numbers of nodes, edges, their sites, and unresolved calls."""
+    one = lambda df, **sums: df.agg(*[F.coalesce(x, F.lit(0)).alias(n) for n, x in sums.items()])
+    counted = one(edges, edges=F.count(F.lit(1)), sites=F.sum("n_sites"))
+    return one(nodes, nodes=F.count(F.lit(1))).join(F.broadcast(counted)).join(F.broadcast(one(missing, unresolved=F.count(F.lit(1)))))
+
+
 def edge_paths(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """SVG cubic path of every edge between placed nodes."""
     at = lambda end: placed.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))

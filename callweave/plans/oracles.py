@@ -69,6 +69,31 @@ def _walk(callee: int, caller: int, mode: str = "qualified", per_level: int | No
     return ",\n".join(out)
 
 
+def _walk_many(callee: int, caller: int, nodes: int) -> str:
+    """CTEs of all rounds around every one of ``anchors``, and ``nodes``; ``turn`` numbers a round's nodes of an anchor."""
+    n = max(callee, caller)
+    out = ["r0 AS MATERIALIZED (SELECT id AS anchor, id, 0 AS level, NULL::BIGINT AS parent, 0::BIGINT AS turn FROM anchors)"]
+    cut, seen, front = [], ["r0"], {1: "r0", -1: "r0"}
+    turns = [(s, k) for k in range(1, n + 1) for s in (1, -1) if k <= (callee if s > 0 else caller)]
+    for i, (side, k) in enumerate(turns, 1):
+        here, there, key = ("src", "dst", "down") if side > 0 else ("dst", "src", "up")
+        visited = " UNION ALL ".join(f"SELECT anchor, id FROM {r}" for r in seen)
+        out.append(f"v{i} AS MATERIALIZED ({visited})")
+        out.append(f"t{i} AS (SELECT anchor, count(*) AS taken FROM v{i} GROUP BY anchor)")
+        out.append(
+            f"w{i} AS MATERIALIZED (SELECT c.anchor, id, way.p AS parent, row_number() OVER (PARTITION BY c.anchor ORDER BY way) AS turn, {nodes} - taken AS room FROM "
+            f"(SELECT f.anchor, e.{there} AS id, min(struct_pack(t := f.turn, k := e.{key}, p := f.id)) AS way FROM {front[side]} f JOIN e ON e.{here} = f.id GROUP BY f.anchor, e.{there}) c "
+            f"JOIN t{i} USING (anchor) ANTI JOIN v{i} ON v{i}.anchor = c.anchor AND v{i}.id = c.id)"
+        )
+        out.append(f"r{i} AS MATERIALIZED (SELECT anchor, id, {side * k} AS level, parent, turn FROM w{i} WHERE turn <= room)")
+        cut.append(f"SELECT anchor FROM w{i} WHERE turn > room")
+        seen.append(f"r{i}")
+        front[side] = f"r{i}"
+    out.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {r}" for r in seen) + ")")
+    out.append("short AS MATERIALIZED (" + " UNION ".join(cut) + ")")
+    return ",\n".join(out)
+
+
 _IDS = "array_to_string(list_prepend(anchor.id, list_transform(path, lambda x: x.d)), '>')"
 _NODE_ROWS = f"SELECT nodes.id, level::BIGINT AS level, coalesce(parent, -1) AS parent, {_IDS} AS path FROM nodes, anchor"
 
@@ -84,6 +109,7 @@ capped AS MATERIALIZED (SELECT * FROM turns{limit}),
 ce AS MATERIALIZED (SELECT e.*, c.turn FROM e JOIN capped c USING (src, dst) JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst)"""
 
 
+_OPEN_STATUS = "CASE WHEN site_line % 2 = 0 THEN 'unresolved-ambiguous' ELSE 'unresolved-notfound' END"
 _CHAIN = f"WITH {_PARTS}, {_walk(3, 3)}, {_chain_edges(3, 3)}"
 _CHILDREN = """
 kids AS MATERIALIZED (SELECT ce.src AS id, ce.dst AS child, struct_pack(s := 0, k := ce.down) AS turn FROM ce JOIN nodes a ON a.id = ce.src JOIN nodes b ON b.id = ce.dst
@@ -194,7 +220,7 @@ SELECT page_id, line_no, (length(line) - length(replace(line, '{', '')) - length
   (length(h) + 3 * (length(h) - length(replace(h, chr(9), ''))))::BIGINT AS indent, contains(line, '{')::BIGINT AS has_brace
 FROM (SELECT *, regexp_extract(line, '^([ \t]*)', 1) AS h FROM l WHERE line <> '')""",
     "call_sites_regex": f"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(range(1, len(string_split(html, chr(10))) + 1)) AS line_no FROM pages),
-m AS (SELECT page_id, line_no, regexp_extract_all(line, '([A-Za-z_$][A-Za-z0-9_$]*) *\\(', 1) AS names FROM l),
+m AS (SELECT page_id, line_no, regexp_extract_all(line, '([A-Za-z_$][A-Za-z0-9_$]*)(?:<[^<>]*>)? *\\(', 1) AS names FROM l),
 u AS (SELECT page_id, line_no, unnest(range(0, len(names))) AS turn, unnest(names) AS callee FROM m)
 SELECT page_id, line_no, turn, callee FROM u WHERE callee NOT IN ({", ".join(f"'{k}'" for k in sorted(KEYWORDS))})""",
     "extract_defs": f"WITH {_DEFS} SELECT rel_path, name, start_line, end_line FROM defs",
@@ -224,15 +250,17 @@ SELECT d.def_id, 'Meant to ' || {_ACTION} || '.' || CASE WHEN c.calls IS NULL TH
     "search_text": f"WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT kind, def_id, rel_path, line_no FROM hits ORDER BY rel_path, turn LIMIT 300",
     "search_all": f"WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT kind, def_id, rel_path, line_no FROM hits",
     "symbol_at": f"""WITH {_DEFS},
-s1 AS (SELECT rel_path, line_no, lower(regexp_extract(line, '([A-Za-z]{{6,}}),', 1)) AS callee, instr(line, regexp_extract(line, '([A-Za-z]{{6,}}),', 1) || ',') AS start_col,
-  NULL::VARCHAR AS caller_class FROM lines WHERE regexp_matches(line, '[A-Za-z]{{6,}},')),
+s0 AS MATERIALIZED (SELECT rel_path, line_no, line, regexp_extract_all(line, '[A-Za-z]{{6,}},') AS m, string_split_regex(line, '[A-Za-z]{{6,}},') AS g FROM lines),
+s1 AS MATERIALIZED (SELECT rel_path, line_no, lower(left(x, -1)) AS callee, NULL::VARCHAR AS caller_class,
+  (sum(length(x) + length(y)) OVER (PARTITION BY rel_path, line_no ORDER BY k) - length(x) + 1)::BIGINT AS start_col
+  FROM (SELECT rel_path, line_no, unnest(m) AS x, unnest(g[1:len(m)]) AS y, unnest(range(1, len(m) + 1)) AS k FROM s0)),
 owned AS (SELECT * FROM s1), {_PICK},
 fd AS (SELECT name, arg_min(def_id, struct_pack(a := rel_path, b := start_line)) AS first_id FROM defs GROUP BY name),
-pos AS (SELECT rel_path, line_no, unnest([2, 40]) AS col FROM lines WHERE line <> ''),
+pos AS MATERIALIZED (SELECT rel_path, line_no, unnest([2, 40]) AS col FROM lines WHERE line <> '' UNION SELECT rel_path, line_no, start_col FROM s1),
 h AS (SELECT p.*, d.def_id, 0 AS tier, 1 AS c FROM pos p JOIN defs d ON d.rel_path = p.rel_path AND d.start_line = p.line_no AND p.col >= 1 AND p.col < 1 + length(d.name)
   UNION ALL SELECT p.*, coalesce(b.target_id, fd.first_id), 1, b.start_col FROM pos p JOIN bound b ON b.rel_path = p.rel_path AND b.line_no = p.line_no
   AND p.col >= b.start_col AND p.col < b.start_col + length(b.callee) LEFT JOIN fd ON fd.name = b.callee)
-SELECT rel_path, line_no, col::BIGINT AS col, arg_min(struct_pack(x := def_id), tier).x AS symbol_id FROM h GROUP BY ALL""",
+SELECT rel_path, line_no, col::BIGINT AS col, arg_min(struct_pack(x := def_id), struct_pack(t := tier, c := c)).x AS symbol_id FROM h GROUP BY ALL""",
     "match_symbol": f"""WITH {_DEFS}
 (SELECT 'text' AS rule, def_id FROM defs WHERE contains(name, 'the') ORDER BY name <> 'the', rel_path, start_line LIMIT 1)
 UNION ALL (SELECT 'json' AS rule, def_id FROM defs WHERE contains(name, 'the') ORDER BY rel_path, start_line LIMIT 1)""",
@@ -269,10 +297,20 @@ SELECT src, dst, n_sites, (SELECT count(*) FROM turns) > 500 AS truncated FROM c
 k AS (SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids GROUP BY id)
 SELECT n.id, n.level::BIGINT AS level, coalesce(n.parent, -1) AS parent, coalesce(k.children, '') AS children, k.children IS NOT NULL AS has_children, {_category("p_name", "p_brand")} AS category,
   p_brand AS file, p_size::BIGINT AS line, (SELECT count(*) FROM turns) > 500 AS truncated FROM nodes n JOIN part ON p_partkey = n.id LEFT JOIN k ON k.id = n.id""",
-    "unresolved_e": f"""WITH {_PARTS}, {_walk(2, 2)} SELECT src, site_file, site_line::BIGINT AS site_line, 'unresolved-notfound' AS status
-FROM pcalls WHERE dst IS NULL AND src IN (SELECT id FROM nodes)""",
-    "visible_minus_agg": f"""{_CHAIN}, {_CHILDREN}, {_CLUSTERS} SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids
-WHERE child NOT IN (SELECT unnest(members) FROM clu) GROUP BY id""",
+    "unresolved_e": f"""WITH {_PARTS}, {_walk(2, 2)}, open_calls AS MATERIALIZED (SELECT * FROM pcalls WHERE dst IS NULL)
+SELECT src, site_file, site_line::BIGINT AS site_line, {_OPEN_STATUS} AS status FROM open_calls SEMI JOIN nodes ON nodes.id = src""",
+    "graph_totals": f"""WITH {_PARTS}, {_walk(2, 2)}, {_chain_edges(2, 2, 500)}, missing AS MATERIALIZED (SELECT pcalls.* FROM pcalls SEMI JOIN nodes ON nodes.id = src WHERE dst IS NULL)
+SELECT (SELECT count(*) FROM nodes JOIN part ON p_partkey = id) AS nodes, (SELECT count(*) FROM ce) AS edges, (SELECT coalesce(sum(n_sites), 0)::BIGINT FROM ce) AS sites, (SELECT count(*) FROM missing) AS unresolved""",
+    "node_edges": f"""WITH {_PARTS} SELECT src AS id, 'out' AS side, dst AS other, n_sites, first.f AS first_file, first.l::BIGINT AS first_line FROM e SEMI JOIN anchor ON anchor.id = src
+UNION ALL SELECT dst, 'in', src, n_sites, first.f, first.l::BIGINT FROM e SEMI JOIN anchor ON anchor.id = dst""",
+    "reanchor": f"""WITH {_PARTS}, anchors AS MATERIALIZED (SELECT id FROM deg ORDER BY o * i DESC, id LIMIT 100), {_walk_many(3, 3, 300)}
+SELECT n.anchor, n.id, level::BIGINT AS level, coalesce(parent, -1) AS parent, s.anchor IS NOT NULL AS truncated FROM nodes n LEFT JOIN short s ON s.anchor = n.anchor""",
+    "build_graph_e_caps": f"""WITH {_PARTS}, {_walk(5, 5, nodes=300)}, {_chain_edges(5, 5, 500)}, {_CHILDREN},
+k AS (SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids GROUP BY id)
+SELECT n.id, n.level::BIGINT AS level, coalesce(n.parent, -1) AS parent, coalesce(k.children, '') AS children, k.children IS NOT NULL AS has_children, {_category("p_name", "p_brand")} AS category,
+  p_brand AS file, p_size::BIGINT AS line, (SELECT count(*) FROM turns) > 500 OR (SELECT count(*) FROM nodes) >= 300 AS truncated FROM nodes n JOIN part ON p_partkey = n.id LEFT JOIN k ON k.id = n.id""",
+    "visible_minus_agg": f"""{_CHAIN}, {_CHILDREN}, {_CLUSTERS}, taken AS MATERIALIZED (SELECT DISTINCT unnest(members) AS child FROM clu)
+SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids ANTI JOIN taken USING (child) GROUP BY id""",
     "anchor_from_hit": f"""WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT def_id AS anchor_id, kind, h.rel_path, h.line_no,
   CASE WHEN kind = 'text' THEN h.rel_path END AS focus_rel_path, CASE WHEN kind = 'text' THEN h.line_no END AS focus_line_no, CASE WHEN kind = 'text' THEN l.line END AS focus_code
 FROM hits h JOIN lines l ON l.rel_path = h.rel_path AND l.line_no = h.line_no""",
@@ -282,6 +320,12 @@ FROM hits h JOIN lines l ON l.rel_path = h.rel_path AND l.line_no = h.line_no"""
   FROM nodes n JOIN part ON p_partkey = n.id),
 x AS (SELECT *, sum(width + 20) OVER (PARTITION BY level ORDER BY p_brand, p_size, id ROWS UNBOUNDED PRECEDING) - width - 20 AS l, sum(width + 20) OVER (PARTITION BY level) - 20 AS t FROM w)
 SELECT id, level::BIGINT AS level, round(l - t / 2 + width / 2, 6) AS x, ((level - (SELECT min(level) FROM nodes) + 0.5) * 110)::DOUBLE AS y, round(width, 6) AS width FROM x""",
+    "hit_test": f"""{_CHAIN}, w AS (SELECT n.id, n.level, p_brand, p_size, greatest(110.0, least(330.0, length(p_name) * 7.6 + 26, length(p_brand || ':' || p_size) * 6.6 + 26))::DOUBLE AS width
+  FROM nodes n JOIN part ON p_partkey = n.id),
+x AS (SELECT *, sum(width + 20) OVER (PARTITION BY level ORDER BY p_brand, p_size, id ROWS UNBOUNDED PRECEDING) - width - 20 AS l, sum(width + 20) OVER (PARTITION BY level) - 20 AS t FROM w),
+box AS MATERIALIZED (SELECT id, l - t / 2 + width / 2 AS x, ((level - (SELECT min(level) FROM nodes) + 0.5) * 110)::DOUBLE AS y, width FROM x),
+point AS (SELECT event_id, (event_id * 37 % 20001 - 10000)::DOUBLE AS px, ((user_id * 53 + event_id) % 800)::DOUBLE AS py FROM events)
+SELECT event_id AS point_id, max(id) AS id FROM point JOIN box ON px BETWEEN x - width / 2 - 6 AND x + width / 2 + 6 AND abs(y - py) <= 30 GROUP BY event_id""",
     "layout_columns": f"{_CHAIN}, {_COLUMNS} SELECT id, level::BIGINT AS level, x, y FROM placed",
     "layout_bounds": f"{_CHAIN}, {_COLUMNS} SELECT min(x) - 28 AS min_x, max(x) + 252 AS max_x, min(y) - 34 AS min_y, max(y) + 86 AS max_y FROM placed",
     "edge_paths": f"""{_CHAIN}, {_COLUMNS}, b AS (SELECT ce.src, ce.dst, p.x + 224 AS x1, p.y + 34 AS y1, q.x AS x2, q.y + 34 AS y2 FROM ce JOIN placed p ON p.id = ce.src JOIN placed q ON q.id = ce.dst),

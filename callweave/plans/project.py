@@ -56,7 +56,9 @@ class Project:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.edge_groups(self.edge_sites)
+        """Edges; callees come by their first site, callers by the place of their definition."""
+        places = self.definitions.select(F.col("def_id").alias("id"), F.col("rel_path").alias("file"), F.col("start_line").alias("line"))
+        return graph.edge_groups(self.edge_sites, places)
 
     def languages(self) -> DataFrame:
         """Files per language, by display name."""

@@ -56,10 +56,10 @@ def _part_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return sites, edges, stored(graph.hub(edges))
 
 
-def _nodes(df: DataFrame, anchor: DataFrame) -> DataFrame:
-    ids = F.array_join(F.concat(F.array("anchor_id"), graph.ids_of("path")), ">")
-    rows = df.join(F.broadcast(anchor.limit(1).select(F.col("id").alias("anchor_id"))))
-    return _long(rows.select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), ids.alias("path")))
+def _nodes(df: DataFrame) -> DataFrame:
+    df = stored(df)
+    rows = df.join(graph.root_path(df), "id")
+    return _long(rows.select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), F.array_join("ids", ">").alias("path")))
 
 
 def detect_language(spark, d):
@@ -132,7 +132,7 @@ def line_shape(spark, d):
 
 def call_sites_regex(spark, d):
     pages = adapters.read(spark, d, "pages").select("page_id", F.col("html").alias("text"))
-    names = F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*) *\("), F.lit(1))
+    names = F.regexp_extract_all("line", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)(?:<[^<>]*>)? *\("), F.lit(1))
     rows = files.lines_of(pages).select("page_id", "line_no", F.posexplode(names).alias("turn", "callee"))
     return _long(rows.where(~F.col("callee").isin(sorted(extract.KEYWORDS))))
 
@@ -217,12 +217,13 @@ def anchor_from_hit(spark, d):
 
 
 def symbol_at(spark, d):
+    """What stands at every site's start, and at two fixed columns of every line."""
     lines = stored(adapters.document_lines(spark, d))
     defs = stored(_defs(spark, d, lines))
-    sites = _sites(spark, d, lines).withColumn("start_col", F.instr("line", F.concat(F.regexp_extract("line", "([A-Za-z]{6,}),", 1), F.lit(",")))).dropDuplicates(["rel_path", "line_no"])
-    first = F.lower(F.regexp_extract("line", "([A-Za-z]{6,}),", 1))
-    bound = resolve.resolve_qualified(sites.withColumn("callee", first).withColumn("caller_class", F.lit(None).cast("string")), defs)
-    places = lines.where("line <> ''").select("rel_path", "line_no", F.explode(F.array(F.lit(2), F.lit(40))).alias("col"))
+    sites = stored(adapters.placed_call_sites(lines))
+    bound = resolve.resolve_qualified(sites.withColumn("caller_class", F.lit(None).cast("string")), defs)
+    fixed = lines.where("line <> ''").select("rel_path", "line_no", F.explode(F.array(F.lit(2), F.lit(40))).alias("col"))
+    places = fixed.unionByName(sites.select("rel_path", "line_no", F.col("start_col").alias("col"))).distinct()
     return _long(resolve.symbol_at(places, defs, bound))
 
 
@@ -282,12 +283,12 @@ def node_degree(spark, d):
 
 def bfs_callees(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 3, 0)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 3, 0)[0])
 
 
 def bfs_callers(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 0, 3)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 0, 3)[0])
 
 
 def call_graph(spark, d):
@@ -301,7 +302,7 @@ def call_graph(spark, d):
 
 def build_graph_name(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 3, 3, "name")[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 3, 3, "name")[0])
 
 
 def build_graph_name_edges(spark, d):
@@ -312,7 +313,7 @@ def build_graph_name_edges(spark, d):
 
 def build_graph_qualified(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 3, 3)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 3, 3)[0])
 
 
 def build_graph_qualified_edges(spark, d):
@@ -323,12 +324,12 @@ def build_graph_qualified_edges(spark, d):
 
 def graph_caps(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 4, 4, "name", graph.NAME_CAPS)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 4, 4, "name", graph.NAME_CAPS)[0])
 
 
 def graph_caps_qualified(spark, d):
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, 5, 5, "qualified", graph.QUALIFIED_CAPS)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, 5, 5, "qualified", graph.QUALIFIED_CAPS)[0])
 
 
 def graph_caps_edges(spark, d):
@@ -339,18 +340,62 @@ def graph_caps_edges(spark, d):
     return _long(kept.select("src", "dst", "n_sites", F.lit(cut).alias("truncated")))
 
 
-def _graph_e(spark, d) -> dict:
-    calls, anchor = stored(adapters.part_calls(spark, d)), None
+def _graph_e(spark, d, depth: int = 2, caps: graph.Caps | None = None) -> dict:
+    calls = stored(adapters.part_calls(spark, d))
     bound = calls.where("dst is not null").select("src", "dst").distinct().withColumn("n_sites", F.lit(1))
     anchor = graph.hub(bound)
-    return graph.build_graph(adapters.part_definitions(spark, d), calls, anchor, 2, 2, graph.Caps(edges=graph.QUALIFIED_CAPS.edges))
+    return graph.build_graph(adapters.part_definitions(spark, d), calls, anchor, depth, depth, caps or graph.Caps(edges=graph.QUALIFIED_CAPS.edges))
+
+
+def _node_records(g: dict) -> DataFrame:
+    flat = F.array_join("child_ids", ",").alias("children")
+    return _long(g["nodes"].select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), flat, "has_children", "category", "file", "line", F.lit(g["truncated"]).alias("truncated")))
 
 
 def build_graph_e(spark, d):
     """The qualified graph as one operator: node records, with its flag."""
+    return _node_records(_graph_e(spark, d))
+
+
+def build_graph_e_caps(spark, d):
+    """The same with its usual depth and all its caps."""
+    return _node_records(_graph_e(spark, d, 5, graph.QUALIFIED_CAPS))
+
+
+def graph_totals(spark, d):
+    """Numbers of nodes, edges, sites and unresolved calls of the qualified graph."""
     g = _graph_e(spark, d)
-    flat = F.array_join("child_ids", ",").alias("children")
-    return _long(g["nodes"].select("id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), flat, "has_children", "category", "file", "line", F.lit(g["truncated"]).alias("truncated")))
+    return _long(graph.graph_totals(g["nodes"], g["edges"], g["unresolved"]))
+
+
+def node_edges(spark, d):
+    """The edges of the hub on both sides, as rows."""
+    _, edges, anchor = _part_graph(spark, d)
+    return _long(graph.node_edges(edges, anchor))
+
+
+#: Anchors that the query of many graphs takes: the busiest parts.
+MANY = 100
+
+
+def reanchor(spark, d):
+    """The graphs around the busiest parts, all in one traversal."""
+    _, edges, _ = _part_graph(spark, d)
+    busy = graph.node_degree(edges).orderBy(F.desc(F.col("n_out") * F.col("n_in")), "id").limit(MANY).select("id")
+    nodes, cut = graph.walk_many(edges, busy, 3, 3, "qualified", graph.QUALIFIED_CAPS)
+    flags = cut.withColumn("truncated", F.lit(True))
+    rows = nodes.join(flags, "anchor", "left")
+    return _long(rows.select("anchor", "id", "level", F.coalesce("parent", F.lit(-1)).alias("parent"), F.coalesce("truncated", F.lit(False)).alias("truncated")))
+
+
+def hit_test(spark, d):
+    """Which box of the row layout every event points at."""
+    _, _, nodes, _ = _chain(spark, d)
+    placed = graph.layout_rows(nodes.join(_part_names(spark, d), "id"))
+    boxes = stored(placed.select("id", "x", "y", "width", "height", F.col("id").alias("turn")))
+    events = adapters.read(spark, d, "events")
+    points = events.select(F.col("event_id").alias("point_id"), (F.col("event_id") * 37 % 20001 - 10000).cast("double").alias("px"), ((F.col("user_id") * 53 + F.col("event_id")) % 800).cast("double").alias("py"))
+    return _long(graph.hit_tests(boxes, points))
 
 
 def unresolved_e(spark, d):
@@ -367,7 +412,7 @@ def root_path(spark, d):
 def full_chain(spark, d):
     """Everything that reaches or is reached from the hub, over the edges of all consecutive lines, cycles included."""
     _, edges, anchor = _part_graph(spark, d)
-    return _nodes(graph.walk(edges, anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0], anchor)
+    return _nodes(graph.walk(edges, anchor, graph.UNBOUNDED, graph.UNBOUNDED)[0])
 
 
 def _chain(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -412,7 +457,7 @@ def visible_nodes(spark, d):
 def collapse_subtree(spark, d):
     _, edges, nodes, _ = _chain(spark, d)
     expanded = stored(nodes.where("level between -2 and 2").select("id"))
-    node = nodes.where("level = 1").orderBy("path").limit(1).select("id")
+    node = nodes.where("level = 1").orderBy("turn").limit(1).select("id")
     return graph.collapse_subtree(stored(graph.child_ids(edges, nodes)), expanded, node)
 
 
@@ -444,35 +489,38 @@ def expand_plan(spark, d):
     _, edges, nodes, anchor = _chain(spark, d)
     children = stored(graph.child_ids(edges, nodes))
     visible = graph.visible_nodes(children, anchor, anchor)
-    node = nodes.where("level = 1").orderBy("path").limit(1).select("id")
+    node = nodes.where("level = 1").orderBy("turn").limit(1).select("id")
     return _long(graph.expand_plan(children, visible, node, _categories(spark, d)))
 
 
 def layout_columns(spark, d):
     _, edges, nodes, _ = _chain(spark, d)
-    turn = F.row_number().over(Window.partitionBy("level").orderBy("path"))
+    turn = F.row_number().over(Window.partitionBy("level").orderBy("turn"))
     placed = graph.layout_columns(nodes.select("id", "level", turn.alias("turn")), edges)
     return _long(placed.select("id", "level", "x", "y"))
 
 
 def layout_bounds(spark, d):
     _, edges, nodes, _ = _chain(spark, d)
-    turn = F.row_number().over(Window.partitionBy("level").orderBy("path"))
+    turn = F.row_number().over(Window.partitionBy("level").orderBy("turn"))
     placed = stored(graph.layout_columns(nodes.select("id", "level", turn.alias("turn")), edges))
     return graph.bounds(placed)
 
 
 def edge_paths(spark, d):
     _, edges, nodes, _ = _chain(spark, d)
-    turn = F.row_number().over(Window.partitionBy("level").orderBy("path"))
+    turn = F.row_number().over(Window.partitionBy("level").orderBy("turn"))
     placed = stored(graph.layout_columns(nodes.select("id", "level", turn.alias("turn")), edges))
     return graph.edge_paths(placed, edges)
 
 
+def _part_names(spark, d) -> DataFrame:
+    return adapters.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("rel_path"), F.col("p_size").alias("start_line"), F.lit("function").alias("kind"))
+
+
 def layout_rows(spark, d):
     _, _, nodes, _ = _chain(spark, d)
-    part = adapters.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("rel_path"), F.col("p_size").alias("start_line"), F.lit("function").alias("kind"))
-    return _long(graph.layout_rows(nodes.join(part, "id")).select("id", "level", F.round("x", 6).alias("x"), "y", F.round("width", 6).alias("width")))
+    return _long(graph.layout_rows(nodes.join(_part_names(spark, d), "id")).select("id", "level", F.round("x", 6).alias("x"), "y", F.round("width", 6).alias("width")))
 
 
 def progress_totals(spark, d):
@@ -489,6 +537,6 @@ QUERIES = {
         classify, label_texts, label_layout, name_tokens, edge_group, node_degree, bfs_callees, bfs_callers, call_graph, edge_sites, build_graph_e, unresolved_e, root_path, graph_caps_edges, visible_minus_agg, anchor_from_hit, build_graph_name,
         build_graph_name_edges, build_graph_qualified, build_graph_qualified_edges, graph_caps, graph_caps_qualified, full_chain, child_ids,
         level_counts, parent_edges, anchor_adjacent, focus_edges, visible_nodes, collapse_subtree, clusters, redirect_edges, expand_plan,
-        layout_columns, layout_bounds, edge_paths, layout_rows, progress_totals,
+        layout_columns, layout_bounds, edge_paths, layout_rows, progress_totals, build_graph_e_caps, graph_totals, node_edges, reanchor, hit_test,
     )
 }

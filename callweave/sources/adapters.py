@@ -39,16 +39,26 @@ def call_sites(lines: DataFrame) -> DataFrame:
     return rows.select("rel_path", "language", "line_no", (F.col("p") + 1).alias("turn"), F.lower("n").alias("callee"), "line")
 
 
+def placed_call_sites(lines: DataFrame) -> DataFrame:
+    """``call_sites`` with ``start_col``, the column of each site's name from 1: gaps and matches before it add up."""
+    pattern = "[A-Za-z]{6,},"
+    both = F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)).alias("m"), F.split("line", pattern, -1).alias("g"))
+    rows = lines.select("rel_path", "language", "line_no", "line", F.posexplode(both).alias("p", "s")).where("s.m is not null")
+    before = Window.partitionBy("rel_path", "line_no").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.length("s.g") + F.length("s.m")).over(before) - F.length("s.m") + 1
+    return rows.select("rel_path", "language", "line_no", (F.col("p") + 1).alias("turn"), start.cast("int").alias("start_col"), F.lower(F.expr("substring(s.m, 1, char_length(s.m) - 1)")).alias("callee"), "line")
+
+
 def part_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Calls between parts: every line of an order "calls" the part of the order's next line.
 
     Columns src, dst, status, site_file (order) and site_line. The last line of an order calls something
-    that isn't found. Repeated (order, line) pairs give one call for each pair of parts.
+    that isn't found, or, where its number is even, is ambiguous. Repeated (order, line) pairs give one call for each pair of parts.
     """
     items = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a = items.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"))
     b = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"))
-    status = F.when(F.col("dst").isNull(), "unresolved-notfound").otherwise("resolved")
+    status = F.when(F.col("dst").isNotNull(), "resolved").when(F.col("line") % 2 == 0, "unresolved-ambiguous").otherwise("unresolved-notfound")
     return a.join(b, ["l_orderkey", "line"], "left").select("src", "dst", status.alias("status"), F.col("l_orderkey").alias("site_file"), F.col("line").alias("site_line")).distinct()
 
 

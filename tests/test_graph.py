@@ -221,3 +221,62 @@ def test_build_graph_follows_sites_and_places(spark, most_nodes, most_edges):
             chain.append(parent[chain[-1]])
         assert r.ids == chain[::-1]
     assert graph.build_graph(d, c, spark.createDataFrame([(99,)], "id long"), 3, 2) is None
+
+
+@pytest.mark.parametrize("mode", ["name", "qualified"])
+def test_many_anchors_are_single_walks(spark, mode):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(90)]
+    edges = edges_of(spark, pairs)
+    anchors = [3, 7, 7, 11, 99]
+    for caps in (None, graph.Caps(nodes=9), graph.Caps(nodes=14, per_level=4)):
+        nodes, cut = graph.walk_many(edges, spark.createDataFrame([(a,) for a in anchors], "id long"), 3, 2, mode, caps)
+        got, flags = {}, {r.anchor for r in cut.collect()}
+        for r in nodes.collect():
+            got.setdefault(r.anchor, {})[r.id] = (r.level, r.parent)
+        assert set(got) == set(anchors)
+        for a in set(anchors):
+            if caps is None:
+                assert got[a] == queue_walk(pairs, a, 3, 2, mode)
+            else:
+                assert (got[a], a in flags) == levels(spark, pairs, a, 3, 2, mode, caps)
+
+
+def test_deep_chains_carry_one_number(spark):
+    """A node's row doesn't grow with its depth."""
+    nodes, _ = graph.walk(edges_of(spark, [(k, k + 1) for k in range(60)]), spark.createDataFrame([(0,)], "id long"), graph.UNBOUNDED, 0)
+    assert nodes.count() == 61 and not any("array" in t for _, t in nodes.dtypes)
+    assert {r.id: r.level for r in nodes.collect()} == {k: k for k in range(61)}
+
+
+def test_root_paths_double_pointers(spark):
+    rng = random.Random(1)
+    parent = {0: None} | {k: rng.randrange(max(0, k - 3), k) for k in range(1, 1500)} | {5000: 4999}
+    got = {r.id: r.ids for r in graph.root_path(spark.createDataFrame(list(parent.items()), "id long, parent long")).collect()}
+    for k in parent:
+        chain = [k]
+        while parent.get(chain[-1]) is not None:
+            chain.append(parent[chain[-1]])
+        assert got[k] == [c for c in chain[::-1] if c in parent]
+    assert max(map(len, got.values())) > 500
+    with pytest.raises(ValueError, match="cycle"):
+        graph.root_path(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+
+
+def test_points_hit_the_last_drawn_box(spark):
+    rng = random.Random(4)
+    boxes = [(k, rng.uniform(-900, 900), rng.uniform(-900, 900), rng.choice([0.0, 8.0, 90.0, 500.0, 3000.0]), rng.choice([1.0, 20.0, 800.0]), rng.randrange(50)) for k in range(60)]
+    points = [(k, rng.uniform(-1000, 1000), rng.uniform(-1000, 1000)) for k in range(400)] + [(900, None, 1.0)]
+    inside = lambda b, p: None not in p and abs(b[1] - p[1]) <= b[3] / 2 + 6 and abs(b[2] - p[2]) <= b[4] / 2 + 6
+    want = {p[0]: max((b[5], b[0]) for b in boxes if inside(b, p))[1] for p in points if any(inside(b, p) for b in boxes)}
+    b = spark.createDataFrame(boxes, "id long, x double, y double, width double, height double, turn int")
+    p = spark.createDataFrame(points, "point_id long, px double, py double")
+    assert {r.point_id: r.id for r in graph.hit_tests(b, p).collect()} == want and len(want) > 100
+    assert graph.hit_tests(b.limit(0), p).isEmpty() and graph.hit_tests(b, p.limit(0)).isEmpty()
+
+
+def test_edges_of_a_node_and_totals(spark):
+    edges = edges_of(spark, [(1, 2), (3, 1), (1, 1), (2, 3)])
+    one = spark.createDataFrame([(1,)], "id long")
+    assert sorted((r.side, r.other) for r in graph.node_edges(edges, one).collect()) == [("in", 1), ("in", 3), ("out", 1), ("out", 2)]
+    assert tuple(graph.graph_totals(one, edges, one.limit(0)).first()) == (1, 4, 4, 0)

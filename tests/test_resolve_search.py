@@ -1,5 +1,7 @@
 """Binding, attribution, positions and search on small tables."""
 
+from pyspark.sql import functions as F
+
 from callweave.operators import explain, resolve, search
 
 DEFS = "def_id string, name string, rel_path string, class_name string, start_line int, start_col int, end_line int, kind string, signature string, language string"
@@ -93,9 +95,25 @@ def test_explanations(spark):
     assert bare["1"] == 'Meant to load "User Name". Works with open.'
 
 
-def test_leading_comment_forms():
-    assert explain.leading_comment(["", "# real", "# TODO later"], True) == "real"
-    assert explain.leading_comment(["", "", "// far"], False) is None
-    assert explain.leading_comment(["// @tag", "// says this"], False) == "says this"
-    assert explain.leading_comment(["code()"], False) is None
-    assert len(explain.leading_comment(["// " + "w" * 300], False)) == 180
+def test_leading_comment_forms(spark):
+    """Every case is a file whose definition is the last line given."""
+    cases = {
+        "real": ["# real", "# TODO later", "", "def f"],
+        None: ["// far", "", "", "fun f"],
+        "says this": ["// @tag", "// says this", "fun f"],
+        "w" * 179 + "…": ["// " + "w" * 300, "fun f"],
+        "of a block": ["code()", "", "/*", "  @param x", "  of a block", "*/", "fun f"],
+        "first of twelve": ["// too far up", "// first of twelve", *["//"] * 11, "fun f"],
+        "after an opening line": ["not this", "/* after an opening line", "// MARK: x", "", "fun f"],
+        "doc": ["other */", "", "/** doc */", "fun f"],
+        "unopened": ["", "unopened", "text */", "fun f"],
+    }
+    rows = [(f"{i}", k, t) for i, own in enumerate(cases.values()) for k, t in enumerate(own, 1)]
+    rows += [("x", k, t) for k, t in enumerate(["code()", "fun g", "// inner", "*/", "fun h", "text */", "/* no", "", "y", "fun i"], 1)] + [("hash", 1, "# not python"), ("hash", 2, "fun j")]
+    lines = spark.createDataFrame(rows, "rel_path string, line_no int, line string")
+    d = [(f"d{i}", "f", f"{i}", None, len(own), len(own)) for i, own in enumerate(cases.values())] + [(n, n, "x", None, at, at) for n, at in (("g", 2), ("h", 5), ("i", 10))] + [("j", "j", "hash", None, 2, 2)]
+    d = defs(spark, *d).withColumn("language", F.when(F.col("rel_path") == "0", "python").otherwise("kotlin"))
+    got = {r.def_id: r.comment for r in explain.leading_comments(d, lines).collect()}
+    assert {f"d{i}": got.get(f"d{i}") for i in range(len(cases))} == {f"d{i}": c for i, c in enumerate(cases)}
+    assert got.get("g") is None and got["h"] == "inner" and got.get("i") is None and got.get("j") is None
+    assert explain.leading_comments(d, lines.limit(0)).isEmpty()
