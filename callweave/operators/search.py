@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from callweave.operators.aggregates import range_buckets
 from callweave.operators.resolve import line_owners
+from callweave.plans.stored import stored
+from callweave.sources.files import lines_of
 
 MAX_HITS, MAX_LINES = 300, 3_000_000
 
@@ -62,6 +64,36 @@ def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFram
     return ordered if max_hits is None else ordered.orderBy("rel_path", "turn").limit(max_hits)
 
 
+#: Files in the first reach of an early stop, and how much further each next one goes.
+FIRST_FILES, FURTHER = 64, 8
+
+
+def search_files(files: DataFrame, query: str, define, call, max_hits: int | None = MAX_HITS) -> tuple[DataFrame, DataFrame]:
+    """``search`` over whole ``files(rel_path, language, text)``: hits, and the definitions of the files that were read.
+
+    Lines, definitions (``define(lines)``) and sites (``call(lines)``) are only made of files whose text holds the query at
+    all. With a limit files are read in path order, first a few, then more, until there are enough hits: what comes
+    later in order can't be among the first.
+    """
+    found = files.where(contains("text", query.strip())) if query.strip() else files.limit(0)
+
+    def run(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        lines = lines_of(part)
+        defs = stored(define(lines))
+        return search(lines, defs, call(lines), None, query, max_hits=max_hits), defs
+
+    if max_hits is None:
+        return run(found)
+    reach = FIRST_FILES
+    while True:
+        n, last = found.select("rel_path").orderBy("rel_path").limit(reach).agg(F.count(F.lit(1)), F.max("rel_path")).first()
+        hits, defs = run(found if n < reach else found.where(F.col("rel_path") <= last))
+        hits = stored(hits)
+        if n < reach or hits.count() >= max_hits:
+            return hits.orderBy("rel_path", "turn").limit(max_hits), defs
+        reach *= FURTHER
+
+
 def anchor_from_hit(hits: DataFrame, defs: DataFrame) -> DataFrame:
     """What a hit anchors: its definition (anchor_id), and for a hit in text the line that stays in focus."""
     text = F.col("kind") == "text"

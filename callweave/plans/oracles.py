@@ -356,3 +356,5 @@ SELECT shown, new, utils, CASE WHEN shown + new <= 30 THEN 'expand' WHEN utils >
     "progress_totals": """SELECT event_id, event_type, user_id, count(*) OVER w AS running_count, (sum(user_id) OVER w)::BIGINT AS running_sum FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
 }
+#: Another way to the same rows.
+ORACLES["search_indexed"] = ORACLES["search_text"]

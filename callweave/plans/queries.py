@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import extract, labels, languages
-from callweave.operators import aggregates, explain, graph, resolve, search
+from callweave.operators import aggregates, explain, graph, resolve, search, search_index
 from callweave.plans.stored import stored
 from callweave.sources import adapters, files
 
@@ -198,9 +198,18 @@ def explain_defs(spark, d):
 
 
 def _hits(spark, d, max_hits: int | None) -> tuple[DataFrame, DataFrame]:
-    lines = adapters.document_lines(spark, d)
-    defs = stored(_defs(spark, d, lines))
-    return search.search(lines, defs, _sites(spark, d, lines), None, "Tion", max_hits=max_hits), defs
+    return search.search_files(adapters.document_files(spark, d), "Tion", *_readers(spark, d), max_hits)
+
+
+def _readers(spark, d):
+    """How definitions and sites are made of lines."""
+    return lambda lines: _defs(spark, d, lines), lambda lines: _sites(spark, d, lines)
+
+
+def search_indexed(spark, d):
+    """The first hits by way of a trigram index."""
+    index = search_index.SearchIndex.build(adapters.document_files(spark, d))
+    return _long(index.search("Tion", *_readers(spark, d))[0].select("kind", "def_id", "rel_path", "line_no"))
 
 
 def search_text(spark, d):
@@ -537,6 +546,6 @@ QUERIES = {
         classify, label_texts, label_layout, name_tokens, edge_group, node_degree, bfs_callees, bfs_callers, call_graph, edge_sites, build_graph_e, unresolved_e, root_path, graph_caps_edges, visible_minus_agg, anchor_from_hit, build_graph_name,
         build_graph_name_edges, build_graph_qualified, build_graph_qualified_edges, graph_caps, graph_caps_qualified, full_chain, child_ids,
         level_counts, parent_edges, anchor_adjacent, focus_edges, visible_nodes, collapse_subtree, clusters, redirect_edges, expand_plan,
-        layout_columns, layout_bounds, edge_paths, layout_rows, progress_totals, build_graph_e_caps, graph_totals, node_edges, reanchor, hit_test,
+        layout_columns, layout_bounds, edge_paths, layout_rows, progress_totals, build_graph_e_caps, graph_totals, node_edges, reanchor, hit_test, search_indexed,
     )
 }

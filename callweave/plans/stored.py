@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder named in ``spark.checkpoint.dir``.
 
     The folder is the session's own setting; where it is unset, a local session (tests) gets a temporary
-    one and a cluster session raises. The copy survives lost executors and the stage that made it runs once.
+    one and a cluster session raises.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{folder}/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the copy survives lost executors and the stage that made it runs once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

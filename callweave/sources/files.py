@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.languages import COLLECTED, collected_language, detect_language, extension
 from callweave.operators.aggregates import range_buckets
+from callweave.sources.tree import read_tree
 
 # Directories that scans leave out.
 EXCLUDED_NAME_MODE = [
@@ -34,11 +35,12 @@ NEWLINES = "[\n\r\u000b\u000c\u0085  ]"
 
 @dataclass
 class ScanOptions:
-    """Limits of a scan; None lifts one."""
+    """Limits of a scan; None lifts one. ``max_seconds`` bounds the listing of each partition of a tree."""
 
     max_files: int | None = 4000
     max_bytes: int | None = 2_500_000
     max_lines: int | None = 20_000
+    max_seconds: float | None = 15.0
     extra_excludes: list[str] = field(default_factory=list)
 
 
@@ -53,31 +55,72 @@ def allowed(rel_path: Column | str, mode: str, extra: list[str] | None = None) -
     """No directory on the way is hidden or excluded; in "qualified" mode hidden files go too."""
     parts = F.split(rel_path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
-    names = (EXCLUDED_NAME_MODE if mode == "name" else EXCLUDED_QUALIFIED_MODE) + list(extra or [])
-    clean = ~F.exists(dirs, lambda d: F.startswith(d, F.lit(".")) | d.isin(names))
+    clean = ~F.exists(dirs, lambda d: F.startswith(d, F.lit(".")) | d.isin(_excluded(mode, extra)))
     return clean if mode == "name" else clean & ~F.startswith(F.element_at(parts, -1), F.lit("."))
 
 
+def _is_local(root: str) -> bool:
+    return root.startswith("file:") or "://" not in root
+
+
+def _read(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def _content(path: str) -> Column:
+    """Bytes of a file that executors see."""
+
+    @F.pandas_udf("binary")
+    def run(paths: pd.Series) -> pd.Series:
+        return pd.Series([_read(p) for p in paths], dtype=object)
+
+    return run(path)
+
+
 def list_files(spark: SparkSession, root: str, mode: str = "name", options: ScanOptions | None = None) -> DataFrame:
-    """Files below a root with language, size and content, in path order; filters act before content is read.
+    """Files below a root with language, size and content; filters and caps act before content is read.
 
     "name" mode keeps files of a known language within the limits (the first ``max_files`` paths);
-    "qualified" mode keeps the collected extensions without limits. Spark's file sources never list
-    names that begin with ``.`` or ``_``, so such files are missing in either mode.
+    "qualified" mode keeps the collected extensions without limits and leaves out hidden files and links. Trees of a
+    file system that all executors share are listed by ``read_tree``. Of other stores Spark's file source lists
+    them, which leaves out names that begin with ``.`` or ``_``. A file that can't be read has null content.
     """
     options = options or ScanOptions()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.withColumn("rel_path", relative_path("path", root)).where(allowed("rel_path", mode, options.extra_excludes))
+    if _is_local(root):
+        files = read_tree(spark, root, _excluded(mode, options.extra_excludes), options.max_seconds if mode == "name" else None).where("type = 'file'")
+        if mode != "name":
+            files = files.where(~F.col("link") & ~F.startswith("name", F.lit(".")))
+        files, content = files.drop("parent", "type", "link"), _content("path")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = files.withColumn("rel_path", relative_path("path", root)).where(allowed("rel_path", mode, options.extra_excludes))
+        content = F.col("content")
     if mode == "name":
         files = files.withColumn("language", detect_language("rel_path")).where("language is not null")
         if options.max_bytes is not None:
             files = files.where(F.col("length") <= options.max_bytes)
         if options.max_files is not None:
-            kept = files.select("rel_path").orderBy("rel_path").limit(options.max_files)
-            files = files.join(kept, "rel_path", "left_semi")
+            files = files.orderBy("rel_path").limit(options.max_files) if _is_local(root) else files.join(files.select("rel_path").orderBy("rel_path").limit(options.max_files), "rel_path", "left_semi")
     else:
         files = files.where(extension("rel_path").isin(COLLECTED)).withColumn("language", collected_language("rel_path"))
-    return files.select("rel_path", "language", "length", "content")
+    return files.select("rel_path", "language", "length", content.alias("content"))
+
+
+def _excluded(mode: str, extra: list[str] | None = None) -> list[str]:
+    return (EXCLUDED_NAME_MODE if mode == "name" else EXCLUDED_QUALIFIED_MODE) + list(extra or [])
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The tree below a root as rows (parent, name, path, type, depth, turn): no hidden names, no links, directories first.
+
+    Empty directories are rows too. ``turn`` counts among siblings in binary name order.
+    """
+    found = read_tree(spark, root, EXCLUDED_QUALIFIED_MODE).where(~F.col("link") & ~F.startswith("name", F.lit(".")))
+    return _ranked(found.select("parent", "name", F.col("rel_path").alias("path"), "type", F.size(F.split("rel_path", "/")).alias("depth")))
 
 
 def decode_name_mode(content: Column | str) -> Column:
@@ -101,7 +144,14 @@ def decode_qualified_mode(files: DataFrame, content: str = "content") -> DataFra
         for raws in batches:
             yield pd.DataFrame([_decoded(raw) for raw in raws], columns=["text", "encoding", "error"])
 
-    return files.withColumn("decoded_", run(F.col(content))).select(*files.columns, "decoded_.*")
+    # Valid UTF-8 without a NUL at its beginning and without a replacement character never goes to Python.
+    raw = F.col(content)
+    as_string = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, 4, 2**31 - 1)).otherwise(raw).cast("string")
+    plain = F.is_valid_utf8(raw.cast("string")) & ~F.contains(F.substring(raw, 1, 8192), F.unhex(F.lit("00"))) & ~F.contains(as_string, F.lit("�"))
+    native = F.struct(as_string.alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("error"))
+    judged = files.withColumn("plain_", F.coalesce(plain, F.lit(False)))
+    rest = judged.withColumn("rest_", run(F.when(~F.col("plain_"), raw)))
+    return rest.withColumn("decoded_", F.when(F.col("plain_"), native).otherwise(F.col("rest_"))).select(*files.columns, "decoded_.*")
 
 
 def _decoded(raw: bytes | None) -> tuple[str | None, str, str | None]:
@@ -144,7 +194,11 @@ def path_tree(paths: DataFrame, path: str = "rel_path") -> DataFrame:
     parent = F.when(F.col("depth") > 1, F.array_join(F.expr("slice(parts, 1, depth - 1)"), "/")).otherwise("")
     kind = F.when(F.col("depth") == F.size("parts"), "file").otherwise("dir")
     rows = levels.select(parent.alias("parent"), F.element_at("parts", F.col("depth")).alias("name"), node.alias("path"), kind.alias("type"), "depth").distinct()
-    # Ranks run within ranges of names, so that a directory with most entries is dealt out.
+    return _ranked(rows)
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows of a tree with ``turn``; ranks run within ranges of names, so that a directory with most entries is dealt out."""
     dealt = range_buckets(rows.withColumn("key_", F.concat(F.when(F.col("type") == "dir", "0").otherwise("1"), "name")), "key_")
     counts = dealt.groupBy(F.col("parent").alias("p_"), F.col("bucket").alias("b_")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("p_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)

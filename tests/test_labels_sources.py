@@ -108,3 +108,47 @@ def test_label_layout_shows_the_end_of_long_texts(spark, tmp_path):
         label = "/".join([x for x in f"web/en/{text}".split("/") if x][-2:]) + f":{r.doc_id}"
         assert r.location == (label if width(label) <= 32 else head(label, 18) + "…" + head(label[::-1], 13)[::-1])
         assert r.wrapped == text if width(text) <= 19 else r.wrapped.replace("\n", "").rstrip("…") in text
+
+
+def test_trees_list_hidden_names_and_links(spark, tmp_path):
+    root = tmp_path / "root"
+    for name in ["pkg/__init__.py", "pkg/_own.py", "pkg/.hidden.py", "_build/x.kt", "build/no.kt", ".git/no.kt", "deep/a/b/c/d.kt", "deep/node_modules/no.kt", "z.kt", "a.txt", "big.kt"]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * (50 if name == "big.kt" else 1))
+    (root / "empty").mkdir()
+    outside = tmp_path / "elsewhere.kt"
+    outside.write_text("fun far()")
+    (root / "link.kt").symlink_to(outside)
+    (root / "pkg/inner.kt").symlink_to(root / "z.kt")
+    (root / "dirlink").symlink_to(root / "deep")
+    (tmp_path / "alias").symlink_to(root)
+    options = files.ScanOptions(max_bytes=40)
+    got = {(r.rel_path, bytes(r.content)) for r in files.list_files(spark, str(tmp_path / "alias"), "name", options).collect()}
+    plain = {(p, b"x") for p in ["pkg/__init__.py", "pkg/_own.py", "pkg/.hidden.py", "_build/x.kt", "deep/a/b/c/d.kt", "z.kt"]}
+    assert got == plain | {(str(outside), b"fun far()")}
+    capped = files.list_files(spark, str(root), "name", files.ScanOptions(max_files=2, extra_excludes=["pkg"]))
+    assert sorted(r.rel_path for r in capped.collect()) == sorted([str(outside), "_build/x.kt"])
+    qualified = sorted(r.rel_path for r in files.list_files(spark, f"file://{root}", "qualified").collect())
+    assert qualified == ["_build/x.kt", "big.kt", "deep/a/b/c/d.kt", "pkg/__init__.py", "pkg/_own.py", "z.kt"]
+    tree = [(r.parent, r.name, r.type, r.turn) for r in files.list_tree(spark, str(root)).orderBy("parent", "turn").collect()]
+    assert [t[1:] for t in tree if t[0] == ""] == [(n, k, i) for i, (n, k) in enumerate([("_build", "dir"), ("deep", "dir"), ("empty", "dir"), ("pkg", "dir"), ("a.txt", "file"), ("big.kt", "file"), ("z.kt", "file")], 1)]
+    assert ("deep/a", "b", "dir", 1) in tree and ("pkg", "__init__.py", "file", 1) in tree
+
+
+def test_trees_are_pruned_before_they_are_opened(tmp_path):
+    from callweave.sources import tree
+
+    for k in range(40):
+        (tmp_path / f"d{k}" / "e").mkdir(parents=True)
+        (tmp_path / f"d{k}" / "e" / "f.kt").write_text("")
+    (tmp_path / "build" / "deep").mkdir(parents=True)
+    opened = []
+    reader = tree.TreeReader({"path": str(tmp_path), "excluded": "build\nd3", "partitions": "50"})
+    plain = reader._entries
+    reader._entries = lambda rel: opened.append(rel) or plain(rel)
+    parts = reader.partitions()
+    rows = [r[0] for p in parts for r in reader.read(p)]
+    assert len(rows) == len(set(rows)) == 39 * 3 and not [o for o in opened if o.startswith(("build", "d3/")) or o == "d3"]
+    assert sum(p.deep for p in parts) >= 30 and len(parts) >= 50
+    slow = tree.TreeReader({"path": str(tmp_path), "seconds": "-1"})
+    assert not [r for p in slow.partitions() for r in slow.read(p)]

@@ -117,3 +117,33 @@ def test_leading_comment_forms(spark):
     assert {f"d{i}": got.get(f"d{i}") for i in range(len(cases))} == {f"d{i}": c for i, c in enumerate(cases)}
     assert got.get("g") is None and got["h"] == "inner" and got.get("i") is None and got.get("j") is None
     assert explain.leading_comments(d, lines.limit(0)).isEmpty()
+
+
+def test_index_and_early_stop_give_the_hits_of_a_full_search(spark, tmp_path, monkeypatch):
+    import random
+
+    from callweave.operators.search_index import SearchIndex
+    from callweave.plans import queries
+
+    monkeypatch.setattr(search, "FIRST_FILES", 2)
+    monkeypatch.setattr(search, "FURTHER", 2)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcD") for _ in range(rng.randint(2, 8)))
+    rows = [(f"f{k:02d}", "kotlin", "\n".join(" ".join(word() + rng.choice(["", ","]) for _ in range(4)) for _ in range(6))) for k in range(40)] + [("f99", "go", None), ("f98", "go", ""), ("f97", "go", "ab"), ("f96", "go", "İstanbul é🙂x")]
+    files = spark.createDataFrame(rows, "rel_path string, language string, text string")
+    define, call = queries._readers(spark, None)
+    index = SearchIndex.build(files, str(tmp_path / "index"), 5)
+    from callweave.sources.files import lines_of
+
+    lines = lines_of(files)
+    for query, limits in ((" DABC ", (3, None)), ("ab", (20,)), ("é🙂x", (3,))):
+        for most in limits:
+            pick = lambda hits: [(r.kind, r.def_id, r.rel_path, r.line_no) for r in hits.collect()]
+            want = pick(search.search(lines, define(lines), call(lines), None, query, max_hits=most))
+            got = [pick(search.search_files(files, query, define, call, most)[0]), pick(index.search(query, define, call, most)[0])]
+            for g in got:
+                assert (g if most else sorted(g, key=str)) == (want if most else sorted(want, key=str)), (query, most)
+    texts = {r[0]: (r[2] or "").lower() for r in rows}
+    for query in ("abcd", "dabc", "é🙂x"):
+        chosen = {r.rel_path for r in index.files.join(index.candidates(query), ["range", "number"]).collect()}
+        assert {p for p, t in texts.items() if query in t} <= chosen == {p for p, t in texts.items() if all(query[i : i + 3] in t for i in range(len(query) - 2))}
