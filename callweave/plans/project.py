@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from callweave.functions.extract import analyze, sites_of
 from callweave.functions.labels import trim_code
 from callweave.functions.languages import DISPLAY_NAMES
+from callweave.functions.syntax import calls_of, parse_files, symbols_of
 from callweave.operators import graph, resolve, search
 from callweave.plans.stored import stored
 from callweave.sources import files as sources
@@ -126,6 +127,67 @@ class Project:
         return 0, "\n".join([*out, f"nodes {len(nodes)}, edges {g['edges'].count()}, unresolved {g['unresolved'].count()}"])
 
 
+class QualifiedProject:
+    """A project whose calls have one target or none; functions are told apart by language, file, class, name and parameters."""
+
+    def __init__(self, files: DataFrame):
+        """``files`` has rel_path, language and text."""
+        self.files = files
+
+    @classmethod
+    def scan(cls, spark: SparkSession, root: str) -> QualifiedProject:
+        """The collected source files below a root; binary and undecodable ones are left out."""
+        found = sources.decode_qualified_mode(sources.list_files(spark, root, "qualified"))
+        return cls(found.where("text is not null").select("rel_path", "language", "text"))
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return stored(parse_files(self.files))
+
+    @cached_property
+    def definitions(self) -> DataFrame:
+        """Functions: id, file, line, name, column, class_name, param_signature, language and doc_comment."""
+        rows = symbols_of(self.parsed).dropDuplicates(["def_id"])
+        return stored(rows.select(F.col("def_id").alias("id"), F.col("rel_path").alias("file"), F.col("start_line").cast("long").alias("line"), "name", F.col("start_col").alias("column"), "class_name", "param_signature", "language", "doc_comment"))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Calls with their binding: src (null outside functions), dst (null unless bound), status, site and its text."""
+        known = self.definitions.select(F.col("id").alias("def_id"), "name", F.col("file").alias("rel_path"), "class_name")
+        caller = known.select(F.col("def_id").alias("caller_id"), F.col("class_name").alias("caller_class"))
+        bound = resolve.resolve_qualified(calls_of(self.parsed).join(caller, "caller_id", "left"), known)
+        site = [F.col("rel_path").alias("site_file"), F.col("line_no").alias("site_line"), F.col("start_col").alias("site_col")]
+        return stored(bound.select(F.col("caller_id").alias("src"), F.col("target_id").alias("dst"), "status", *site, "callee", "code"))
+
+    def match(self, text: str) -> DataFrame:
+        """The function meant by a text: of the exact names, else of those that contain it in any case, the first by file and line."""
+        found = self.definitions.where(F.contains(F.lower("name"), F.lower(F.lit(text))))
+        return found.orderBy(F.col("name") != text, "file", "line", "column").limit(1)
+
+    def graph(self, anchor: DataFrame, callee_depth: int = 5, caller_depth: int = 5, caps: graph.Caps | None = None) -> dict | None:
+        """``graph.build_graph`` around ``anchor(id)``, with the usual caps unless others are given."""
+        return graph.build_graph(self.definitions, self.calls, anchor, callee_depth, caller_depth, caps)
+
+    def graphs(self, anchors: DataFrame, callee_depth: int = 5, caller_depth: int = 5, caps: graph.Caps | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes around every one of ``anchors(id)`` in one traversal, and the anchors that a cap cut."""
+        edges = stored(graph.edge_groups(self.calls.drop("status", "callee", "code"), self.definitions))
+        return graph.walk_many(edges, anchors, callee_depth, caller_depth, "qualified", caps or graph.QUALIFIED_CAPS)
+
+    def json_report(self, symbol: str, callee_depth: int = 5, caller_depth: int = 5) -> DataFrame:
+        """One row, one column ``report``: the graph as JSON, bounded by its caps; no row where no function matches."""
+        found = stored(self.match(symbol).select("id"))
+        g = self.graph(found, callee_depth, caller_depth)
+        if g is None:
+            return found.limit(0).select(F.col("id").alias("report"))
+        listed = lambda df, name, *columns: df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)).withColumn("k_", F.lit(1))
+        nodes = listed(g["nodes"], "nodes", "level", "file", "line", "name", "id", "parent", "child_ids", "has_children", "category")
+        edges = listed(g["edges"], "edges", F.col("src").alias("from"), F.col("dst").alias("to"), "sites")
+        missing = listed(g["unresolved"], "unresolved", F.col("site_file").alias("file"), F.col("site_line").alias("line"), F.col("site_col").alias("column"), "callee", "status")
+        row = nodes.join(edges, "k_").join(missing, "k_").join(found.select(F.col("id").alias("anchor"), F.lit(1).alias("k_")), "k_")
+        fields = F.struct("anchor", "edges", "nodes", F.lit(symbol).alias("symbol"), F.lit(g["truncated"]).alias("truncated"), "unresolved")
+        return row.select(F.to_json(fields, {"pretty": "true"}).alias("report"))
+
+
 def main(argv: list[str] | None = None) -> int:
     """Command line: a directory, and a symbol to build the graph around."""
     parser = argparse.ArgumentParser(prog="callweave")
@@ -135,8 +197,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--caller-depth", type=int)
     parser.add_argument("--exclude", default="")
     parser.add_argument("--json", action="store_true")
+    parser.add_argument("--mode", choices=["name", "qualified"], default="name")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if args.mode == "qualified":
+        depth = 5 if args.depth == graph.UNBOUNDED else args.depth
+        report = QualifiedProject.scan(spark, args.directory).json_report(args.symbol or "", depth, depth if args.caller_depth is None else args.caller_depth).first()
+        print(report[0] if report else f"no symbol matches {args.symbol}")
+        return 0 if report else 1
     options = sources.ScanOptions(extra_excludes=[x for x in args.exclude.split(",") if x])
     project = Project.scan(spark, args.directory, options)
     caller_depth = args.depth if args.caller_depth is None else args.caller_depth
