@@ -37,23 +37,28 @@ UNBOUNDED = 2**31 - 1
 COMPACT = 4
 
 
-def edge_groups(sites: DataFrame, places: DataFrame | None = None) -> DataFrame:
+def edge_groups(sites: DataFrame, places: DataFrame | None = None, lists: bool = True) -> DataFrame:
     """Edges (src, dst, n_sites, first_file, first_line, sites, down, up) of sites (src, dst, site_file, site_line, ...).
 
-    ``sites`` is the edge's list of distinct sites in the order of file, line and further columns. ``down``
+    ``sites`` is the edge's list of distinct sites in the order of file, line and further columns; without ``lists``
+    it is left out, and no edge gathers its sites. ``down``
     orders the callees of a node (first site, then id), ``up`` its callers (place of the caller's
     definition by ``places(id, file, line)``, first site, id). Sites without a source or a target make no edge.
     """
     sites = sites.where("src is not null and dst is not null")
     site = F.struct(*[c for c in sites.columns if c not in ("src", "dst")])
-    grouped = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
-    first = F.col("sites")[0]
+    if lists:
+        grouped = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
+        first, count = F.col("sites")[0], F.size("sites")
+    else:
+        grouped = sites.distinct().groupBy("src", "dst").agg(F.min(site).alias("first"), F.count(F.lit(1)).alias("n"))
+        first, count = F.col("first"), F.col("n")
     if places is not None:
         grouped = grouped.join(places.select(F.col("id").alias("src"), F.col("file").alias("d_file"), F.col("line").cast("long").alias("d_line")), "src", "left")
     file, line = (F.col("d_file"), F.col("d_line")) if places is not None else (F.lit(""), F.lit(0).cast("long"))
     key = lambda file, line, end: F.struct(F.coalesce(file, F.lit("")).alias("file"), F.coalesce(line, F.lit(0).cast("long")).alias("line"), first.alias("site"), F.col(end).alias("id"))
     return grouped.select(
-        "src", "dst", F.size("sites").cast("long").alias("n_sites"), first["site_file"].alias("first_file"), first["site_line"].alias("first_line"), "sites",
+        "src", "dst", count.cast("long").alias("n_sites"), first["site_file"].alias("first_file"), first["site_line"].alias("first_line"), *(["sites"] if lists else []),
         key(F.lit(""), F.lit(0).cast("long"), "dst").alias("down"), key(file, line, "src").alias("up"),
     )
 

@@ -170,6 +170,16 @@ def _category(name: str, path: str) -> str:
     return f"CASE WHEN contains({path}, 'node_modules') THEN 'thirdparty' " + " ".join(f"WHEN regexp_matches(lower({name}), '^({p})') THEN '{c}'" for c, p in CATEGORIES.items()) + " ELSE 'core' END"
 
 
+def _width(t: str) -> str:
+    return f"(length({t}) + length(regexp_replace({t}, '[\\x{{00}}-\\x{{ff}}]', '', 'g')))"
+
+
+def _within(t: str, units: int, side: str = "left") -> str:
+    """The longest prefix or suffix that is no wider."""
+    fits = f"list_filter(range(1, {units + 1}), lambda k: k <= length({t}) AND {_width(f'{side}({t}, k)')} <= {units})"
+    return f"{side}({t}, coalesce(list_max({fits}), 0))"
+
+
 def _columns(levels: list[int]) -> str:
     """Column layout: level 0 first, then outwards; rows of a column by the mean place of placed neighbours and of its own start."""
     rows = "(row_number() OVER (ORDER BY {order}) - 1 - (count(*) OVER () - 1) / 2.0) * 86.0"
@@ -309,8 +319,9 @@ SELECT n.anchor, n.id, level::BIGINT AS level, coalesce(parent, -1) AS parent, s
 k AS (SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids GROUP BY id)
 SELECT n.id, n.level::BIGINT AS level, coalesce(n.parent, -1) AS parent, coalesce(k.children, '') AS children, k.children IS NOT NULL AS has_children, {_category("p_name", "p_brand")} AS category,
   p_brand AS file, p_size::BIGINT AS line, (SELECT count(*) FROM turns) > 500 OR (SELECT count(*) FROM nodes) >= 300 AS truncated FROM nodes n JOIN part ON p_partkey = n.id LEFT JOIN k ON k.id = n.id""",
-    "visible_minus_agg": f"""{_CHAIN}, {_CHILDREN}, {_CLUSTERS}, taken AS MATERIALIZED (SELECT DISTINCT unnest(members) AS child FROM clu)
-SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM kids ANTI JOIN taken USING (child) GROUP BY id""",
+    "visible_minus_agg": f"""{_CHAIN}, {_CHILDREN}, {_CLUSTERS}, taken AS MATERIALIZED (SELECT DISTINCT unnest(members) AS child FROM clu),
+left_over AS MATERIALIZED (SELECT kids.* FROM kids ANTI JOIN taken USING (child))
+SELECT id, array_to_string(list(child ORDER BY turn), ',') AS children FROM left_over GROUP BY id""",
     "anchor_from_hit": f"""WITH {_DEFS}{_SITES}{_OWNED}, {_SEARCH} SELECT def_id AS anchor_id, kind, h.rel_path, h.line_no,
   CASE WHEN kind = 'text' THEN h.rel_path END AS focus_rel_path, CASE WHEN kind = 'text' THEN h.line_no END AS focus_line_no, CASE WHEN kind = 'text' THEN l.line END AS focus_code
 FROM hits h JOIN lines l ON l.rel_path = h.rel_path AND l.line_no = h.line_no""",
@@ -326,6 +337,13 @@ x AS (SELECT *, sum(width + 20) OVER (PARTITION BY level ORDER BY p_brand, p_siz
 box AS MATERIALIZED (SELECT id, l - t / 2 + width / 2 AS x, ((level - (SELECT min(level) FROM nodes) + 0.5) * 110)::DOUBLE AS y, width FROM x),
 point AS (SELECT event_id, (event_id * 37 % 20001 - 10000)::DOUBLE AS px, ((user_id * 53 + event_id) % 800)::DOUBLE AS py FROM events)
 SELECT event_id AS point_id, max(id) AS id FROM point JOIN box ON px BETWEEN x - width / 2 - 6 AND x + width / 2 + 6 AND abs(y - py) <= 30 GROUP BY event_id""",
+    "label_layout": f"""WITH d AS (SELECT doc_id, text AS t, list_filter(string_split(replace(concat_ws('/', source, lang, text), chr(92), '/'), '/'), lambda p: p <> '') AS parts FROM documents),
+h AS (SELECT *, array_to_string(parts[-2:], '/') || ':' || doc_id AS place, {_within("t", 20)} AS head FROM d),
+m AS (SELECT *, length(regexp_extract(head, '^(.*)[._-]', 1)) AS mark, list_max(list_filter(range(9, 20), lambda k: k < length(t) AND regexp_matches(substr(t, k, 2), '^[a-z0-9][A-Z]$'))) AS step FROM h),
+c AS (SELECT *, CASE WHEN mark >= 8 THEN mark + 1 ELSE coalesce(step, 19) END AS cut_at FROM m),
+r AS (SELECT *, substr(t, cut_at::BIGINT + 1) AS rest FROM c)
+SELECT doc_id, CASE WHEN {_width("t")} <= 19 THEN t ELSE left(t, cut_at::BIGINT) || chr(10) || CASE WHEN {_width("rest")} <= 28 THEN rest ELSE {_within("rest", 27)} || '…' END END AS wrapped,
+  CASE WHEN {_width("place")} <= 32 THEN place ELSE {_within("place", 18)} || '…' || {_within("place", 13, "right")} END AS location FROM r""",
     "layout_columns": f"{_CHAIN}, {_COLUMNS} SELECT id, level::BIGINT AS level, x, y FROM placed",
     "layout_bounds": f"{_CHAIN}, {_COLUMNS} SELECT min(x) - 28 AS min_x, max(x) + 252 AS max_x, min(y) - 34 AS min_y, max(y) + 86 AS max_y FROM placed",
     "edge_paths": f"""{_CHAIN}, {_COLUMNS}, b AS (SELECT ce.src, ce.dst, p.x + 224 AS x1, p.y + 34 AS y1, q.x AS x2, q.y + 34 AS y2 FROM ce JOIN placed p ON p.id = ce.src JOIN placed q ON q.id = ce.dst),

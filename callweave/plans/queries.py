@@ -52,7 +52,7 @@ def _owned_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 def _part_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sites, edges and hub of the graph of all consecutive lines of orders."""
     sites = stored(adapters.part_sites(spark, d))
-    edges = stored(graph.edge_groups(sites, adapters.part_definitions(spark, d)))
+    edges = stored(graph.edge_groups(sites, adapters.part_definitions(spark, d), lists=False))
     return sites, edges, stored(graph.hub(edges))
 
 
@@ -277,7 +277,7 @@ def name_tokens(spark, d):
 
 
 def edge_group(spark, d):
-    return _long(graph.edge_groups(adapters.part_sites(spark, d)).select("src", "dst", "n_sites", "first_file", "first_line"))
+    return _long(graph.edge_groups(adapters.part_sites(spark, d), lists=False).select("src", "dst", "n_sites", "first_file", "first_line"))
 
 
 def edge_sites(spark, d):
@@ -287,7 +287,7 @@ def edge_sites(spark, d):
 
 
 def node_degree(spark, d):
-    return graph.node_degree(graph.edge_groups(adapters.part_sites(spark, d)))
+    return graph.node_degree(graph.edge_groups(adapters.part_sites(spark, d), lists=False))
 
 
 def bfs_callees(spark, d):
