@@ -23,9 +23,10 @@ FOLDERS = 32
 
 def grams(text: Column) -> Column:
     """The distinct trigrams of a lower-cased text; a shorter text has none."""
-    chars = F.split(F.lower(text), "")
-    every = F.transform(F.sequence(F.lit(0), F.length(F.lower(text)) - GRAM), lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
-    return F.when(F.length(F.lower(text)) >= GRAM, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    # The list of characters is an element of an array, so that it is made once and not for every trigram.
+    characters = F.array(F.slice(F.split(F.lower(text), ""), F.lit(1), F.length(F.lower(text))))
+    every = F.transform(characters, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.concat(*[F.get(c, i + k) for k in range(GRAM)])))
+    return F.when(F.length(F.lower(text)) >= GRAM, F.array_distinct(F.element_at(every, 1))).otherwise(F.array().cast("array<string>"))
 
 
 class SearchIndex:
