@@ -408,8 +408,11 @@ def hit_test(spark, d):
 
 
 def unresolved_e(spark, d):
-    """Calls of the graph's nodes that are bound to nothing."""
-    return _long(_graph_e(spark, d)["unresolved"].select("src", "site_file", "site_line", "status"))
+    """Calls of the graph's nodes that are bound to nothing; only the walk is needed for them."""
+    calls = stored(adapters.part_calls(spark, d))
+    edges = stored(graph.edge_groups(calls.where("dst is not null").drop("status"), adapters.part_definitions(spark, d), lists=False))
+    nodes, _ = graph.walk(edges, graph.hub(edges), 2, 2)
+    return _long(graph.unresolved_sites(calls, nodes).select("src", "site_file", "site_line", "status"))
 
 
 def root_path(spark, d):
