@@ -408,6 +408,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their bytes decoded again; null texts are empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return coded.select("doc_id", "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))

@@ -227,6 +227,7 @@ def predict(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; ``und`` for null texts and texts without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = predict(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")

@@ -295,6 +295,7 @@ def packet_table(files: DataFrame, data: str, key: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a Matroska file and read back; null texts are empty ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = read_media(store_texts(docs).select("doc_id", F.col("media.n_bytes").alias("n_bytes"), F.col("media.data").alias("data")), "data")
     return read.select(

@@ -371,6 +371,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into as few sequences of 1024 tokens as the search finds; null texts are empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cutted = tokenize_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     pieces = cutted.select("doc_id", "piece_.piece", "piece_.start", "piece_.length", F.crc32("piece_.ids").alias("ids_crc32"))

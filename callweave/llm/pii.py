@@ -393,6 +393,7 @@ def redact(found: DataFrame, text: str = "text", mask: str = "[PII]") -> DataFra
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and those that the trees add, of every document; null and empty texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, train(docs))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")

@@ -238,6 +238,7 @@ def joined(spans: Column) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and entropy spans of every document; null and empty texts have none."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     count = lambda kind: F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
