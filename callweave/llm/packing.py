@@ -37,6 +37,8 @@ FLUSH_IDS = 1 << 20
 EASE = (0, 4, 8, 2, 16)
 #: Steps after which the sums of what is left are computed anew, and pieces of fillings tested for dominance.
 RENEW, TESTED = 64, 6
+#: Steps of an enumeration of fillings that a search has for each length.
+STEPS = 1000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -101,6 +103,7 @@ class _Stock:
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left, self.capacity, self.age = dict(counts), capacity, RENEW
+        self.steps = STEPS * len(counts)
         self.sizes: list[int] = []
         self.sums: list[int] = []
 
@@ -135,7 +138,8 @@ class _Stock:
                 yield ()
                 return
             k = max(k, bisect_left(sizes, -room, key=lambda s: -s))
-            while k < len(sizes) and sums[k] >> room & 1:
+            while k < len(sizes) and sums[k] >> room & 1 and self.steps > 0:
+                self.steps -= 1
                 s = sizes[k]
                 for n in range(min(self.left[s], room // s), 0, -1):
                     if sums[k + 1] >> room - n * s & 1:
@@ -213,7 +217,8 @@ def _improve(counts: dict[int, int], capacity: int, bins: int, ease: int) -> lis
     """A packing into ``bins`` at most, by depth-first search; None where none is found.
 
     A filling may waste ``ease`` times its share of what can be wasted before fillings that waste less are
-    tried. The search ends when it has turned back once for each length.
+    tried. The search ends when it has turned back once for each length, or has made its steps: sums that are stale let
+    an enumeration run into dead ends, so that turning back alone doesn't bound it.
     """
     stock = _Stock(counts, capacity)
     slack = bins * capacity - sum(s * n for s, n in counts.items())
@@ -243,7 +248,7 @@ def _improve(counts: dict[int, int], capacity: int, bins: int, ease: int) -> lis
 
     pieces = sum(counts.values())
     turns = len(counts)
-    while turns:
+    while turns and (stock.steps > 0 or not pieces):
         if not pieces:
             return [(p, n) for _, p, n in taken]
         if len(frames) == len(taken):
