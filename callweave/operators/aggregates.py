@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.plans.stored import stored
+
 
 def histogram(files: DataFrame, by: str = "language") -> DataFrame:
     return files.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
@@ -32,8 +34,9 @@ def running_totals(rows: DataFrame, key: str, order: str, bucket: Column, value:
     return joined.select(*columns, (F.col("n1") + F.col("n0")).alias("running_count"), (F.col("v1") + F.col("v0")).alias("running_sum"))
 
 
-def range_buckets(df: DataFrame, key: str, bounds: int = 255) -> DataFrame:
-    """``df`` with ``bucket``: ranges of a string column, cut at ``bounds`` of its values chosen by hash; nulls go to the first."""
-    picked = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(bounds).collect()
-    at = F.array(*[F.lit(r[0]) for r in sorted(picked)]).cast("array<string>")
-    return df.withColumn("bucket", F.coalesce(F.size(F.filter(at, lambda b: b <= F.col(key))), F.lit(0)))
+def range_buckets(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``bucket``, ranges of ``key`` numbered in its order (nulls first); equal keys share one.
+
+    These are the session's shuffle partitions, dealt by range and written once, so that their number follows the cluster.
+    """
+    return stored(df.repartitionByRange(F.col(key)).withColumn("bucket", F.spark_partition_id()))

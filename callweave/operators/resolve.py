@@ -14,17 +14,51 @@ def qualified_id(*parts: Column | str) -> Column:
     return F.concat_ws("::", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
 
 
-def line_owners(defs: DataFrame, key: str = "def_id") -> DataFrame:
-    """(rel_path, line_no, key): of the definitions that cover a line the one that starts last.
+#: Lines are seen as blocks of 8 ** k lines for k up to this; the largest blocks bound what one window holds.
+LEVELS = 3
 
-    Ranges become lines first, so that the join with lines is by equality; nesting is shallow, so this
-    grows with the text and not with lines times definitions. An end before the start covers the
-    start alone. Of two that start on one line the later column wins.
+
+def _blocks(start: Column, stop: Column) -> Column:
+    """Blocks (level, number) that make up the lines from ``start`` to before ``stop``: at most 14 of every smaller level."""
+    first = [F.shiftright(start + (8**k - 1), 3 * k) for k in range(LEVELS + 1)]
+    last = [F.shiftright(stop, 3 * k) for k in range(LEVELS + 1)]
+
+    def run(level: int, low: Column, high: Column) -> Column:
+        block = lambda n: F.struct(F.lit(level).alias("level"), n.cast("long").alias("number"))
+        return F.when(low < high, F.transform(F.sequence(low, high - 1), block)).otherwise(F.array(F.lit(None).cast("struct<level:int,number:bigint>")))
+
+    parts = [run(LEVELS, first[LEVELS], last[LEVELS])]
+    for k in range(LEVELS):
+        # Larger blocks take the middle; without one the whole is the run on the left.
+        middle = first[k + 1] <= last[k + 1]
+        parts += [run(k, first[k], F.when(middle, first[k + 1] * 8).otherwise(last[k])), run(k, F.when(middle, last[k + 1] * 8), last[k])]
+    return F.flatten(F.array(*parts))
+
+
+def line_owners(defs: DataFrame, places: DataFrame, key: str = "def_id") -> DataFrame:
+    """``places`` with ``key``: of the definitions that cover a place's line the one that starts last, null where none does.
+
+    ``places`` has rel_path and line_no, any other columns and any number of rows a line; ``defs`` rel_path, start_line,
+    start_col, end_line and ``key``. An end before the start covers the start alone. Of two that start on
+    one line the later column wins, then the larger key. Ranges may be long, nested to any depth, or cross.
+
+    A range is a few blocks of lines, a number that grows with the logarithm of its length, and of the ranges of one block
+    only the last to start is kept. One sweep over the lines of a largest block carries the latest block of
+    every level; those that reach a line are its candidates. No range becomes one row for each of its lines.
     """
-    rows = defs.select("rel_path", key, "start_line", "start_col", F.greatest("start_line", "end_line").alias("end_line"))
-    covered = rows.select("rel_path", key, "start_line", "start_col", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    best = F.max_by(F.col(key), F.struct("start_line", "start_col", key))
-    return covered.groupBy("rel_path", "line_no").agg(best.alias(key))
+    start, stop = F.col("start_line"), F.greatest("start_line", "end_line") + 1
+    best = F.struct("start_line", "start_col", F.col(key).alias("id")).alias("best")
+    pieces = defs.where("rel_path is not null").select("rel_path", best, F.explode(_blocks(start, stop)).alias("block")).where("block is not null")
+    marks = pieces.groupBy("rel_path", "block").agg(F.max("best").alias("best"))
+    at = F.expr("shiftleft(block.number, 3 * block.level)")
+    asked = places.drop(key)
+    rows = asked.select("rel_path", F.col("line_no").cast("long").alias("at"), F.lit(1).alias("turn"), F.struct(*asked.columns).alias("place"))
+    marks = marks.select("rel_path", at.alias("at"), F.lit(0).alias("turn"), F.col("block.level").alias("level"), "best")
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("bucket", F.shiftright("at", 3 * LEVELS))
+    sweep = Window.partitionBy("rel_path", "bucket").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    latest = {f"l{k}": F.last(F.when(F.col("level") == k, F.struct("at", "best")), ignorenulls=True).over(sweep) for k in range(LEVELS + 1)}
+    reaching = [F.when(F.shiftright(f"l{k}.at", 3 * k) == F.shiftright("at", 3 * k), F.col(f"l{k}.best")) for k in range(LEVELS + 1)]
+    return both.withColumns(latest).where("turn = 1").select("place.*", F.greatest(*reaching)["id"].alias(key))
 
 
 def resolve_name(sites: DataFrame, defs: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:

@@ -40,7 +40,7 @@ def search(lines: DataFrame, defs: DataFrame, sites: DataFrame, owners: DataFram
     if owners is None:
         matching = lines.where(contains("line", query)).select("rel_path", "line_no")
         near = defs.join(matching.select("rel_path").distinct(), "rel_path", "left_semi")
-        owners = line_owners(near).join(matching, ["rel_path", "line_no"], "left_semi")
+        owners = line_owners(near, matching).where("def_id is not null")
         sites = sites.where(contains("line", query)).drop("def_id").join(owners, ["rel_path", "line_no"])
     turn = lambda part, a, b, c, d: F.struct(F.lit(part).alias("p"), a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(c).alias("c"), d.cast("long").alias("d")).alias("turn")
     kind = F.when(contains("name", query), "definition").otherwise("text").alias("kind")

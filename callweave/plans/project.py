@@ -47,7 +47,7 @@ class Project:
 
     @cached_property
     def owners(self) -> DataFrame:
-        return resolve.line_owners(self.definitions)
+        return resolve.line_owners(self.definitions, self.lines.select("rel_path", "line_no")).where("def_id is not null")
 
     @cached_property
     def edge_sites(self) -> DataFrame:

@@ -41,12 +41,10 @@ def _sites(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataF
     return adapters.call_sites(adapters.document_lines(spark, d) if lines is None else lines).withColumnRenamed("turn", "start_col")
 
 
-def _owned_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sites with their owning definition, definitions, line owners."""
+def _owned_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sites with their owning definition, and definitions."""
     defs = stored(_defs(spark, d))
-    owners = stored(resolve.line_owners(defs))
-    sites = _sites(spark, d).join(owners, ["rel_path", "line_no"], "left")
-    return stored(sites), defs, owners
+    return stored(resolve.line_owners(defs, _sites(spark, d))), defs
 
 
 def _part_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,7 +157,9 @@ def session_totals(spark, d):
 
 
 def line_owner(spark, d):
-    return _long(resolve.line_owners(_defs(spark, d)))
+    lines = adapters.document_lines(spark, d).select("rel_path", "line_no")
+    owners = resolve.line_owners(_defs(spark, d), lines)
+    return _long(owners.where("def_id is not null"))
 
 
 def resolve_name(spark, d):
@@ -169,19 +169,19 @@ def resolve_name(spark, d):
 
 
 def resolve_qualified(spark, d):
-    sites, defs, _ = _owned_sites(spark, d)
+    sites, defs = _owned_sites(spark, d)
     caller = defs.select("def_id", F.col("class_name").alias("caller_class"))
     found = resolve.resolve_qualified(sites.join(caller, "def_id", "left"), defs)
     return _long(found.select("rel_path", "line_no", "start_col", "callee", "status", "target_id"))
 
 
 def calls_by_caller(spark, d):
-    sites, _, _ = _owned_sites(spark, d)
+    sites, _ = _owned_sites(spark, d)
     return sites.where("def_id is not null").groupBy("def_id").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("callee").alias("n_names"))
 
 
 def unique_calls(spark, d):
-    sites, defs, _ = _owned_sites(spark, d)
+    sites, defs = _owned_sites(spark, d)
     return explain.unique_calls(sites, defs).select("def_id", F.array_join("calls", ",").alias("calls"))
 
 
@@ -191,7 +191,7 @@ def unresolved_calls(spark, d):
 
 
 def explain_defs(spark, d):
-    sites, defs, _ = _owned_sites(spark, d)
+    sites, defs = _owned_sites(spark, d)
     lines = adapters.document_lines(spark, d)
     found = explain.explain(defs, explain.unique_calls(sites, defs), explain.leading_comments(defs, lines))
     return found.select("def_id", "summary", "basis", F.array_join("facts", " | ").alias("facts"))

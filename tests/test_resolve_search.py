@@ -1,5 +1,7 @@
 """Binding, attribution, positions and search on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from callweave.operators import explain, resolve, search
@@ -43,10 +45,37 @@ def test_name_mode_prefers_the_file_and_stops_at_three(spark):
     assert [r.callee for r in resolve.unresolved(sites, d).collect()] == ["g"]
 
 
+def lines_to(spark, n, *paths):
+    return spark.range(1, n + 1).select(F.explode(F.array(*[F.lit(p) for p in paths])).alias("rel_path"), F.col("id").cast("int").alias("line_no"))
+
+
 def test_line_owners_last_start_wins(spark):
     d = defs(spark, ("outer", "outer", "a", None, 1, 6), ("inner", "inner", "a", None, 3, 5), ("tail", "tail", "a", None, 8, 0))
-    got = {r.line_no: r.def_id for r in resolve.line_owners(d).collect()}
-    assert [got.get(k) for k in range(1, 9)] == ["outer", "outer", "inner", "inner", "inner", "outer", None, "tail"]
+    got = {r.line_no: r.def_id for r in resolve.line_owners(d, lines_to(spark, 9, "a")).collect()}
+    assert [got[k] for k in range(1, 10)] == ["outer", "outer", "inner", "inner", "inner", "outer", None, "tail", None]
+
+
+def test_line_owners_against_every_pair(spark):
+    """Nested, crossing, long and repeated ranges over several of the largest blocks; places keep their columns and repeats."""
+    rng, n = random.Random(5), 7 * 8**resolve.LEVELS + 100
+    ranges = [("a", k, k, n - k) for k in range(1, 60)]
+    for k in range(60, 500):
+        first = rng.randint(1, n)
+        ranges.append((rng.choice("ab"), k, first, min(n, first + int(2 ** rng.uniform(0, 12)))))
+    ranges += [("a", 500, 77, 77), ("a", 501, 77, 90), (None, 502, 1, n), ("b", 503, None, 9)]
+    d = spark.createDataFrame([(p, f"{k:03}", a, 1, b) for p, k, a, b in ranges], "rel_path string, def_id string, start_line int, start_col int, end_line int")
+    asked = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *[rng.randint(1, n)] * 9]), k) for k in range(4000)]
+    places = spark.createDataFrame([(*x, "own") for x in asked * 2], "rel_path string, line_no int, level int, best string")
+    got = resolve.line_owners(d, places).collect()
+    assert len(got) == 2 * len(asked) and {r.best for r in got} == {"own"}
+
+    def plain(p, line):
+        return max(((a, f"{k:03}") for q, k, a, b in ranges if None not in (p, line, a) and q == p and a <= line <= b), default=(0, None))[1]
+
+    want = {k: (p, line, plain(p, line)) for p, line, k in asked}
+    assert {r.level: (r.rel_path, r.line_no, r.def_id) for r in got} == want
+    assert resolve.line_owners(d, places.limit(0)).isEmpty()
+    assert {r.def_id for r in resolve.line_owners(d.limit(0), places).collect()} == {None}
 
 
 def test_symbol_at(spark):
@@ -69,7 +98,7 @@ def test_search_scopes_claims_and_blank_queries(spark):
     lines = spark.createDataFrame(lines, "rel_path string, line_no int, line string")
     d = defs(spark, ("1", "save", "a", None, 1, 3), ("3", "saved", "c", None, 1, 1))
     sites = spark.createDataFrame([("1", "a", "send", 2, 2, "  send(save)")], "def_id string, rel_path string, callee string, line_no int, start_col int, line string")
-    owners = resolve.line_owners(d)
+    owners = resolve.line_owners(d, lines)
     rows = lambda **kw: [(r.kind, r.def_id, r.rel_path, r.line_no) for r in search.search(lines, d, sites, owners, **kw).collect()]
     assert rows(query=" SAVE ") == [("definition", "1", "a", 1), ("text", "1", "a", 2), ("text", "1", "a", 4), ("definition", "3", "c", 1)]
     assert rows(query="save", current_file="c") == [("definition", "3", "c", 1)]
