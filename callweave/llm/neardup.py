@@ -41,7 +41,8 @@ OP3_THRESHOLD = 85
 GROUP_ROWS, GROUP_ELEMENTS = 1024, 2_000_000
 #: A pair is excluded where the threshold's likelihood is below the best one's by this many nats.
 NATS = 20.0
-CHUNK_BYTES = 1 << 19
+#: Bytes of text whose arrays are made at once; their arrivals take some hundred times that.
+CHUNK_BYTES = 1 << 17
 
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _BURST = 16
@@ -121,14 +122,25 @@ def linked(sizes_a, sizes_b, difference, threshold: int = THRESHOLD):
     return (100 - threshold) * (sizes_a + sizes_b) >= (100 + threshold) * difference
 
 
+def _postings(sets: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all elements in the sets' order, the sets that hold each element, one element after the other, and how many do."""
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    turn = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[turn]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    del flat
+    inverse = np.empty(len(turn), np.int32)
+    inverse[turn] = np.cumsum(first, dtype=np.int32) - 1
+    counts = np.diff(np.append(np.flatnonzero(first), len(turn)))
+    return inverse, np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[turn], counts
+
+
 def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: np.ndarray | None, threshold: int = THRESHOLD) -> list[tuple]:
     """Links that span the connected members of one bounded group; ``sets`` may be differences to a leader."""
     k = len(ids)
     lengths = np.fromiter(map(len, sets), np.int64, k)
-    flat = np.concatenate(sets) if k else np.zeros(0, np.uint64)
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(k), lengths)
-    by_element = owner[np.argsort(inverse, kind="stable")]
+    inverse, by_element, counts = _postings(sets, lengths)
     begin = np.cumsum(counts) - counts
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     parent = list(range(k))
@@ -158,15 +170,18 @@ def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: n
     return out
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+def _encoded(texts: list) -> Iterator[list[bytes]]:
+    """The texts as UTF-8 in lists of ``CHUNK_BYTES`` at most, unless one text alone is longer; what is no text is empty."""
+    part, size = [], 0
+    for t in texts:
+        raw = t.encode() if isinstance(t, str) else b""
+        if part and size + len(raw) > CHUNK_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        yield part
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -176,10 +191,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     @frugal
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
             rows = []
-            for a, b in _chunks(raw):
-                sets = shingle_sets(raw[a:b])
+            for raw in _encoded(texts.tolist()):
+                sets = shingle_sets(raw)
                 keys = band_keys(registers(sets))
                 for own, bands in zip(sets, keys, strict=True):
                     x, y = mix(own), mix(own ^ _TURN)
@@ -197,14 +211,17 @@ def _small_links(groups: DataFrame, from_text: bool, threshold: int) -> DataFram
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc")
         if from_text:
-            raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
+            docs, texts = pdf["doc"].tolist(), pdf.pop("text").tolist()
             sets, regs = [], []
-            for a, b in _chunks(raw):  # arrays of arrivals are many times a set's size
-                sets += shingle_sets(raw[a:b])
-                regs.append(registers(sets[a:b]))
+            for raw in _encoded(texts):  # arrays of arrivals are many times a set's size
+                own = shingle_sets(raw)
+                sets += own
+                regs.append(registers(own))
+            del texts
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            found = links_in_group(pdf["doc"].tolist(), sizes, sets, np.concatenate(regs), threshold)
-            if len(pdf) > GROUP_ROWS // 8:
+            found = links_in_group(docs, sizes, sets, np.concatenate(regs), threshold)
+            if len(docs) > GROUP_ROWS // 8 or sizes.sum() > GROUP_ELEMENTS // 8:
+                del sets, regs
                 release()
         else:
             sets = [np.sort(np.asarray(d, np.int64).view(np.uint64)) for d in pdf["delta"]]

@@ -301,3 +301,26 @@ def test_pipeline(spark):
     rows = pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} == set(after)
     assert max(Counter(s for r in rows for s in [r.sequence_id] * r.length).values()) <= packing.CAPACITY
+
+
+def test_memory_of_a_group():
+    """A group's verification takes a small multiple of its sets, and gives the links of all pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(1, 1 << 63, 8000, dtype=np.uint64) for _ in range(10)]
+    sets = [np.unique(np.concatenate([kinds[i % 10][rng.random(8000) < 0.95], rng.integers(1, 1 << 63, 50 * (i % 7), dtype=np.uint64)])) for i in range(60)]
+    sizes = np.array([len(s) for s in sets])
+    tracemalloc.start()
+    found = neardup.links_in_group(list(range(60)), sizes, sets, None, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sizes.sum()
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert all(share(a, b) >= 0.8 for a, b in found)
+    want = {(a, b) for a, b in combinations(range(60), 2) if share(a, b) >= 0.8}
+    joined = {i: {i} for i in range(60)}
+    for a, b in found:
+        both = joined[a] | joined[b]
+        joined.update(dict.fromkeys(both, both))
+    assert all(b in joined[a] for a, b in want) and want
