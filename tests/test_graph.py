@@ -280,3 +280,23 @@ def test_edges_of_a_node_and_totals(spark):
     one = spark.createDataFrame([(1,)], "id long")
     assert sorted((r.side, r.other) for r in graph.node_edges(edges, one).collect()) == [("in", 1), ("in", 3), ("out", 1), ("out", 2)]
     assert tuple(graph.graph_totals(one, edges, one.limit(0)).first()) == (1, 4, 4, 0)
+
+
+def test_calls_of_parts_are_sorted_once_and_equal_a_join(spark, tmp_path):
+    """Repeated lines, gaps and nulls; one read and one exchange of the lines, no join."""
+    import random
+
+    from callweave.sources import adapters
+
+    rng = random.Random(4)
+    pick = lambda n: rng.choice([None, *range(n)])
+    rows = [(pick(8), pick(6), pick(5)) for _ in range(150)] + [(9, 2, 1), (9, 2, 1), (9, 3, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    following = lambda o, k: {p for q, m, p in rows if None not in (o, k) and (q, m) == (o, k + 1)} or {None}
+    status = lambda k, p: "resolved" if p is not None else "unresolved-ambiguous" if k is not None and k % 2 == 0 else "unresolved-notfound"
+    want = {(s, p, status(k, p), o, k) for o, k, s in rows for p in following(o, k)}
+    calls = adapters.part_calls(spark, str(tmp_path))
+    got = [tuple(r) for r in calls.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = calls._jdf.queryExecution().sparkPlan().toString() + calls._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and calls._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
