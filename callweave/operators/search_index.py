@@ -9,7 +9,10 @@ path order until there are enough hits.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,52 @@ def grams(text: Column) -> Column:
     return F.when(F.length(F.lower(text)) >= GRAM, F.array_distinct(F.element_at(every, 1))).otherwise(F.array().cast("array<string>"))
 
 
+#: Characters of texts whose trigrams are sorted at once.
+SORTED_CHARACTERS = 1 << 20
+
+
+def _lists(span: int, numbers: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """Lists of file numbers by trigram of a few texts of one range: places of trigrams are sorted as numbers of three characters and a text."""
+    characters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    known = np.flatnonzero(np.bincount(characters))
+    if len(known) ** 3 * len(texts) >= 1 << 63:
+        half = len(texts) // 2
+        yield from _lists(span, numbers[:half], texts[:half])
+        yield from _lists(span, numbers[half:], texts[half:])
+        return
+    rank = np.zeros(known[-1] + 1, np.int64)
+    rank[known] = np.arange(len(known))
+    c, owner = rank[characters], np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    places = (((c[:-2] * len(known) + c[1:-1]) * len(known) + c[2:]) * len(texts) + owner[2:])[owner[:-2] == owner[2:]]
+    places.sort()
+    places = places[np.append(True, places[1:] != places[:-1])]
+    code, owner = np.divmod(places, len(texts))
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    code = code[starts]
+    parts = known[np.stack([code // len(known) ** 2, code // len(known) % len(known), code % len(known)], axis=1)].astype("<u4")
+    text = parts.tobytes().decode("utf-32-le", "surrogatepass")
+    own = pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)), pa.int32()), pa.array(np.array(numbers, np.int32)[owner]))
+    yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(starts), span, np.int32)), lists], ["gram", "range", "numbers"])
+
+
+def lists_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_lists`` of rows (range, number, lower-cased text), a bounded number of characters at a time; long texts overlap by two."""
+    held, numbers, size, before = [], [], 0, None
+    for batch in batches:
+        for span, number, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for at in range(0, max(len(text) - GRAM + 1, 0), SORTED_CHARACTERS):
+                part = text[at : at + SORTED_CHARACTERS + GRAM - 1]
+                if held and (span != before or size + len(part) > SORTED_CHARACTERS):
+                    yield from _lists(before, numbers, held)
+                    held, numbers, size = [], [], 0
+                held.append(part)
+                numbers.append(number)
+                size, before = size + len(part), span
+    if held:
+        yield from _lists(before, numbers, held)
+
+
 class SearchIndex:
     """Texts by range of paths, and lists of file numbers by trigram and range, in two tables of one folder."""
 
@@ -46,8 +95,10 @@ class SearchIndex:
         ordered = ordered.sortWithinPartitions("rel_path", "text").withColumn("at", F.monotonically_increasing_id())
         numbered = ordered.select((F.col("at") / (1 << 33)).cast("int").alias("range"), F.pmod("at", F.lit(1 << 33)).cast("int").alias("number"), "rel_path", "language", "text")
         numbered.write.partitionBy("range").parquet(f"{folder}/files")
-        stable = spark.read.parquet(f"{folder}/files").select("range", "number", F.explode(grams(F.col("text"))).alias("gram"))
-        lists = stable.groupBy("gram", "range").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+        stable = spark.read.parquet(f"{folder}/files").select("range", "number", F.lower("text").alias("text"))
+        # Tasks hand on one list for many files' trigrams instead of a row for each; lists of one range are joined.
+        pieces = stable.mapInArrow(lists_of_batches, "gram string, range int, numbers array<int>")
+        lists = pieces.groupBy("gram", "range").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"))
         lists = lists.withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int"))
         lists.repartition("folder").sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(f"{folder}/lists")
         return cls(spark, folder)

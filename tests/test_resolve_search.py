@@ -187,3 +187,23 @@ def test_comments_deal_lines_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     long = spark.createDataFrame([("  " + "x" * 118 + " " + "y" * 40,), (" short ",), ("z" * 120,)], "s string")
     assert long.where(explain.declared("s") != explain.declared(explain.declared("s"))).isEmpty()
+
+
+def test_index_lists_are_made_for_many_files_at_once(spark, tmp_path, monkeypatch):
+    """One row for a trigram of a batch, whatever the number of its files; long texts in parts give the lists of the whole."""
+    import pyarrow as pa
+
+    from callweave.operators import search_index
+
+    texts = [(0, 1, "abcabc"), (0, 2, "xabc"), (1, 1, "é🙂x"), (1, 2, "ab"), (1, 3, "")]
+    batch = pa.RecordBatch.from_pydict({"range": [t[0] for t in texts], "number": [t[1] for t in texts], "text": [t[2] for t in texts]})
+    rows = [r for out in search_index.lists_of_batches(iter([batch])) for r in out.to_pylist()]
+    assert sorted((r["gram"], r["range"], tuple(r["numbers"])) for r in rows) == [("abc", 0, (1, 2)), ("bca", 0, (1,)), ("cab", 0, (1,)), ("xab", 0, (2,)), ("é🙂x", 1, (1,))]
+    monkeypatch.setattr(search_index, "SORTED_CHARACTERS", 4)
+    again = [r for out in search_index.lists_of_batches(iter([batch])) for r in out.to_pylist()]
+    assert {(r["gram"], r["range"], n) for r in again for n in r["numbers"]} == {(r["gram"], r["range"], n) for r in rows for n in r["numbers"]}
+    files = spark.createDataFrame([(f"f{t[0]}{t[1]}", "go", t[2].upper()) for t in texts] + [("g", "go", None)], "rel_path string, language string, text string")
+    index = search_index.SearchIndex.build(files, str(tmp_path / "index"), 2)
+    stored = {(r.gram, r.range, n) for r in index.lists.collect() for n in r.numbers}
+    plain = index.files.select("range", "number", F.explode(search_index.grams(F.col("text"))).alias("gram"))
+    assert stored == {(r.gram, r.range, r.number) for r in plain.collect()} and index.lists.groupBy("gram", "range").count().where("count > 1").isEmpty()
