@@ -96,25 +96,27 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 
 def possible(regs: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Which of ``others`` may reach the threshold with ``one``, by the joint likelihood of the registers."""
+    """Which of ``others`` may reach the threshold with ``one``, by the joint likelihood of the registers.
+
+    In the similarity j, the likelihood's logarithm is same * log(j) + more * log(a - b * j) + less * log(b - a * j)
+    and a constant. It is concave, so that its maximum is a root of a quadratic, and the best value from
+    the threshold on is at the larger of the two.
+    """
     a, b = float(sizes[one]), sizes[others].astype(float)
     fits = 100 * np.minimum(a, b) >= threshold * np.maximum(a, b)
     others, b = others[fits], b[fits]
     if not len(others):
         return others
-    same = (regs[others] == regs[one]).sum(axis=1)[:, None]
-    more = (regs[others] < regs[one]).sum(axis=1)[:, None]
+    theirs = regs[others]
+    same = np.count_nonzero(theirs == regs[one], axis=1)
+    more = np.count_nonzero(theirs < regs[one], axis=1)
     less = REGISTERS - same - more
-    grid = np.linspace(0.005, 1, 200)[None, :]
-    shared = grid * (a + b)[:, None] / (1 + grid)
-    union = (a + b)[:, None] - shared
-    only_a, only_b = a - shared, b[:, None] - shared
-    ok = (only_a >= 0) & (only_b >= 0)
-    log = lambda x: np.log(np.maximum(x / union, 1e-9))
-    score = np.where(ok, same * log(shared) + more * log(only_a) + less * log(only_b), -np.inf)
-    top = np.where(grid * 100 >= threshold - 0.5, score, -np.inf).max(axis=1)
-    near_equal = np.isinf(top)  # the grid may step over a feasible range of near-equal sizes
-    return others[near_equal | (top >= score.max(axis=1) - NATS)]
+    ratio = a / b
+    slope = same * (ratio + 1 / ratio) + more / ratio + less * ratio
+    best = 2 * same / (slope + np.sqrt(np.maximum(slope * slope - 4.0 * REGISTERS * same, 0)))
+    log = lambda x: np.log(np.maximum(x, 1e-9))
+    score = lambda j: same * log(j) + more * log((a - b * j) / (a + b)) + less * log((b - a * j) / (a + b))
+    return others[score(np.maximum(best, threshold / 100 - 0.005)) >= score(best) - NATS]
 
 
 def linked(sizes_a, sizes_b, difference, threshold: int = THRESHOLD):
@@ -137,24 +139,20 @@ def _postings(sets: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray,
 
 
 def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: np.ndarray | None, threshold: int = THRESHOLD) -> list[tuple]:
-    """Links that span the connected members of one bounded group; ``sets`` may be differences to a leader."""
+    """Links that span the connected members of one bounded group; ``sets`` may be differences to a leader.
+
+    Members that are connected already aren't compared again.
+    """
     k = len(ids)
     lengths = np.fromiter(map(len, sets), np.int64, k)
     inverse, by_element, counts = _postings(sets, lengths)
     begin = np.cumsum(counts) - counts
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    parent = list(range(k))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    part = np.arange(k)
     out = []
     for i in range(k - 1):
-        others = np.arange(i + 1, k)
-        if regs is not None:
+        others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        if regs is not None and len(others):
             others = possible(regs, sizes, i, others, threshold)
         if not len(others):
             continue
@@ -163,9 +161,8 @@ def links_in_group(ids: list, sizes: np.ndarray, sets: list[np.ndarray], regs: n
         at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         shared = np.bincount(by_element[at], minlength=k)[others]
         for j in others[linked(sizes[i], sizes[others], lengths[i] + lengths[others] - 2 * shared, threshold)].tolist():
-            x, y = find(i), find(j)
-            if x != y:
-                parent[y] = x
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
                 out.append((ids[i], ids[j]))
     return out
 
@@ -319,8 +316,7 @@ def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
     rows = cut(sketch(docs))
     known = rows.where("doc_id is not null and n > 0")
     classes = cut(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))  # written, so that a hot class may be split in the join
-    members = cut(known.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "rep").distinct())
-    same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same_id = known.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2")
     # From here on n is the work of a member: a text of few shingles may still be long, and whole texts meet in a group.
     work = F.greatest("n", F.floor(F.col("bytes") / 8)).alias("n")
@@ -363,7 +359,7 @@ def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
     for more in links[1:]:
         edges = edges.unionByName(more)
     components = connected_components(edges).withColumnRenamed("id", "doc_id")
-    discard(classes, members, banded, buckets, placed, texts, *links[2:], *rounds)
+    discard(classes, banded, buckets, placed, texts, *links[2:], *rounds)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(components, "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

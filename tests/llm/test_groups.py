@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from callweave.llm import neardup, packing, simhash, substrings, url_filter
+from callweave.llm import common, neardup, packing, simhash, substrings, url_filter
 from callweave.llm.common import connected_components
 from callweave.llm.shingles import shingle_sets
 
@@ -73,6 +73,18 @@ def test_components(spark):
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars are recognised by their first minima: one written table beside the edges, and no round that changes nothing."""
+    written = []
+    monkeypatch.setattr(common, "cut", lambda df, own=common.cut: written.append(1) or own(df))
+    star = [(k % 7, 10 + k) for k in range(90)]
+    assert {(r.id, r.component) for r in connected_components(spark.createDataFrame(star, "a long, b long")).collect()} == {(x, a) for a, b in star for x in (a, b)}
+    assert len(written) == 2
+    chain = [(k, k + 1) for k in range(5)]
+    assert {r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def plain_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -324,3 +336,46 @@ def test_memory_of_a_group():
         both = joined[a] | joined[b]
         joined.update(dict.fromkeys(both, both))
     assert all(b in joined[a] for a, b in want) and want
+
+
+def test_work_of_a_group(monkeypatch):
+    """Members connected already aren't compared again, and a comparison makes a few numbers a pair, not a grid of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.99], rng.integers(1, 1 << 63, 1, dtype=np.uint64)])) for _ in range(300)]
+    sizes, regs = np.array([len(s) for s in sets]), neardup.registers(sets)
+    compared = []
+    monkeypatch.setattr(neardup, "possible", lambda *a, own=neardup.possible: compared.append(len(a[3])) or own(*a))
+    assert len(neardup.links_in_group(list(range(300)), sizes, sets, regs, 80)) == 299
+    assert sum(compared) < 10 * 300
+    tracemalloc.start()
+    neardup.possible(regs, sizes, 0, np.arange(1, 300), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 299 * 1600
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_likelihood_against_a_grid(threshold):
+    """The exclusion in closed form equals the one by trying many similarities, but for pairs at the very edge."""
+    rng = np.random.default_rng(7)
+    regs = rng.integers(0, 3, (400, neardup.REGISTERS)).astype(np.uint16)
+    for i in range(1, 400):  # all shares of equal registers
+        keep = rng.random(neardup.REGISTERS) < i / 400
+        regs[i, keep] = regs[0, keep]
+    sizes = rng.integers(80, 101, 400)
+    found = set(neardup.possible(regs, sizes, 0, np.arange(1, 400), threshold).tolist())
+    at = np.arange(1, 100_000) / 100_000
+    for i in range(1, 400):
+        a, b = sizes[0], sizes[i]
+        if 100 * min(a, b) < threshold * max(a, b):
+            assert i not in found
+            continue
+        j = at[(a > b * at) & (b > a * at)]
+        same, more, less = (regs[i] == regs[0]).sum(), (regs[i] < regs[0]).sum(), (regs[i] > regs[0]).sum()
+        score = same * np.log(j) + more * np.log((a - b * j) / (a + b)) + less * np.log((b - a * j) / (a + b))
+        gap = score.max() - score[j >= threshold / 100 - 0.005].max()
+        assert abs(gap - neardup.NATS) < 0.1 or (i in found) == (gap <= neardup.NATS)
+    assert 20 < len(found) < 380
