@@ -13,6 +13,7 @@ from contextlib import contextmanager, suppress
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,14 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks until ``unpersist``; what is lost with an executor is computed again.
+
+    For tables that few steps read and that are quickly made of written ones: no files are named and moved.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
     """Let what is executed inside hand at most ``rows`` rows at a time to Python; the setting returns afterwards."""
@@ -127,7 +136,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 pairs.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
             )
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
-        large = cut(large)
+        large = hold(large)
         smallest = cut(large.groupBy("hi").agg(F.min("lo").alias("least")))
         small = (
             large.join(smallest, "hi")
@@ -137,7 +146,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         small = cut(small)
-        discard(pairs, least, large, smallest)
+        large.unpersist()
+        discard(pairs, least, smallest)
         pairs = small
 
 

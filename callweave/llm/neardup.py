@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import connected_components, cut, discard, frugal, release, small_batches, table, text_or_empty
+from callweave.llm.common import connected_components, cut, discard, frugal, hold, release, small_batches, table, text_or_empty
 from callweave.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 36, 5
@@ -285,11 +285,12 @@ def _split_by_buckets(large: DataFrame, banded: DataFrame, buckets: DataFrame) -
     be the groups. Only buckets too large for a task are still joined into clusters; a bucket whose
     members all lie in one such cluster is covered by it, and of buckets with equal members one is kept.
     """
-    members = cut(banded.join(large.select(F.col("doc").alias("doc_id"), "score"), "doc_id").join(buckets, "key").select(F.col("key").alias("grp"), F.col("doc_id").alias("doc"), "n", "score", "least"))
+    members = hold(banded.join(large.select(F.col("doc").alias("doc_id"), "score"), "doc_id").join(buckets, "key").select(F.col("key").alias("grp"), F.col("doc_id").alias("doc"), "n", "score", "least"))
     small, giant = _sized(members)
     giant = cut(giant)
     whole = connected_components(giant.select(F.col("doc").alias("a"), F.col("least").alias("b"))).select(F.col("id").alias("w_doc"), F.col("component").alias("whole"))
     small = cut(small.join(whole, F.col("doc") == F.col("w_doc"), "left").select("grp", "doc", "n", "score", "whole"))
+    members.unpersist()
     h = F.xxhash64("doc")
     kept = small.groupBy("grp").agg(
         F.count(F.lit(1)).alias("m"), F.count("whole").alias("inside"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("y")
@@ -323,18 +324,19 @@ def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
     banded = known.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").select("doc_id", work, F.explode("bands").alias("key"))
     banded = cut(banded)
     buckets = cut(banded.groupBy("key").agg(F.count_distinct("doc_id").alias("m"), F.min("doc_id").alias("least")).where("m > 1"))
-    hits = cut(banded.join(buckets, "key").groupBy("doc_id", "least").agg(F.max("n").alias("n"), F.sum("m").alias("score")))
+    hits = hold(banded.join(buckets, "key").groupBy("doc_id", "least").agg(F.max("n").alias("n"), F.sum("m").alias("score")))
     clusters = connected_components(hits.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     scored = hits.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("score").alias("score"))
-    placed = cut(scored.join(clusters, F.col("doc_id") == F.col("id")).select(F.col("component").alias("grp"), F.col("doc_id").alias("doc"), "n", "score"))
+    placed = hold(scored.join(clusters, F.col("doc_id") == F.col("id")).select(F.col("component").alias("grp"), F.col("doc_id").alias("doc"), "n", "score"))
     small, large = _sized(placed)
     large = cut(large)
     found = [small]
     if not large.isEmpty():
         parts, large = _split_by_buckets(large, banded, buckets)
         found.append(parts)
-    discard(hits)
+    hits.unpersist()
     texts = cut(_union(found).join(docs, F.col("doc") == F.col("doc_id")).select("grp", "doc", "text"))
+    placed.unpersist()
     links = [_small_links(texts, True, threshold), same_id]
 
     @F.pandas_udf("array<long>")
@@ -359,7 +361,7 @@ def _near_duplicates(docs: DataFrame, threshold: int) -> DataFrame:
     for more in links[1:]:
         edges = edges.unionByName(more)
     components = connected_components(edges).withColumnRenamed("id", "doc_id")
-    discard(classes, banded, buckets, placed, texts, *links[2:], *rounds)
+    discard(classes, banded, buckets, texts, *links[2:], *rounds)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(components, "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
